@@ -14,6 +14,26 @@ def op1_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("slices")
 
 
+def op3_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.language import fit, fold, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit(docs))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.sharding import shard_documents
 
@@ -30,6 +50,9 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sainte_lague_mix": op1_sainte_lague_mix,
     "op9_warc_index_merge": op9_warc_index_merge,
+    "op3_heap_bpe_counts": op3_heap_bpe_counts,
+    "op5_line_quality": op5_line_quality,
+    "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,
 }
 ORACLES: dict[str, str] = {}
