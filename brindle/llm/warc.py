@@ -19,6 +19,7 @@ empty table gives an empty index; extra columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -67,8 +68,10 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return p.withColumn("body", body).select(F.concat(*head).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
-    records(pages, min_revisit_bytes).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, compression: str = "gzip") -> None:
+    """Archives under ``path``; with gzip each file is one member, and offsets of the index are those inside it."""
+    writer = records(pages, min_revisit_bytes).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.option("compression", compression).text(path)
 
 
 def url_key(url: str) -> str:
@@ -86,6 +89,8 @@ def _number(text: str) -> int | None:
 
 def parse(content: bytes, file: str) -> list[tuple]:
     """The captures of one archive, in file order. Digests and sizes of payloads are taken anew."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     out, at = [], 0
     while at < len(content):
         start, head_end = at, content.index(b"\r\n\r\n", at)
