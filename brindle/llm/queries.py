@@ -47,9 +47,24 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", F.col("ts").alias("capture_ts"))
 
 
+def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.sentencepiece import decode, encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = decode(encode(docs))
+    return coded.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("round_trip"),
+    )
+
+
 QUERIES = {
     "op1_sainte_lague_mix": op1_sainte_lague_mix,
     "op9_warc_index_merge": op9_warc_index_merge,
+    "op10_sentencepiece_scan": op10_sentencepiece_scan,
     "op3_heap_bpe_counts": op3_heap_bpe_counts,
     "op5_line_quality": op5_line_quality,
     "op7_viterbi_language": op7_viterbi_language,
