@@ -20,6 +20,12 @@ def op3_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.quality import quality_report
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op9_warc_index_merge": op9_warc_index_merge,
     "op10_sentencepiece_scan": op10_sentencepiece_scan,
     "op3_heap_bpe_counts": op3_heap_bpe_counts,
+    "op4_dart_minhash": op4_dart_minhash,
     "op5_line_quality": op5_line_quality,
     "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,

@@ -13,7 +13,9 @@ sums is "or" of "and" for weights 0 and minus infinity); a pass from the end pic
 state of weight 0 at each cut, and every chunk is backtraced between its two states, alone.
 
 Inside a chunk, units (a run of word-start marks with the text behind it) are independent,
-as no piece has a mark after another character; paths of units are remembered by each worker.
+as no piece has a mark after another character. A whole unit's path is BPE of the unit by
+definition and found by merging; results are remembered by each worker. Only the parts of
+units next to a cut need the lattice.
 
 Defined results: a null text is encoded as an empty one (no ids); texts of any length are
 encoded whole; characters outside the vocabulary become byte pieces; U+2581 in a text is
@@ -65,7 +67,23 @@ class PieceLattice:
         self.known: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[str]:
-        """BPE of a short text by its definition: best score first, leftmost among equals."""
+        """BPE by its definition: best score first, leftmost among equals."""
+        return self._merge_short(text) if len(text) <= 40 else self._merge_long(text)
+
+    def _merge_short(self, text: str) -> list[str]:
+        symbols, score, none = list(text), self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _merge_long(self, text: str) -> list[str]:
         symbols: list[str | None] = list(text)
         n = len(symbols)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
@@ -145,7 +163,7 @@ class PieceLattice:
         if ids is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = self.to_ids(self.path(unit, 0, None, len(unit)))
+            ids = self.to_ids(self.merge(unit))
             if len(unit) < 100:
                 self.known[unit] = ids
         return ids
