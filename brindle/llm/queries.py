@@ -32,6 +32,12 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.hamming_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.language import fit, fold, predict_languages
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op3_heap_bpe_counts": op3_heap_bpe_counts,
     "op4_dart_minhash": op4_dart_minhash,
     "op5_line_quality": op5_line_quality,
+    "op6_multi_index_hamming": op6_multi_index_hamming,
     "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,
 }
