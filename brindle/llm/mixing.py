@@ -18,6 +18,10 @@ columns start with ``_mix``.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +91,18 @@ def shard_quotas(targets: DataFrame, block_words: int = 64, n_shards: int = 16,
     return per.groupBy("k").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "block", "rank")], n_blocks.alias("n_blocks"), cum.alias("cum"))
 
 
-def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, n_shards: int = 16, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, n_shards: int = 16, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """(id, source, size, source_size, target, block, taken, slices) of every document.
 
     ``slices`` are the words the mix takes: structs of first word, end word, pass (from 0,
-    below ``max_repeat``) and shard; ``taken`` is the sum of their lengths.
+    below ``max_repeat``) and shard; ``taken`` is the sum of their lengths. With ``carry`` the
+    columns of ``docs`` come instead, and ``_mix_slices`` after them.
     """
-    src = F.col("_mix_source")
-    order = F.xxhash64(F.col("_mix_id"), F.lit(seed))
-    rows = docs.select(F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), n_words(F.col(text_col)).alias("_mix_size"))
-    rows = rows.withColumns({"_mix_k": F.coalesce(F.concat(F.lit("s"), src), F.lit("n")), "_mix_o": order})
-    rows = cut(rows.withColumn("_mix_slice", F.pmod(F.shiftrightunsigned("_mix_o", 40), F.lit(SLICES)).cast("int")))
+    k = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+    order = F.xxhash64(F.col(id_col), F.lit(seed))
+    work = {"_mix_id": F.col(id_col), "_mix_source": F.col(source_col), "_mix_size": n_words(F.col(text_col)), "_mix_k": k, "_mix_o": order}
+    work["_mix_slice"] = F.pmod(F.shiftrightunsigned(order, 40), F.lit(SLICES)).cast("int")
+    rows = cut(docs.select(*[c.alias(n) for n, c in work.items()]))
 
     per_slice = rows.groupBy("_mix_k", "_mix_slice").agg(F.sum("_mix_size").alias("words"), F.first("_mix_source").alias("source"))
     sizes = per_slice.groupBy("_mix_k").agg(F.sum("words").alias("source_size"), F.first("source").alias("source")).withColumnRenamed("_mix_k", "k")
@@ -105,13 +110,13 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, n_shards: int = 1
 
     along = Window.partitionBy("_mix_k").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.withColumn("_mix_start", F.coalesce(F.sum("words").over(along), F.lit(0))).drop("words", "source")
-    starts = starts.join(quotas.withColumnRenamed("k", "_mix_k"), "_mix_k")
+    starts = starts.join(quotas.select(*[F.col(c).alias(f"_mix_{c}") for c in quotas.columns if c != "rank"]), "_mix_k")
 
     within = Window.partitionBy("_mix_k", "_mix_slice").orderBy("_mix_o", "_mix_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_mix_off", F.coalesce(F.sum("_mix_size").over(within), F.lit(0))).join(starts, ["_mix_k", "_mix_slice"])
+    placed = (docs.withColumns(work) if carry else rows).withColumn("_mix_off", F.coalesce(F.sum("_mix_size").over(within), F.lit(0))).join(starts, ["_mix_k", "_mix_slice"])
     at = F.col("_mix_start") + F.col("_mix_off")
-    size, block, n = F.col("_mix_size"), F.col("block"), F.col("n_blocks")
-    quota = F.least(F.element_at("cum", -1), n * max_repeat)
+    size, block, n = F.col("_mix_size"), F.col("_mix_block"), F.col("_mix_n_blocks")
+    quota = F.least(F.element_at("_mix_cum", -1), n * max_repeat)
     a = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64("_mix_k", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
     b = F.pmod(F.xxhash64(F.lit(seed), "_mix_k"), n)
 
@@ -121,13 +126,56 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, n_shards: int = 1
         first, end = F.greatest(j * block - at, F.lit(0)), F.least((j + 1) * block - at, size)
         one = lambda p: F.struct(
             first.cast("long").alias("first"), end.cast("long").alias("end"), p.cast("int").alias("pass"),
-            F.size(F.filter("cum", lambda c: c <= rank + p * n)).cast("int").alias("shard"),
+            F.size(F.filter("_mix_cum", lambda c: c <= rank + p * n)).cast("int").alias("shard"),
         )
         return F.when(passes > 0, F.transform(F.sequence(F.lit(0), passes - 1), one)).otherwise(F.array().cast("array<struct<first:bigint,end:bigint,pass:int,shard:int>>"))
 
     blocks = F.when(size > 0, F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-    placed = placed.withColumn("slices", F.flatten(F.transform(blocks, pieces)))
+    slices = F.flatten(F.transform(blocks, pieces))
+    if carry:
+        return placed.select(*[docs[c] for c in docs.columns], slices.alias("_mix_slices"))
+    placed = placed.withColumn("slices", slices)
     taken = F.aggregate("slices", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
     return placed.select(
-        F.col("_mix_id").alias(id_col), F.col("_mix_source").alias(source_col), size.alias("size"), "source_size", "target", block.alias("block"), taken.alias("taken"), "slices",
+        F.col("_mix_id").alias(id_col), F.col("_mix_source").alias(source_col), size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), block.alias("block"), taken.alias("taken"), "slices",
     )
+
+
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def mixed_texts(text: str, slices: list[dict]) -> list[str]:
+    """The text of each pass: whole where all its words are taken, else the taken words in order."""
+    passes: dict[int, list[dict]] = {}
+    for s in slices:
+        passes.setdefault(s["pass"], []).append(s)
+    tokens: list[str] | None = None
+    out = []
+    for _, parts in sorted(passes.items()):
+        parts.sort(key=lambda s: s["first"])
+        tokens = tokens or _TOKEN.findall(text)
+        if sum(s["end"] - s["first"] for s in parts) == len(tokens):
+            out.append(text)
+        else:
+            out.append("".join(t for s in parts for t in tokens[s["first"] : s["end"]]).rstrip(" \t\n\r\x0b\x0c"))
+    return out
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mix itself: a row per document and pass with the words taken; columns as in ``docs``."""
+    placed = mix(docs, text_col=text_col, carry=True, **options)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            for i, (text, slices) in enumerate(zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                if slices:
+                    found = mixed_texts(text, slices)
+                    rows += [i] * len(found)
+                    texts += found
+            out = batch.select(names).take(pa.array(rows, pa.int64()))
+            yield out.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = placed.mapInArrow(run, docs.schema)
+    return out.withColumn(n_chars_col, F.length(text_col).cast("long")) if n_chars_col in names else out

@@ -14,6 +14,17 @@ def op1_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("slices")
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.quotes import build_conversations
+
+    found = build_conversations(table(spark, sf_dir, "conversations"))
+    body = F.col("body")
+    return found.select(
+        "conv_id", "turn", "role", F.length(body).cast("long").alias("body_chars"), F.md5(body).alias("body_md5"), F.col("n_quotes").cast("long").alias("n_quotes"),
+        F.col("n_linked").cast("long").alias("n_linked"), F.col("quote_depth").cast("int").alias("quote_depth"), "parent_turn", "root_turn", F.col("reply_depth").cast("int").alias("reply_depth"), "position",
+    )
+
+
 def op3_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.token_count import token_counts
 
@@ -77,6 +88,7 @@ QUERIES = {
     "op1_sainte_lague_mix": op1_sainte_lague_mix,
     "op9_warc_index_merge": op9_warc_index_merge,
     "op10_sentencepiece_scan": op10_sentencepiece_scan,
+    "op2_quotation_links": op2_quotation_links,
     "op3_heap_bpe_counts": op3_heap_bpe_counts,
     "op4_dart_minhash": op4_dart_minhash,
     "op5_line_quality": op5_line_quality,
