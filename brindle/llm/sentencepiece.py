@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -39,11 +40,33 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = 16_384
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+LETTER = re.compile(r"[^\W\d_]")
 #: Fixed value: piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+class _Units(dict):
+    """Packed ids of units; what is missing is made, short units are remembered up to a bound."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.make(unit)
+        if len(unit) < 100:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids of rows as an Arrow list column."""
+    offsets = np.append(0, np.cumsum([len(x) // 4 for x in packed])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32()))
+
+
 class PieceLattice:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -54,7 +77,7 @@ class PieceLattice:
         self.scores = {p: sp.get_score(i) for i, p in enumerate(pieces) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_byte(i))}
         self.ids = {p: i for i, p in enumerate(pieces) if p in self.scores}
         self.byte_ids = {int(pieces[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        self.bytes = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = pa.array([bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)], pa.large_binary())
         self.longest = max(map(len, self.ids))
         letters = {c for p in self.ids for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -62,9 +85,13 @@ class PieceLattice:
         hard = [c for c in "\n\t" if c not in letters]
         self.hard = set(hard)
         outside = re.escape(MARK + "".join(hard))
-        self.unit = re.compile(f"{MARK}*[^{outside}]+|{MARK}+" + (f"|[{''.join(map(re.escape, hard))}]" if hard else ""))
+        # Characters that follow a letter in no piece: a run of letters before one is a unit as well.
+        follow = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if LETTER.match(a)}
+        self.ending = {c for c in letters if not LETTER.match(c) and c != MARK and c not in follow}
+        word = f"{MARK}*+{LETTER.pattern}++(?=[{''.join(map(re.escape, sorted(self.ending)))}])|" if self.ending else ""
+        self.unit = re.compile(word + f"{MARK}*+[^{outside}]++|{MARK}++" + (f"|[{''.join(map(re.escape, hard))}]" if hard else ""))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known = _Units(lambda unit: self.packed(self.merge(unit)))
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: best score first, leftmost among equals."""
@@ -158,21 +185,12 @@ class PieceLattice:
                 out.extend(self.byte_ids[b] for b in p.encode("utf-8", "replace"))
         return out
 
-    def unit_ids(self, unit: str) -> list[int]:
-        ids = self.known.get(unit)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = self.to_ids(self.merge(unit))
-            if len(unit) < 100:
-                self.known[unit] = ids
-        return ids
+    def packed(self, pieces: list[str]) -> bytes:
+        return np.array(self.to_ids(pieces), np.int32).tobytes()
 
-    def units_ids(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for unit in self.unit.findall(text):
-            out += known.get(unit) or self.unit_ids(unit)
-        return out
+    def units_packed(self, text: str) -> bytes:
+        """Piece ids of a text of whole units as packed 32-bit integers."""
+        return b"".join(map(self.known.__getitem__, self.unit.findall(text)))
 
     def cuts_between_units(self, text: str, start: int, end: int) -> tuple[int, int] | None:
         """First and last position in [start, end] at which a unit begins."""
@@ -225,25 +243,29 @@ class PieceLattice:
             return end - 1
         return end - len(self.path(text, begin, None, end)[-1])
 
-    def chunk_ids(self, text: str, start: int, end: int, entry: tuple, leave: tuple) -> list[int]:
-        """Backtrace of one chunk between its two states."""
+    def chunk_packed(self, text: str, start: int, end: int, entry: tuple, leave: tuple) -> bytes:
+        """Backtrace of one chunk between its two states: packed piece ids."""
         at, goal = start + entry[0], end + leave[0]
         between = self.cuts_between_units(text, at + (entry[1] is None), end) if at <= end else None
         if between is None:
-            return self.to_ids(self.path(text, at, entry[1], goal, leave[1]) or [])
-        ids = self.to_ids(self.path(text, at, entry[1], between[0]))
-        return ids + self.units_ids(text[between[0] : between[1]]) + self.to_ids(self.path(text, between[1], None, goal))
+            return self.packed(self.path(text, at, entry[1], goal, leave[1]) or [])
+        head, tail = self.path(text, at, entry[1], between[0]), self.path(text, between[1], None, goal)
+        return self.packed(head) + self.units_packed(text[between[0] : between[1]]) + self.packed(tail)
 
     def normal(self, text: str | None) -> str:
         """The model's normal form: a mark in front, marks for spaces (identity otherwise)."""
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.units_ids(self.normal(text))
+    def encode(self, text: str | None) -> bytes:
+        return self.units_packed(self.normal(text))
 
-    def decode(self, ids: list[int]) -> str:
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of id sequences that lie one after the other; ``ends`` are their ends in ``ids``."""
+        taken = self.bytes.take(pa.array(ids, pa.int32()))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+        data = taken.buffers()[2].to_pybytes() if len(ids) else b""
+        at = at[np.append(0, ends)] - at[0]
+        return [data[i:j].decode("utf-8", "replace").removeprefix(" ") for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def compose(a: dict[tuple, list[tuple]], b: dict[tuple, list[tuple]]) -> dict[tuple, list[tuple]]:
@@ -311,8 +333,8 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         lat = lattice(path)
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("left", "size", "part", "o", "last", "xo", "xlast")), strict=True)
-            out = [lat.chunk_ids(p, le, le + n, (o, last), (xo, xlast)) for le, n, p, o, last, xo, xlast in rows]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(out, pa.list_(pa.int32()))], ["key", "k", "ids"])
+            out = [lat.chunk_packed(p, le, le + n, (o, last), (xo, xlast)) for le, n, p, o, last, xo, xlast in rows]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), id_lists(out)], ["key", "k", "ids"])
 
     parts = chunks.join(states, ["key", "k"]).mapInArrow(traced, "key string, k int, ids array<int>")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])
@@ -329,7 +351,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, text_co
     @F.arrow_udf("array<int>")
     def whole(texts: pa.Array) -> pa.Array:
         lat = lattice(path)
-        return pa.array([lat.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+        return id_lists([lat.encode(t.as_py()) for t in texts])
 
     small = work.filter(~long).withColumn(out_col, whole("_sp_text"))
     giant = work.filter(long).withColumn("_sp_key", F.md5("_sp_text"))
@@ -345,6 +367,9 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_c
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         lat = lattice(path)
-        return pa.array([None if x is None else lat.decode(x) for x in (y.values.to_pylist() if y.is_valid else None for y in ids)], pa.string())
+        lists = ids.fill_null([]) if ids.null_count else ids
+        start, flat = lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
+        texts = lat.decode(flat, lists.offsets.to_numpy()[1:] - start)
+        return pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False)) if ids.null_count else pa.array(texts, pa.string())
 
     return docs.withColumn(out_col, text(ids_col))
