@@ -9,11 +9,12 @@ the weights, and two signatures agree in a coordinate with probability of their
 Jaccard similarity.
 
 Equal texts collapse first (map-side aggregation). Distinct texts meet where all rows of a
-band agree: every member of a bucket is compared with the bucket's smallest member only, by
-exact similarity of window sets; links give components. Buckets that still hold several
-components are settled in blocks: pairs across components whose signatures agree enough are
-checked exactly as well. So no bucket is capped and no link between different texts in a
-common bucket is dropped, but copies are not expanded into pairs.
+band agree: every member of a bucket is compared with the bucket's best connected member
+only, by exact similarity of window sets; links give components. Buckets that still hold
+several components are settled in blocks: inside a task, pairs across components whose
+signatures agree enough are checked exactly, and only links that join what was not yet joined
+come out. So no bucket is capped and no connection between different texts in a common
+bucket is lost, but neither copies nor buckets are expanded into pairs.
 
 Defined results: null texts are alone in their class; texts without words are copies only of
 equal texts; a text of under five words is one window; a class is named by its smallest
@@ -133,9 +134,18 @@ def _node(key):
     return F.xxhash64(key)
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose window sets are similar enough, exactly."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Is the Jaccard similarity of two sorted arrays of distinct hashes large enough?"""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(small) or len(small) < similarity * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+
+def _window_sets(wanted: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
+    """(node, windows): the sorted window hashes of wanted nodes as bytes."""
     found = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("_nd_text").alias("_nd_text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,21 +157,18 @@ def _checked(pairs: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
                 out = pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), out], ["node", "windows"])
 
+    return cut(found.mapInArrow(sets, "node bigint, windows binary"))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose window sets are similar enough, exactly."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if len(small) < b.similarity * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(both >= b.similarity * (len(p) + len(q) - both) - 1e-9)
+            keep = [_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), b.similarity) for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ready = cut(found.mapInArrow(sets, "node bigint, windows binary"))
+    ready = _window_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, b)
     left = ready.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
     right = ready.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(similar, "a bigint, b bigint")
@@ -185,33 +192,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed_pairs(members: DataFrame, b: Banding) -> DataFrame:
-    """Pairs across components of buckets that hold several, by signature, in blocks of about ``BLOCK`` members.
+def _mixed_links(members: DataFrame, b: Banding) -> DataFrame:
+    """Links that join components in buckets which hold several, in blocks of about ``BLOCK`` members.
 
-    ``members``: (h, node, comp, sig). Each block pair of a bucket is one group, so a bucket of n members
-    is read n / BLOCK times, and only pairs that look similar come out.
+    ``members``: (h, node, comp, sig, windows). Each pair of blocks of a bucket is one group, so a bucket
+    of n members is read n / BLOCK times. A group gives fewer links than it has members: pairs that
+    its earlier links joined are not checked again.
     """
     sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     m = members.join(sizes, "h").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     m = m.withColumn("own", F.pmod(F.xxhash64("node", "h"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("h", "node", "comp", "sig", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    m = m.select("h", "node", "comp", "sig", "windows", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
-        node, comp, own = (group[c].to_numpy() for c in ("node", "comp", "own"))
-        x, y = group["x"].iloc[0], group["y"].iloc[0]
-        left = np.flatnonzero(own == x)
-        right = np.flatnonzero(own == y)
-        out_a, out_b = [], []
+        node, own = group["node"].to_numpy(), group["own"].to_numpy()
+        comp = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+        windows = [np.frombuffer(w, np.uint64) for w in group["windows"]]
+        left, right = np.flatnonzero(own == group["x"].iloc[0]), np.flatnonzero(own == group["y"].iloc[0])
+        out = []
         for i in left:
-            ok = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if x == y else (node[right] != node[i]))]
-            ok = ok[(sig[ok] == sig[i]).mean(1) >= b.estimate] if len(ok) else ok
-            out_a += [min(node[i], node[j]) for j in ok]
-            out_b += [max(node[i], node[j]) for j in ok]
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            near = right[comp[right] != comp[i]]
+            near = near[(sig[near] == sig[i]).mean(1) >= b.estimate] if len(near) else near
+            for j in near:
+                if comp[j] != comp[i] and _alike(windows[i], windows[j], b.similarity):
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return m.groupBy("h", "x", "y").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    return m.groupBy("h", "x", "y").applyInPandas(links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,18 +236,23 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_text")
 
     rows = nodes.select("node", F.explode("bands").alias("h"))
-    centres = rows.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = cut(rows.join(centres, "h").filter("a != node").select("a", F.col("node").alias("b")).distinct())
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut(rows.join(shared, "h").select("h", "node", "n"))
+    # The centre of a bucket is its best connected member: in a group of near copies that is the text they come from.
+    fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
+    centres = met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a"))
+    pairs = met.join(centres, "h").filter("a != node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    pairs = cut(pairs.distinct())
     links = cut(_checked(pairs, texts, b))
     labels = components(links)
 
-    large = rows.join(centres.filter("n > 2"), "h").select("h", "node")
-    large = large.join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
+    large = met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
     members = large.join(mixed, "h").join(nodes.select("node", "sig"), "node")
-    more = cut(_mixed_pairs(members, b).join(pairs, ["a", "b"], "left_anti"))
+    members = members.join(_window_sets(members.select("node").distinct(), texts, b), "node")
+    more = cut(_mixed_links(members, b))
     if not more.isEmpty():
-        labels = components(links.union(_checked(more, texts, b)))
+        labels = components(links.union(more))
 
     named = nodes.select("_nd_key", "node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
