@@ -381,3 +381,84 @@ def resolution_hours(spark, sf_dir):
     done = views.actions(spark, sf_dir).groupBy("case_id").agg(F.max("created_at").alias("done"))
     c = views.cases(spark, sf_dir).filter("status = 'resolved'").join(done, "case_id")
     return c.groupBy("priority").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.unix_timestamp("done") - F.unix_timestamp("created_at")) / 3600, 3).alias("mean_hours"))
+
+
+# ---- detection --------------------------------------------------------------------
+
+from brindle.functions import patterns as P  # noqa: E402
+from brindle.functions import text as T  # noqa: E402
+from brindle.operators import detect  # noqa: E402
+
+_ASCII = r"[^\x00-\x7F]"
+
+
+def _ascii(spark, sf_dir):
+    """Documents with other characters as spaces, so that both regex dialects see the same words."""
+    return views.document_messages(spark, sf_dir).withColumn("content", F.regexp_replace("content", _ASCII, " "))
+
+
+def _sql_values(p: str) -> str:
+    return f"select doc_id, unnest(regexp_extract_all(regexp_replace(text, '{_ASCII}', ' ', 'g'), '(?i){p}')) as v from documents"
+
+
+def _values(spark, sf_dir, p: str):
+    return _ascii(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(f"(?i){gate.java_regex(p)}"), F.lit(0))).alias("v"))
+
+
+@register("token_hashes", f"with m as ({_sql_values(P.EMAIL['standard'])}) select distinct doc_id, sha256(lower(trim(v))) as token_hash from m")
+def token_hashes(spark, sf_dir):
+    return _values(spark, sf_dir, P.EMAIL["standard"]).select("doc_id", T.token_hash(F.col("v")).alias("token_hash")).distinct()
+
+
+@register("phone_values", f"with m as ({_sql_values(P.PHONE['us_format'])}) select v as phone, count(*) as n, count(distinct doc_id) as documents from m group by v")
+def phone_values(spark, sf_dir):
+    return _values(spark, sf_dir, P.PHONE["us_format"]).groupBy(F.col("v").alias("phone")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+@register("url_values", "with m as ({}) select v as url, count(*) as n, count(distinct doc_id) as documents from m group by v".format(_sql_values(P.URL["full"].replace("'", "''"))))
+def url_values(spark, sf_dir):
+    return _values(spark, sf_dir, P.URL["full"]).groupBy(F.col("v").alias("url")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+def _span_rows(kind: str):
+    def query(spark, sf_dir):
+        m = views.document_messages(spark, sf_dir).filter(F.length("content") <= detect.MAX_LENGTH)
+        spans = detect.with_spans(m, kind).select("doc_id", F.explode(f"{kind}_spans").alias("s"))
+        return spans.select("doc_id", F.col("s.off").alias("offset"), F.col("s.len").alias("length"), F.round("s.conf", 3).alias("confidence"), T.token_hash(F.col("s.v")).alias("value_hash"))
+
+    return query
+
+
+for _kind in ("phone", "email", "url", "social", "intent", "obfuscation"):
+    QUERIES[f"{_kind}_spans"] = _span_rows(_kind)
+
+
+@register("deobfuscated_text")
+def deobfuscated_text(spark, sf_dir):
+    d = views.document_messages(spark, sf_dir)
+    clean = T.deobfuscate(F.col("content"))
+    return d.select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("clean_md5"))
+
+
+@register("stage1_scores")
+def stage1_scores(spark, sf_dir):
+    m = detect.stage1(views.conversation_messages(spark, sf_dir))
+    return m.select("message_id", "stage1_score", "stage1_labels", F.size("evidence").alias("n_spans"), F.size("hashed_tokens").alias("n_hashes"))
+
+
+@register("combined_scores")
+def combined_scores(spark, sf_dir):
+    return detect.detect(views.conversation_messages(spark, sf_dir)).select("message_id", "stage1_score", "stage2_score", "risk_score", "stage", "labels")
+
+
+_HITS_SQL = " + ".join("regexp_matches(t, '(?i){}')::int".format("|".join(f"(?:{p})" for p in group).replace("'", "''")) for _, group in P.CLUSTERS.values())
+
+
+@register(
+    "context_hits",
+    f"""with t as (select conv_id, turn, regexp_replace(text, '{_ASCII}', ' ', 'g') as t from conversations), h as (select conv_id, turn, coalesce({_HITS_SQL}, 0) as hits from t)
+ select conv_id, turn, cast(coalesce(sum(hits) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding), 0) as integer) as context_hits from h""",
+)
+def context_hits(spark, sf_dir):
+    m = views.conversation_messages(spark, sf_dir).withColumn("content", F.regexp_replace("content", _ASCII, " "))
+    return detect.context_hits(m).select(F.col("thread_id").alias("conv_id"), "turn", "context_hits")
