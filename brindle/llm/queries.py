@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import oracles
 from brindle.session import table
 
 
@@ -96,4 +97,4 @@ QUERIES = {
     "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_dart_minhash": oracles.NEAR_DUPLICATES, "op9_warc_index_merge": oracles.ARCHIVES}
