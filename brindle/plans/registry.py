@@ -462,3 +462,36 @@ _HITS_SQL = " + ".join("regexp_matches(t, '(?i){}')::int".format("|".join(f"(?:{
 def context_hits(spark, sf_dir):
     m = views.conversation_messages(spark, sf_dir).withColumn("content", F.regexp_replace("content", _ASCII, " "))
     return detect.context_hits(m).select(F.col("thread_id").alias("conv_id"), "turn", "context_hits")
+
+
+# ---- operations metrics -----------------------------------------------------------
+
+from brindle.operators import metrics  # noqa: E402
+
+
+@register("value_percentiles", "select quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95, quantile_cont(value, 0.99) as p99 from events")
+def value_percentiles(spark, sf_dir):
+    return metrics.latency(table(spark, sf_dir, "events"), "value")
+
+
+@register("escalation_rate", f"with {ENFORCED} select count(*) filter (where action <> base_action) / count(*) as escalation_rate, count(*) filter (where is_strike) / count(distinct user_id) as strikes_per_user from f")
+def escalation_rate(spark, sf_dir):
+    return metrics.escalation_rate(policy.enforce(views.detections(spark, sf_dir), window_days=DAYS))
+
+
+@register("latest_config", "select 'allow_max' as config_key, '0.45' as config_value, 3 as version")
+def latest_config(spark, sf_dir):
+    rows = [("allow_max", "0.39", 1), ("allow_max", "0.35", 2), ("allow_max", "0.45", 3)]
+    return review.latest_config(spark.createDataFrame(rows, "config_key string, config_value string, version int"))
+
+
+@register(
+    "detection_case_strike_chain",
+    f"""with {CASES}, {ACTIONS} select c.user_id, count(distinct c.case_id) as cases, count(*) as actions from customer u join c on c.user_id = u.c_custkey join a using (case_id) where c.status = 'resolved' group by c.user_id""",
+)
+def detection_case_strike_chain(spark, sf_dir):
+    """The chain user, case, action as inner joins."""
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    cases = views.cases(spark, sf_dir).filter("status = 'resolved'").select("case_id", "user_id")
+    chain = users.join(cases, "user_id").join(views.actions(spark, sf_dir).select("case_id"), "case_id")
+    return chain.groupBy("user_id").agg(F.count_distinct("case_id").alias("cases"), F.count(F.lit(1)).alias("actions"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators import gate, policy
@@ -20,15 +21,22 @@ STRIKE_OUT = "user_id long, detection_id long, created_at timestamp, strike_numb
 STRIKE_STATE = "ids array<long>, ends array<long>"
 
 
-def gate_events(messages: DataFrame) -> DataFrame:
-    """What goes to the message stream: flat strings, the decision as JSON, the time of emission.
+def gate_events(messages: DataFrame, emitted_at: Column | None = None) -> DataFrame:
+    """What goes to the message stream: flat strings, the decision as JSON and, where given, the time of emission.
 
     A row whose decision is missing passes with score 0 and a marker: the gate fails open.
     """
     g = gate.gate(messages)
     decision = F.struct(F.coalesce("allowed", F.lit(True)).alias("allowed"), F.coalesce("action", F.lit("allow")).alias("action"), F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), F.coalesce("labels", F.array(F.lit("interceptor_error"))).alias("labels"))
     plain = [F.col(c).cast("string").alias(c) for c in messages.columns]
-    return g.select(*plain, F.to_json(decision).alias("intercept_result"))
+    when = [] if emitted_at is None else [F.date_format(emitted_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("emitted_at")]
+    return g.select(*plain, F.to_json(decision).alias("intercept_result"), *when)
+
+
+def stream_info(query: StreamingQuery) -> dict:
+    """Rows so far seen in recent progress and the last batch, for monitoring."""
+    progress = query.recentProgress
+    return {"rows": sum(p["numInputRows"] for p in progress), "last_batch": progress[-1]["batchId"] if progress else None, "active": query.isActive}
 
 
 def write_gate_stream(messages: DataFrame, path: str, checkpoint: str):
