@@ -29,8 +29,9 @@ from brindle.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 1024
-#: The permutation j -> (a * j + b) mod n needs a coprime to n: primes above any block count here.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+#: The permutation j -> (a * j + b) mod n needs an a coprime to n: the first of these that does not divide n.
+#: They are below 2**20, so a * j stays exact up to 2**43 blocks. Documents are in seeded order already.
+PRIMES = (1048573, 1048571, 1048559, 1048549)
 
 
 def n_words(text: Column) -> Column:
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, n_shards: int = 1
     at = F.col("_mix_start") + F.col("_mix_off")
     size, block, n = F.col("_mix_size"), F.col("_mix_block"), F.col("_mix_n_blocks")
     quota = F.least(F.element_at("_mix_cum", -1), n * max_repeat)
-    a = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64("_mix_k", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
+    a = F.coalesce(*[F.when(n % p != 0, F.lit(p).cast("long")) for p in PRIMES[:-1]], F.lit(PRIMES[-1]).cast("long"))
     b = F.pmod(F.xxhash64(F.lit(seed), "_mix_k"), n)
 
     def pieces(j: Column) -> Column:
