@@ -144,9 +144,15 @@ def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
 
-def _window_sets(wanted: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
-    """(node, windows): the sorted window hashes of wanted nodes as bytes."""
-    found = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("_nd_text").alias("_nd_text"))
+def _window_sets(wanted: DataFrame, texts: DataFrame, reps: DataFrame, b: Banding) -> DataFrame:
+    """(node, windows): the sorted window hashes of wanted nodes as bytes.
+
+    Texts meet the wanted nodes by node and id of the node's representative, so that the copies
+    of one text are dealt to many tasks.
+    """
+    w = wanted.join(reps, "node").select(F.col("node").alias("_nd_w"), "_nd_rep")
+    one = texts.join(w, (F.col("node") == F.col("_nd_w")) & F.col("_nd_id").eqNullSafe(F.col("_nd_rep")), "left_semi")
+    found = one.groupBy("node").agg(F.first("_nd_text").alias("_nd_text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +166,7 @@ def _window_sets(wanted: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
     return cut(found.mapInArrow(sets, "node bigint, windows binary"))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, b: Banding) -> DataFrame:
     """Those (a, b) of ``pairs`` whose window sets are similar enough, exactly."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, b: Banding) -> DataFrame:
             keep = [_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), b.similarity) for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ready = _window_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, b)
+    ready = _window_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, reps, b)
     left = ready.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
     right = ready.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(similar, "a bigint, b bigint")
@@ -233,7 +239,8 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     signed = cut(work.mapInArrow(_sign(b), schema))
     distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(distinct.withColumn("node", _node("_nd_key")))
-    texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_text")
+    texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_id", "_nd_text")
+    reps = nodes.select("node", F.col("rep").alias("_nd_rep"))
 
     rows = nodes.select("node", F.explode("bands").alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -243,13 +250,13 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     centres = met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a"))
     pairs = met.join(centres, "h").filter("a != node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     pairs = cut(pairs.distinct())
-    links = cut(_checked(pairs, texts, b))
+    links = cut(_checked(pairs, texts, reps, b))
     labels = components(links)
 
     large = met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
     members = large.join(mixed, "h").join(nodes.select("node", "sig"), "node")
-    members = members.join(_window_sets(members.select("node").distinct(), texts, b), "node")
+    members = members.join(_window_sets(members.select("node").distinct(), texts, reps, b), "node")
     more = cut(_mixed_links(members, b))
     if not more.isEmpty():
         labels = components(links.union(more))
