@@ -30,3 +30,56 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
  case when host = '' and not contains(rest, '/') then '' else array_to_string(list_reverse(string_split(name, '.')), ',') || ')/' || path end as urlkey,
  strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') as capture_ts from q
 """
+
+#: Lines, passages as islands of one level, links by hash, reply trees by recursion.
+_MARKS = r"^[ \t]*(?:>[ \t]*)+"
+QUOTATIONS = rf"""
+with recursive k as (select conv_id, turn, role, coalesce('c' || conv_id, 'n') as c, md5(coalesce(text, '')) as id, row_number() over () as m,
+  string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) as raw from conversations),
+l as (select c, turn, id, m, unnest(raw) as line, generate_subscripts(raw, 1) as i from k),
+v as (select *, length(regexp_replace(regexp_extract(line, '{_MARKS}'), '[^>]', '', 'g')) as level, regexp_replace(line, '{_MARKS}', '') as t from l),
+g as (select *, sum(fresh) over (partition by m order by i) as run from (select *, coalesce((level <> lag(level) over (partition by m order by i))::int, 0) as fresh from v)),
+x as (select *, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) as n,
+  level = 0 and not (coalesce(lead(level) over (partition by m order by i), 0) > 0 and regexp_matches(t, '(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\b.*:[ \t]*$')) as own from g),
+body as (select m, trim(coalesce(string_agg(t, chr(10) order by i) filter (where own), '')) as body from x group by m),
+keys as (select c, turn, id, m, run, level, bool_and(own) filter (where level = 0 and own) as own, md5(string_agg(n, chr(10) order by i)) as hash, true as whole from x where n <> '' and (level > 0 or own) group by all
+  union all select c, turn, id, m, run, level, own, md5(n), false from x where length(n) >= 16 and (level > 0 or own)),
+said as (select c, hash, min(turn) as first from keys where level = 0 and turn is not null group by c, hash),
+quoted as (select distinct c, turn, id, run, level from x where level > 0),
+votes as (select q.c, q.turn, q.id, q.run, q.level, s.first, bool_or(whole) as whole, count(*) as hits from keys q join said s on s.c = q.c and s.hash = q.hash and s.first < q.turn where q.level > 0 group by all),
+best as (select c, turn, id, run, level, first as original from (select *, row_number() over (partition by c, turn, id, run, level order by whole desc, hits desc, first desc) as r from votes) where r = 1),
+links as (select q.*, b.original from quoted q left join best b using (c, turn, id, run, level) where q.turn is not null),
+per as (select c, turn, id, count(*) as n_quotes, count(original) as n_linked, max(level) as quote_depth, arg_min(original, level * 1000000 + run) filter (where original is not null) as parent_turn from links group by all),
+par as (select c, turn, min(parent_turn) as parent from per where parent_turn is not null group by all),
+ch(c, turn, root, depth) as (select c, turn, parent, 1 from par union all select ch.c, ch.turn, p.parent, ch.depth + 1 from ch join par p on p.c = ch.c and p.turn = ch.root),
+ends as (select c, turn, arg_max(root, depth) as root, max(depth) as depth from ch group by all),
+o as (select k.*, body, coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked, cast(coalesce(quote_depth, 0) as integer) as quote_depth, parent_turn,
+  coalesce(root, k.turn) as root_turn, cast(coalesce(depth, 0) as integer) as reply_depth
+  from k join body using (m) left join per on per.c = k.c and per.turn = k.turn and per.id = k.id left join ends on ends.c = k.c and ends.turn = k.turn)
+select conv_id, turn, role, length(body) as body_chars, md5(body) as body_md5, n_quotes, n_linked, quote_depth, parent_turn, root_turn, reply_depth,
+ row_number() over (partition by c order by root_turn nulls last, reply_depth, turn nulls last, id) - 1 as position from o
+"""
+
+#: The base numbers by windows over words, the line rules by regular expressions without lookaround.
+_W = r"[^\x20\x09-\x0D]+"
+QUALITY = rf"""
+with d as (select row_number() over () as m, doc_id, coalesce(text, '') as text from documents),
+b as (select *, regexp_extract_all(text, '{_W}') as ws from d),
+l as (select m, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+n as (select *, len(regexp_extract_all(line, '{_W}')) as nw from l),
+f as (select *, row_number() over (partition by m, line order by i) as nth, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as chars,
+  len(list_filter(string_split_regex(line, '[ \t]'), lambda x: x in ('|', '»', '›', '>', '·', '•'))) >= greatest(2, 0.25 * nw)
+  or (nw >= 3 and len(regexp_extract_all(line, '[!?*#%&]{{2,}}')) > 0.3 * nw)
+  or (nw <= 4 and not regexp_matches(line, '[.!?…"''”’»)\]:;。！？]\s*$'))
+  or (nw <= 25 and regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|enable javascript|click here|subscribe to our|sign up|log in|lorem ipsum|powered by')) as fails
+  from n where nw > 0),
+s as (select m, count(*) filter (where nth > 1) as n_dup_lines, coalesce(sum(chars) filter (where nth = 1 and not fails), 0) as chars_left from f group by m),
+w as (select m, unnest(ws) as a, generate_subscripts(ws, 1) as i from b),
+t as (select m, i, a || ' ' || lead(a) over (partition by m order by i) || ' ' || lead(a, 2) over (partition by m order by i) as g from w),
+r as (select m, i from (select *, count(*) over (partition by m, g) as c from t where g is not null) where c > 1),
+p as (select m, count(distinct i + k) as n_repeat_words from r, (values (0), (1), (2)) as o(k) group by m),
+a as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(chars_left, 0) as chars_left from b left join s using (m) left join p using (m))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_left >= 0.5 * word_chars as kept from a
+"""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Characters counted as symbols, marks that end a sentence, separators of menus.
 SYMBOLS = "#*$%&|<>"
 END_MARKS = tuple(".!?…\"'”’»)]:;。！？")
-SEPARATORS = re.compile(r"(?:^|\s)[|»›>·•](?=\s|$)")
+SEPARATORS = re.compile(r"(?:^|[ \t])[|»›>·•](?=[ \t]|$)")
 SHOUTS = re.compile(r"[!?*#%&]{2,}")
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|enable javascript|"
@@ -93,7 +93,7 @@ def assess(text: str | None, rules: Rules) -> tuple[int, int, int, int, int, boo
     seen: set[str] = set()
     duplicates, left, good = 0, 0, []
     for line in text.split("\n"):
-        n = len(line.split()) if line.isascii() else len(words_of(line))
+        n = len(words_of(line))
         if not n:
             good.append(line)
         elif line in seen:

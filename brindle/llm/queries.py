@@ -97,4 +97,4 @@ QUERIES = {
     "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,
 }
-ORACLES = {"op4_dart_minhash": oracles.NEAR_DUPLICATES, "op9_warc_index_merge": oracles.ARCHIVES}
+ORACLES = {"op2_quotation_links": oracles.QUOTATIONS, "op4_dart_minhash": oracles.NEAR_DUPLICATES, "op5_line_quality": oracles.QUALITY, "op9_warc_index_merge": oracles.ARCHIVES}

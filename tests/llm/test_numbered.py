@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import hamming_search, language, mixing, near_dedup, quality, queries, quotes, sentencepiece, sharding, token_count, warc
+from tests.compare import differences
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 30_000
@@ -401,6 +402,11 @@ def test_transfer_matrices_are_associative():
 # ---- all --------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    assert differences(spark, queries.QUERIES[name], queries.ORACLES[name], SF) == []
+
+
 def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
 
