@@ -155,10 +155,10 @@ def intent(text: str) -> str:
             conf = f"{0.5 + base}D + least(0.3D, {boost}) + {_if(f'{S.around(text, chr(109) + ".off - 20", "m.off")} RLIKE {S.pattern(P.NEGATION)}', -0.3)} + {_if(f'({count}) >= 2', 0.1)} + {_if(S.any_of(near, P.EVASION_TERMS), 0.15)}"
             parts.append(S.spans(text, p, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
     sentences = rf"split({text}, '(?U)[.!?]\\s+')"
-    hits = " + ".join(f"CAST(x RLIKE {S.pattern('|'.join(group))} AS int)" for _, group in P.INTENT.values())
-    names = ", ".join(f"IF(x RLIKE {S.pattern('|'.join(group))}, '{name}', '')" for name, (_, group) in P.INTENT.items())
+    hits = " + ".join(f"CAST(q RLIKE {S.pattern('|'.join(group))} AS int)" for _, group in P.INTENT.values())
+    names = ", ".join(f"IF(q RLIKE {S.pattern('|'.join(group))}, '{name}', '')" for name, (_, group) in P.INTENT.items())
     compound = (
-        f"filter(aggregate({sentences}, named_struct('p', 0, 'o', {S.NONE}), (s, x) -> named_struct('p', s.p + length(x) + 1, 'o', concat(s.o, array(named_struct('off', s.p, 'len', length(x), 'type', 'intent', "
+        f"filter(aggregate({sentences}, named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, array(named_struct('off', s.p, 'len', length(q), 'type', 'intent', "
         f"'conf', IF(({hits}) >= 2, least(0.95D, 0.6D + ({hits}) * 0.15D), 0D), 'v', concat('compound:', array_join(sort_array(filter(array({names}), n -> n <> '')), ',')))))), s -> s.o), m -> m.conf > 0)"
     )
     return f"IF({text} RLIKE {S.pattern('|'.join(p for _, group in P.INTENT.values() for p in group))}, {S.greedy(S.joined([*parts, compound]))}, {S.NONE})"
@@ -203,10 +203,12 @@ def stage1(messages: DataFrame, content: str = "content") -> DataFrame:
     text = F.when(F.length(content) <= MAX_LENGTH, F.col(content)).otherwise(F.lit(""))
     m = messages.withColumn("_d_raw", F.coalesce(text, F.lit("")))
     m = m.withColumn("_d_clean", T.deobfuscate(F.col("_d_raw")))
-    m = m.withColumn("_d_clean", F.when(F.col("_d_clean") != F.col("_d_raw"), F.col("_d_clean")).otherwise(F.lit("")))
+    # One lambda over the forms of the text, so that every pattern is in the plan once.
     m = m.withColumns({"_d_raw_f": T.email_folded(F.col("_d_raw")), "_d_clean_f": T.email_folded(F.col("_d_clean"))})
-    parts = [f(t) if f is not email else email(t, f"{t}_f") for t in ("_d_raw", "_d_clean") for f in (phone, email, url, social, intent)]
-    m = m.withColumns({"_d_all": F.expr(S.joined(parts)), "_d_obf": F.size(F.expr(obfuscation("_d_raw"))) > 0})
+    raw, clean = "named_struct('t', _d_raw, 'f', _d_raw_f)", "named_struct('t', _d_clean, 'f', _d_clean_f)"
+    m = m.withColumn("_d_forms", F.expr(f"IF(_d_clean <> _d_raw, array({raw}, {clean}), array({raw}))"))
+    parts = S.joined([phone("x.t"), email("x.t", "x.f"), url("x.t"), social("x.t"), intent("x.t")])
+    m = m.withColumns({"_d_all": F.expr(f"flatten(transform(_d_forms, x -> {parts}))"), "_d_obf": F.size(F.expr(obfuscation("_d_raw"))) > 0})
     m = m.withColumn("_d_spans", S.best_by_offset(F.col("_d_all")))
     label = lambda t: F.element_at(F.create_map(*[F.lit(x) for kv in P.TYPE_LABELS.items() for x in kv]), t)
     first = F.when(F.col("_d_obf"), F.array(F.lit("obfuscation"))).otherwise(F.array().cast("array<string>"))

@@ -39,7 +39,7 @@ def found(text: str, p: str) -> str:
     return (
         f"aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
         "named_struct('p', 0, 'o', CAST(array() AS array<struct<off:int,len:int,v:string>>)), "
-        "(s, x) -> named_struct('p', s.p + x.g + length(x.v), 'o', concat(s.o, array(named_struct('off', s.p + x.g, 'len', length(x.v), 'v', x.v)))), s -> s.o)"
+        "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o)"
     )
 
 
@@ -68,7 +68,7 @@ def greedy(parts: str) -> str:
     """
     numbered = f"transform({parts}, (m, i) -> named_struct('off', m.off, 'neg', -m.conf, 'i', i, 'm', m))"
     return (
-        f"aggregate(transform(array_sort({numbered}), x -> x.m), named_struct('end', 0, 'o', {NONE}), "
+        f"aggregate(transform(array_sort({numbered}), r -> r.m), named_struct('end', 0, 'o', {NONE}), "
         "(s, m) -> if(m.off < s.end, s, named_struct('end', m.off + m.len, 'o', concat(s.o, array(m)))), s -> s.o)"
     )
 
