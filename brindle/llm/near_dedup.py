@@ -166,17 +166,16 @@ def _window_sets(wanted: DataFrame, texts: DataFrame, reps: DataFrame, b: Bandin
     return cut(found.mapInArrow(sets, "node bigint, windows binary"))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, b: Banding) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose window sets are similar enough, exactly."""
+def _checked(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose window sets (node, windows) are similar enough, exactly."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), b.similarity) for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ready = _window_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, reps, b)
-    left = ready.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
-    right = ready.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
+    left = sets.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
+    right = sets.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(similar, "a bigint, b bigint")
 
 
@@ -250,14 +249,15 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     centres = met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a"))
     pairs = met.join(centres, "h").filter("a != node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     pairs = cut(pairs.distinct())
-    links = cut(_checked(pairs, texts, reps, b))
+    # Every node that shares a bucket is in a pair, so its window set is made here, once.
+    sets = _window_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, reps, b)
+    links = cut(_checked(pairs, sets, b))
     labels = components(links)
 
     large = met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
     members = large.join(mixed, "h").join(nodes.select("node", "sig"), "node")
-    members = members.join(_window_sets(members.select("node").distinct(), texts, reps, b), "node")
-    more = cut(_mixed_links(members, b))
+    more = cut(_mixed_links(members.join(sets, "node"), b))
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -273,8 +273,9 @@ def keep_one(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_i
     """One row of each class, that of its smallest id; all columns of ``docs`` stay. Null texts all stay."""
     found = near_duplicates(docs, banding, id_col, text_col).filter("text_key is not null")
     best = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_key").alias("key"))).alias("w"))
-    winners = best.select(F.col("w.id").alias("_nd_id"), F.col("w.key").alias("_nd_key"))
-    keyed = docs.withColumn("_nd_key", F.md5(text_col))
-    kept = keyed.join(winners, keyed["_nd_key"].eqNullSafe(winners["_nd_key"]) & keyed[id_col].eqNullSafe(winners["_nd_id"]), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_nd_key"]).drop("_nd_key")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    winners = best.select(F.col("w.key").alias("_nd_key"), name("w.id").alias("_nd_name"))
+    # Repeated rows are dropped by the keys of the join, so the texts are shuffled once.
+    keyed = docs.filter(F.col(text_col).isNotNull()).withColumns({"_nd_key": F.md5(text_col), "_nd_name": name(id_col)})
+    kept = keyed.join(winners, ["_nd_key", "_nd_name"], "left_semi").dropDuplicates(["_nd_key", "_nd_name"]).drop("_nd_key", "_nd_name")
     return kept.unionByName(docs.filter(F.col(text_col).isNull()))
