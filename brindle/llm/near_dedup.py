@@ -255,7 +255,9 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     labels = components(links)
 
     large = met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
+    mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("who")).filter("lo != hi")
+    # Bands in which the same texts meet make equal buckets; one of them is enough.
+    mixed = mixed.groupBy("lo", "hi", "n", "who").agg(F.min("h").alias("h")).select("h")
     members = large.join(mixed, "h").join(nodes.select("node", "sig"), "node")
     more = cut(_mixed_links(members.join(sets, "node"), b))
     if not more.isEmpty():
