@@ -1,11 +1,12 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact checks.
 
-Weighted sets: the five-word windows of a text, weight 1 + log2(times found). Every element
+Sets: the five-word windows of a text, each of weight 1 however often it is found, since links
+are by similarity of sets; candidates by any other weight would miss links. Every element
 owns a strip of the (weight, rank) plane; unit-rate Poisson darts are hashed into it, the same
 for every document. A document sees the darts below its weights, up to a rank at which it
 expects a few darts per coordinate (raised where a coordinate stays empty); the earliest dart of each
 coordinate is its signature. Work is in proportion to elements plus darts, whatever
-the weights, and two signatures agree in a coordinate with probability of their weighted
+the weights, and two signatures agree in a coordinate with probability of their (weighted)
 Jaccard similarity.
 
 Equal texts collapse first (map-side aggregation). Distinct texts meet where all rows of a
@@ -110,8 +111,8 @@ def _sign(b: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts, ends in groups(batch.column("_nd_text")):
-                docs, elements, times = window_sets(data, starts, ends, b.words)
-                ids = dart_signatures(docs, elements, 1.0 + np.log2(times), j - i, b.coordinates)
+                docs, elements, _ = window_sets(data, starts, ends, b.words)
+                ids = dart_signatures(docs, elements, np.ones(len(docs)), j - i, b.coordinates)
                 band = np.zeros((j - i, b.bands), np.uint64)
                 for r in range(b.rows):
                     band = mix(band + ids.reshape(j - i, b.bands, b.rows)[:, :, r])

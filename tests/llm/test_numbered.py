@@ -177,6 +177,14 @@ def test_mixed_buckets(spark):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def test_repeated_texts_are_candidates(spark):
+    """Sets of windows say nothing of how often a window is found, so a text is alike to itself pasted several times."""
+    texts = [" ".join([" ".join(f"t{k}w{i}" for i in range(200))] * times) for k in range(3) for times in (1, 2, 3, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_classes(list(enumerate(texts))) and set(got.values()) == {0, 4, 8}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     elements = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
