@@ -14,7 +14,7 @@ from brindle.functions import patterns as P
 from brindle.functions import text as T
 from brindle.operators import spans as S
 
-MAX_LENGTH = 10_000
+MAX_LENGTH, TOO_LONG = 10_000, "message_too_long"
 
 
 def _context(text: str, terms: list[str]) -> str:
@@ -195,11 +195,18 @@ def with_spans(messages: DataFrame, kind: str, content: str = "content") -> Data
     return messages.withColumn(f"{kind}_spans", F.expr(DETECTORS[kind](content)))
 
 
+def _rejected(content: str) -> Column:
+    """Is the content longer than a request may be?"""
+    return F.coalesce(F.length(content) > MAX_LENGTH, F.lit(False))
+
+
 def stage1(messages: DataFrame, content: str = "content") -> DataFrame:
     """Adds stage1_score, stage1_labels, evidence (spans without values) and hashed_tokens.
 
-    Content beyond the length limit and null content have no spans.
+    Null content has no spans. Content beyond the length limit of a request is not detected: score, evidence
+    and hashes are null, the label is message_too_long.
     """
+    rejected = _rejected(content)
     text = F.when(F.length(content) <= MAX_LENGTH, F.col(content)).otherwise(F.lit(""))
     m = messages.withColumn("_d_raw", F.coalesce(text, F.lit("")))
     m = m.withColumn("_d_clean", T.deobfuscate(F.col("_d_raw")))
@@ -212,11 +219,13 @@ def stage1(messages: DataFrame, content: str = "content") -> DataFrame:
     m = m.withColumn("_d_spans", S.best_by_offset(F.col("_d_all")))
     label = lambda t: F.element_at(F.create_map(*[F.lit(x) for kv in P.TYPE_LABELS.items() for x in kv]), t)
     first = F.when(F.col("_d_obf"), F.array(F.lit("obfuscation"))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("stage1_labels", F.concat(first, F.array_distinct(F.transform("_d_spans", lambda s: label(s["type"])))))
-    m = m.withColumn("evidence", F.transform("_d_spans", lambda s: F.struct(s["off"].alias("offset"), s["len"].alias("length"), label(s["type"]).alias("type"), s["conf"].alias("confidence"))))
+    labels = F.concat(first, F.array_distinct(F.transform("_d_spans", lambda s: label(s["type"]))))
+    m = m.withColumn("stage1_labels", F.when(rejected, F.array(F.lit(TOO_LONG))).otherwise(labels))
+    evidence = F.transform("_d_spans", lambda s: F.struct(s["off"].alias("offset"), s["len"].alias("length"), label(s["type"]).alias("type"), s["conf"].alias("confidence")))
+    m = m.withColumn("evidence", F.when(~rejected, evidence))
     hashed = F.transform(F.filter("_d_spans", lambda s: (s["type"] != "intent") & (s["v"] != "")), lambda s: T.token_hash(s["v"]))
-    m = m.withColumn("hashed_tokens", F.array_distinct(hashed))
-    return m.withColumn("stage1_score", F.round(_score1(), 3)).drop(*[c for c in m.columns if c.startswith("_d_")])
+    m = m.withColumn("hashed_tokens", F.when(~rejected, F.array_distinct(hashed)))
+    return m.withColumn("stage1_score", F.when(~rejected, F.round(_score1(), 3))).drop(*[c for c in m.columns if c.startswith("_d_")])
 
 
 def _score1() -> Column:
@@ -279,7 +288,10 @@ def highest_stage(scores: dict[int, Column]) -> Column:
 
 
 def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str = "thread_id", order: str = "turn") -> DataFrame:
-    """Messages with the scores of the requested stages, the combined score, stage, labels, evidence and hashes."""
+    """Messages with the scores of the requested stages, the combined score, stage, labels, evidence and hashes.
+
+    Content beyond the length limit has a null combined score and stage and the label message_too_long.
+    """
     m, scores, labels = messages, {}, []
     if 1 in stages:
         m = stage1(m)
@@ -289,4 +301,7 @@ def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str =
         scores[2], labels = F.col("stage2_score"), [*labels, F.col("stage2_labels")]
     if 3 in stages:  # stage3_score and stage3_labels come from ``behavior``
         scores[3], labels = F.col("stage3_score"), [*labels, F.col("stage3_labels")]
-    return m.withColumns({"risk_score": combine(scores, stages), "stage": highest_stage(scores), "labels": F.array_distinct(F.concat(*labels))})
+    rejected = _rejected("content")
+    labels = [F.when(rejected, F.array(F.lit(TOO_LONG))).otherwise(F.array().cast("array<string>")), *labels]
+    found = {"risk_score": combine(scores, stages), "stage": highest_stage(scores)}
+    return m.withColumns({k: F.when(~rejected, c) for k, c in found.items()} | {"labels": F.array_distinct(F.concat(*labels))})

@@ -422,8 +422,7 @@ def url_values(spark, sf_dir):
 
 def _span_rows(kind: str):
     def query(spark, sf_dir):
-        m = views.document_messages(spark, sf_dir).filter(F.length("content") <= detect.MAX_LENGTH)
-        spans = detect.with_spans(m, kind).select("doc_id", F.explode(f"{kind}_spans").alias("s"))
+        spans = detect.with_spans(views.document_messages(spark, sf_dir), kind).select("doc_id", F.explode(f"{kind}_spans").alias("s"))
         return spans.select("doc_id", F.col("s.off").alias("offset"), F.col("s.len").alias("length"), F.round("s.conf", 3).alias("confidence"), T.token_hash(F.col("s.v")).alias("value_hash"))
 
     return query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import patterns as P
 from brindle.functions import text as T
 from brindle.operators import detect, spans
+from brindle.plans.registry import QUERIES
 
 VECTORS = [
     ("phone", "Call me at 555-123-4567", True),
@@ -66,6 +67,27 @@ def test_scores(spark):
     assert got[3].risk_score == 0 and got[4].risk_score == 0 and got[3].stage == 1
 
 
+def test_too_long_is_not_clean(spark):
+    """Beyond the limit of a request there is no score and a label; at the limit all is read."""
+    phone = "call 555-123-4567"
+    rows = [(phone.rjust(n), n, 1) for n in (detect.MAX_LENGTH, detect.MAX_LENGTH + 1)]
+    df = spark.createDataFrame(rows, "content string, thread_id int, turn int")
+    got = {r.thread_id: r for r in detect.detect(df).collect()}
+    at, above = got[detect.MAX_LENGTH], got[detect.MAX_LENGTH + 1]
+    assert at.stage1_score > 0 and at.risk_score > 0 and "phone_number" in at.labels and "message_too_long" not in at.labels
+    assert (above.stage1_score, above.risk_score, above.stage, above.evidence, above.hashed_tokens) == (None,) * 5
+    assert above.stage1_labels == ["message_too_long"] and above.labels[0] == "message_too_long"
+
+
+def test_span_queries_read_whole_texts(spark, tmp_path):
+    texts = ["x" * 3 + " plain words" * 2_000 + t for t in (" call 555-123-4567 now", " mail user@example.com now", " https://example.com/path", " whatsapp me", " let's take this conversation offline", " ca\u200bll me")]
+    columns = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(len(texts)).toPandas()
+    columns["text"], columns["doc_id"] = texts, range(len(texts))
+    spark.createDataFrame(columns).write.parquet(str(tmp_path / "documents.parquet"))
+    for i, kind in enumerate(("phone", "email", "url", "social", "intent", "obfuscation")):
+        assert i in {r.doc_id for r in QUERIES[f"{kind}_spans"](spark, str(tmp_path)).collect()}, kind
+
+
 def test_combine(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).head()[0]
