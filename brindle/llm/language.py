@@ -12,7 +12,8 @@ Prediction is one narrow pass; each worker remembers word scores in a bounded ta
 
 Defined results: null texts and texts without letters are ``und`` with score 0 and no spans, as
 are letters of scripts that no learned language uses; ties go to the first language by
-name; without labelled rows every text is ``und``; texts are read whole; extra columns are not read.
+name; without labelled rows every text is ``und``; texts are read whole: a run of letters is cut
+where its script changes and after every ``PIECE`` characters, and each piece is a word; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W\d_]+")
+PIECE = 64
 REMEMBERED = 400_000
 GROUP_WORDS = 1_000_000
 #: First code points of script ranges, in order.
@@ -50,8 +53,27 @@ def script_of(letter: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+@lru_cache(100_000)
+def pieces(run: str) -> tuple[str, ...]:
+    """Consecutive pieces of a run of letters: each of one script and of at most ``PIECE`` characters."""
+    out, start, script = [], 0, None
+    for i, c in enumerate(run):
+        here = script_of(c) if c.isalpha() else script
+        if i - start == PIECE or (script is not None and here != script):
+            out.append(run[start:i])
+            start = i
+        script = here
+    return (*out, run[start:])
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; runs of several scripts and long runs (as of writing without spaces) in pieces."""
+    runs = WORDS.findall((text or "").lower())
+    return [p for r in runs for p in ((r,) if len(r) <= PIECE and r.isascii() else pieces(r))]
+
+
 def grams(word: str) -> list[str]:
-    marked = f" {word[:64]} "
+    marked = f" {word} "
     n = len(marked)
     return [marked[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1) if marked[i : i + k] != " "]
 
@@ -89,7 +111,7 @@ class LanguageModel:
         group: list[list[str]] = []
         size = 0
         for text in texts:
-            group.append(WORDS.findall((text or "").lower()))
+            group.append(words_of(text))
             size += len(group[-1])
             if size >= GROUP_WORDS:
                 yield from self._label(group)
@@ -122,7 +144,7 @@ class LanguageModel:
                 yield self.languages[best], float(counts[best] / total)
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(language, first word, end word) of maximal runs; words of unknown script join the run before."""
+        """(language, first word, end word) of maximal runs of ``words_of``; words of unknown script join the run before."""
         out: list[list] = []
         for _, labels, _ in self.label([text]):
             for i, x in enumerate(labels):
@@ -177,7 +199,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            words[lang.as_py()].update(WORDS.findall((text.as_py() or "").lower()))
+            words[lang.as_py()].update(words_of(text.as_py()))
     for lang, counts in words.items():
         out: Counter = Counter()
         for word, n in counts.items():

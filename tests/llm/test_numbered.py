@@ -313,6 +313,19 @@ def test_language_edges(spark, edge, docs):
     assert len(model.spans(mixed)) >= 1
 
 
+def test_long_runs_are_read_whole(spark):
+    """Of text without spaces every letter counts for its own language and script."""
+    rows = [(i, t, x) for i in range(8) for t, x in (("the weather with this thought that" * 3, "en"), ("погода сегодня хорошая очень " * 3, "ru"), ("der zug fährt über die brücke nach köln " * 3, "de"))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out_fold=None)
+    head, tail, german = "thethoughtthat" * 6, "погодасегодняхорошая" * 20, "derzugfährtüberdiebrückenachköln" * 20
+    assert "".join(language.words_of(head + tail)) == head + tail
+    texts = [head + tail, head + german, "the" + "погода" * 3]
+    got = list(model.predict(texts))
+    assert [x for x, _ in got] == ["ru", "de", "ru"]
+    assert got[0][1] == pytest.approx(len(tail) / len(head + tail)) and 0.7 < got[1][1] < 1
+    assert [x for x, _, _ in model.spans(head + tail)] == ["en", "ru"]
+
+
 # ---- 8: sharding ------------------------------------------------------------------
 
 
