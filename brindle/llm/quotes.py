@@ -1,11 +1,11 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 Lines that begin with ``>`` marks are quotes of that nesting level. Maximal runs of lines of
-one level are passages. Passages are normalised (no marks, lower case, single spaces, no
-empty lines) and hashed, as is each of their lines that is long enough to mean something.
+one level are passages. Passages are normalised (no marks, lower case, single spaces, line
+breaks as spaces) and hashed, as is each of their lines and paragraphs.
 What a message itself says (level 0) is hashed in the same way; of equal passages of a
 conversation the earliest message is the original. A quoted passage is linked to the original of
-the whole passage, else to the one that wrote most of its lines.
+the whole passage, else to the one that wrote most of its longer lines and paragraphs, else of all its lines.
 
 A message answers the original of its least nested linked passage. Roots and depths of reply
 trees come from pointer doubling, so a chain of n replies takes log2 n joins. Conversations are
@@ -59,17 +59,20 @@ def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return m.withColumn("body", F.trim(F.array_join(F.flatten("_q_own"), "\n"))).drop("_q_raw", "_q_lines", "_q_starts")
 
 
-def _normal(lines):
-    squeezed = F.transform(lines, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
-    return F.filter(squeezed, lambda x: x != "")
+def _squeezed(lines):
+    return F.transform(lines, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
 
 
 def _keys(lines):
-    """Structs (hash, whole) of a passage and its longer lines; a passage of blanks has none."""
-    n = _normal(lines)
-    whole = F.when(F.size(n) > 0, F.array(F.struct(F.md5(F.array_join(n, "\n")).alias("hash"), F.lit(True).alias("whole"))))
-    each = F.transform(F.filter(n, lambda x: F.length(x) >= MIN_LINE), lambda x: F.struct(F.md5(x).alias("hash"), F.lit(False).alias("whole")))
-    return F.concat(F.coalesce(whole, F.array().cast("array<struct<hash:string,whole:boolean>>")), each)
+    """Structs (hash, whole, long) of a passage, its lines and its paragraphs; a passage of blanks has none."""
+    s = _squeezed(lines)
+    n = F.filter(s, lambda x: x != "")
+    whole = F.array_join(n, " ")
+    paragraphs = F.transform(F.split(F.array_join(s, "\n"), "\n{2,}"), lambda x: F.trim(F.translate(x, "\n", " ")))
+    paragraphs = F.array_except(paragraphs, F.concat(F.array(whole, F.lit("")), n))
+    key = lambda x, is_whole: F.struct(F.md5(x).alias("hash"), F.lit(is_whole).alias("whole"), (F.lit(is_whole) | (F.length(x) >= MIN_LINE)).alias("long"))
+    first = F.filter(F.array(whole), lambda x: x != "")
+    return F.concat(F.transform(first, lambda x: key(x, True)), F.transform(F.concat(n, paragraphs), lambda x: key(x, False)))
 
 
 def quote_links(parsed: DataFrame) -> DataFrame:
@@ -79,10 +82,10 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     said = own.filter("_q_t is not null").groupBy("_q_c", F.col("k.hash").alias("hash")).agg(F.min("_q_t").alias("first"))
     quotes = base.filter(F.exists("_q_runs", lambda r: r["level"] > 0)).select("_q_c", "_q_t", "_q_id", F.posexplode("_q_runs").alias("run", "r")).filter("r.level > 0")
     keys = quotes.select("_q_c", "_q_t", "_q_id", "run", F.col("r.level").alias("level"), F.explode_outer(_keys(F.col("r.lines"))).alias("k"))
-    keys = keys.select("_q_c", "_q_t", "_q_id", "run", "level", F.col("k.hash").alias("hash"), F.col("k.whole").alias("whole"))
+    keys = keys.select("_q_c", "_q_t", "_q_id", "run", "level", F.col("k.hash").alias("hash"), F.col("k.whole").alias("whole"), F.col("k.long").alias("long"))
     found = keys.join(said, ["_q_c", "hash"], "left").withColumn("first", F.when(F.col("first") < F.col("_q_t"), F.col("first")))
-    votes = found.groupBy("_q_c", "_q_t", "_q_id", "run", "level", "first").agg(F.max(F.col("whole") & F.col("first").isNotNull()).alias("whole"), F.count(F.lit(1)).alias("hits"))
-    best = F.max(F.when(F.col("first").isNotNull(), F.struct("whole", "hits", "first")))["first"]
+    votes = found.groupBy("_q_c", "_q_t", "_q_id", "run", "level", "first").agg(F.max(F.col("whole") & F.col("first").isNotNull()).alias("whole"), F.count_if("long").alias("longer"), F.count(F.lit(1)).alias("hits"))
+    best = F.max(F.when(F.col("first").isNotNull(), F.struct("whole", "longer", "hits", "first")))["first"]
     return votes.groupBy("_q_c", "_q_t", "_q_id", "run", "level").agg(best.alias("original"))
 
 

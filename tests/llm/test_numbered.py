@@ -118,6 +118,19 @@ def test_quotes(spark):
     assert quotes.build_conversations(df.limit(0)).count() == 0
 
 
+def test_short_and_rewrapped_quotes(spark):
+    rows = [
+        (1, 0, "We should meet soon to talk it over\nFriday at 5?\nBest"),
+        (1, 1, "> Friday at 5?\nyes"),
+        (1, 2, "A long first paragraph that a mail\nprogram has wrapped\n\nAnd another paragraph of it here"),
+        (1, 3, "> A long first paragraph that\n> a mail program\n> has wrapped\n>\n> And another paragraph\n> of it here\nall of it"),
+        (1, 4, "> A long first\n> paragraph that a mail program has wrapped\nonly that"),
+        (1, 5, "> Friday at 5?\n> Best\nboth"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    assert {r.turn: r.parent_turn for r in quotes.build_conversations(df).collect()} == {0: None, 1: 0, 2: None, 3: 2, 4: 2, 5: 0}
+
+
 def test_quotes_are_native(spark, docs):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     plan = quotes.parse(df)._jdf.queryExecution().executedPlan().toString()
