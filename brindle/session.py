@@ -29,18 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only on a local master (tests)."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
-        current = sc.getCheckpointDir()
-    return configured_or(spark, current)
-
-
-def configured_or(spark: SparkSession, default: str) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or default
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,3 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for files that executors write and read again."""
     return f"{_checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete what ``shared_path`` named, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
