@@ -1,8 +1,9 @@
 """Line-first cleaning: rules per line, failing lines go, documents that lose too much text go.
 
-A line fails when it looks like navigation (many separators), breaks the punctuation rule
-(shouting marks after most words, or a stub without an end mark), is boilerplate, or repeats
-an earlier line of its document. A document is rejected when less than ``min_kept`` of the
+A line fails when it looks like navigation (many separators), breaks a punctuation rule
+(shouting marks after most words, a stub without an end mark, or a long line without any mark), is
+boilerplate (a notice in a line of moderate length, a prompt in a short one; phrases of four languages between
+word borders), or repeats an earlier line of its document. A document is rejected when less than ``min_kept`` of the
 characters in its words is left, or when it fails the base rules (too few words, or too many
 words inside repeated 3-word windows).
 
@@ -30,11 +31,27 @@ SYMBOLS = "#*$%&|<>"
 END_MARKS = tuple(".!?…\"'”’»)]:;。！？")
 SEPARATORS = re.compile(r"(?:^|[ \t])[|»›>·•](?=[ \t]|$)")
 SHOUTS = re.compile(r"[!?*#%&]{2,}")
-BOILERPLATE = re.compile(
-    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|enable javascript|"
-    r"click here|subscribe to our|sign up|log in|lorem ipsum|powered by",
-    re.IGNORECASE,
-)
+ANY_MARK = re.compile("[.!?…,;:。！？，；：、]")
+#: Legal and technical notices, and prompts of web pages, in four languages.
+NOTICES = [
+    "all rights reserved", "terms of (?:use|service)", "privacy policy", "cookie policy", "enable javascript", "lorem ipsum", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "javascript aktivieren",
+    "tous droits réservés", "conditions d['’]utilisation", "politique de confidentialité", "mentions légales", "activer javascript",
+    "todos los derechos reservados", "términos (?:de uso|del servicio)", "política de privacidad", "aviso legal", "activar javascript",
+]
+PROMPTS = [
+    "accept (?:all )?cookies", "click here", "subscribe to our", "sign up", "log in", "read more",
+    "cookies akzeptieren", "hier klicken", "newsletter abonnieren", "jetzt registrieren", "einloggen", "mehr lesen",
+    "accepter les cookies", "cliquez ici", "abonnez-vous", "se connecter", "lire la suite",
+    "aceptar (?:las )?cookies", "haga clic aquí", "suscríbase", "iniciar sesión", "leer más",
+]
+
+
+def _phrases(names: list[str]) -> re.Pattern[str]:
+    return re.compile(rf"(?<!\w)(?:{'|'.join(names)})(?!\w)", re.IGNORECASE)
+
+
+NOTICE, PROMPT = _phrases(NOTICES), _phrases(PROMPTS)
 BLANK = str.maketrans("", "", " \t\n\r\x0b\x0c")
 
 
@@ -45,7 +62,9 @@ class Rules:
     stub_words: int = 4
     separator_share: float = 0.25
     shout_share: float = 0.3
-    boilerplate_words: int = 25
+    flat_words: int = 30
+    notice_words: int = 25
+    prompt_words: int = 8
     min_kept: float = 0.5
 
 
@@ -82,7 +101,11 @@ def line_fails(line: str, n_words: int, rules: Rules) -> bool:
         return True
     if n_words <= rules.stub_words and not line.rstrip().endswith(END_MARKS):
         return True
-    return n_words <= rules.boilerplate_words and BOILERPLATE.search(line) is not None
+    if n_words >= rules.flat_words and ANY_MARK.search(line) is None:
+        return True
+    if n_words <= rules.prompt_words and PROMPT.search(line) is not None:
+        return True
+    return n_words <= rules.notice_words and NOTICE.search(line) is not None
 
 
 def assess(text: str | None, rules: Rules) -> tuple[int, int, int, int, int, bool, bool, str]:
