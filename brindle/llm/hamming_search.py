@@ -11,13 +11,14 @@ Each table holds, per value, the union of the buckets to probe as a bit set; a q
 candidates are the union of one bit set per substring. Those within r are reranked by inner
 product of the original vectors in double precision.
 
-Queries and candidates meet in blocks of bounded size; each block pair returns a query's best k,
-and a last ranking takes k of those. Queries that find fewer than k within r are
+Queries, a stated part of the rows, meet all candidates in blocks of bounded size; each block pair returns a
+query's best k, and a last ranking takes k of those. Blocks of queries are large, so that candidates are copied to few. Queries that find fewer than k within r are
 compared with all rows in the same blocks, so rows are only missing where candidates are.
 
 Defined results: null, zero, ragged (other than the most frequent length) and non-finite
-vectors take no part; equal scores go to the smaller id; equal vectors are all returned; a
-query never returns its own id; empty tables give no rows; extra columns are not read.
+vectors take no part; equal scores go to the smaller id; equal vectors and rows that repeat another id are all
+returned; rows that repeat a query's id are one query (of several vectors the one of least code and bytes asks), which
+never returns its own id; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from brindle.session import cut
 
-BLOCK = 4096
+#: Rows of a block of candidates and of queries.
+BLOCK, QUERY_BLOCK = 4096, 16_384
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -115,8 +118,8 @@ class MultiIndex:
         return rows[distances(code, self.codes[rows]) <= self.radius]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _matrix(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def _best(query_id: int, vector: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def _best(query_id: int, vector: np.ndarray, ids: np.ndarray, vectors: np.ndarra
     return ids[rows][order], score[order]
 
 
-def _search(queries: DataFrame, index: DataFrame, k: int, radius: int | None, n_query_blocks: int, n_blocks: int) -> DataFrame:
+def _search(queries: DataFrame, index: DataFrame, k: int, radius: int | None, n_query_blocks: int, n_blocks: int, kind: type) -> DataFrame:
     """Each block pair's best k per query: within the radius, or of all rows where it is None."""
     q = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int"))
     c = index.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
@@ -134,11 +137,11 @@ def _search(queries: DataFrame, index: DataFrame, k: int, radius: int | None, n_
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            ids, vectors = right["id"].to_numpy(), _matrix(right["v"])
+            ids, vectors = right["id"].to_numpy(), _matrix(right["v"], kind)
             codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
             tables = None if radius is None else MultiIndex(codes, radius)
             everything = np.arange(len(ids))
-            for qid, vector, code in zip(left["id"], _matrix(left["v"]), left["code"], strict=True):
+            for qid, vector, code in zip(left["id"], _matrix(left["v"], kind), left["code"], strict=True):
                 rows = everything if tables is None else tables.within(np.frombuffer(code, np.uint8))
                 found, score = _best(qid, vector, ids, vectors, rows, k)
                 out.append(pd.DataFrame({"query_id": np.full(len(found), qid, np.int64), "vec_id": found, "score": score}))
@@ -152,12 +155,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, sample_r
 
     ``sample_rows`` bounds (in expectation) the rows whose vectors are gathered for learning.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = np.float32 if isinstance(element, FloatType) else np.float64  # vectors are kept as they came, scores are double
+    v = F.col(vector_col) if kind is np.float32 else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = rows.filter(F.size("v") > 0).filter(~bad).withColumn("square", square).filter("square > 0")
-    rows = cut(rows)
     lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("most"), F.count_if("asks").alias("asked")).orderBy(F.col("n").desc(), "dim").first()
     if lengths is None or not lengths["asked"]:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -168,24 +172,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, sample_r
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(batch.num_rows, -1)
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
+            x = own.astype(np.float64)
             asks = np.array(batch.column(2).to_pylist(), bool)
-            out = [(c.tobytes(), q.tobytes() if a else None) for c, q, a in zip(codes.encode(x, False), codes.encode(x, True), asks, strict=True)] if codes and len(x) else [(b"\0", b"\0")] * len(x)
+            out = [(c.tobytes(), q.tobytes() if a else None) for c, q, a in zip(codes.encode(x, False), codes.encode(x, True), asks, strict=True)] if codes and len(x) else [(b"\0", b"\0" if a else None) for a in asks]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c for c, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], ["id", "v", "code", "asked"]
+                [batch.column(0), pa.array([r.tobytes() for r in own], pa.binary()), pa.array([c for c, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], ["id", "v", "code", "asked"]
             )
 
     indexed = cut(rows.select("id", "v", "asks").mapInArrow(index, "id bigint, v binary, code binary, asked binary"))
     candidates = indexed.select("id", "v", "code")
-    queries = indexed.filter("asked is not null").select("id", "v", F.col("asked").alias("code")) if codes else indexed.join(rows.filter("asks").select("id"), "id", "left_semi").select("id", "v", "code")
-    n_blocks, n_query_blocks = math.ceil(lengths["n"] / BLOCK), math.ceil(lengths["asked"] / BLOCK)
-    found = cut(_search(queries, candidates, k, codes.radius if codes else None, n_query_blocks, n_blocks))
+    queries = indexed.filter("asked is not null").groupBy("id").agg(F.min(F.struct("asked", "v")).alias("q")).select("id", "q.v", F.col("q.asked").alias("code"))
+    n_blocks, n_query_blocks = math.ceil(lengths["n"] / BLOCK), math.ceil(lengths["asked"] / QUERY_BLOCK)
+    found = cut(_search(queries, candidates, k, codes.radius if codes else None, n_query_blocks, n_blocks, kind))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, lengths["n"] - 1))
     poor = cut(queries.join(enough.select(F.col("query_id").alias("id")), "id", "left_anti"))
     n_poor = poor.count()
     if n_poor:
-        rest = _search(poor, candidates, k, None, math.ceil(n_poor / BLOCK), n_blocks)
+        rest = _search(poor, candidates, k, None, math.ceil(n_poor / QUERY_BLOCK), n_blocks, kind)
         found = found.join(poor.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
