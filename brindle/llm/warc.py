@@ -5,23 +5,24 @@ becomes a ``response`` record with the payload, the others ``revisit`` records t
 to it. One record is one row of Spark's text writer, whose line separator is the CRLF pair
 that ends a WARC record, so archives go to any store and obey Spark's commit protocol.
 
-Reading: archives are read whole (``RECORDS_PER_FILE`` bounds them), parsed by
-Content-Length, and every archive yields a run of captures sorted by URL key, timestamp and
-page_id. Runs are then dealt by ranges of that order and each range's slices of the runs
-are merged by a loser tree: an external k-way merge whose output is in global order.
+Reading: archives are read as a stream of pieces between CRLF pairs, from which records are parsed
+by Content-Length, so memory holds a batch and one record, not an archive. Every archive (of at most
+``RECORDS_PER_FILE`` captures) yields a run of captures sorted by URL key, timestamp and page_id. Runs are
+then dealt by ranges of that order, of about ``RANGE_ROWS`` captures, and each range's slices of
+the runs are merged by a loser tree: an external k-way merge whose output is in global order.
 
 Defined results: null html is an empty payload; payloads below ``min_revisit_bytes`` are
 never revisits; repeated rows of the smallest page_id are all responses; a null page_id counts
 as larger than any other and as itself null in ``refers_to``; a null url is the empty URL; an
-empty table gives an empty index; extra columns are not read.
+empty table gives an empty index; pages of any length are written and read whole; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
+from itertools import batched, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from brindle.session import shared_path
 
-RECORDS_PER_FILE = 5000
+RECORDS_PER_FILE, RANGE_ROWS = 5000, 200_000
 END = "\r\n\r\n"
+MARK = END.encode()
 #: Digits of Spark's base 32 and of RFC 4648.
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = "urlkey string, ts string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, file string, offset bigint, length bigint"
@@ -68,10 +70,10 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return p.withColumn("body", body).select(F.concat(*head).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, compression: str = "gzip") -> None:
-    """Archives under ``path``; with gzip each file is one member, and offsets of the index are those inside it."""
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
+    """Archives under ``path``, each a gzip file of one member; offsets of the index are those inside it."""
     writer = records(pages, min_revisit_bytes).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.option("compression", compression).text(path)
+    writer.option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -87,26 +89,31 @@ def _number(text: str) -> int | None:
     return None if value == "null" else int(value)
 
 
-def parse(content: bytes, file: str) -> list[tuple]:
-    """The captures of one archive, in file order. Digests and sizes of payloads are taken anew."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    out, at = [], 0
-    while at < len(content):
-        start, head_end = at, content.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in content[at:head_end].decode().split("\r\n")[1:])
-        body = head_end + 4
-        at = body + int(head["Content-Length"])
-        digest, size = head["WARC-Payload-Digest"].partition(":")[2], int(head["X-Payload-Length"])
-        if head["WARC-Type"] == "response":
-            payload = content[content.index(b"\r\n\r\n", body) + 4 : at]
-            digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-        ts = "".join(c for c in head["WARC-Date"] if c.isdigit())
-        url = head["WARC-Target-URI"]
-        refers = _number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-        out.append((url_key(url), ts, _number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, url, file, start, at - start))
-        at += 4
-    return out
+def captures(pieces: Iterator[bytes], file: str) -> Iterator[tuple]:
+    """The captures of one archive, given as pieces between CRLF pairs, in file order. Digests and sizes of payloads are taken anew."""
+    held, start = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        held += MARK
+        while (head_end := held.find(MARK)) >= 0:
+            head = dict(line.split(": ", 1) for line in held[:head_end].decode().split("\r\n")[1:])
+            if "Content-Length" not in head:  # what is left behind the last record
+                return
+            body = head_end + len(MARK)
+            end = body + int(head["Content-Length"])
+            if len(held) < end + len(MARK):
+                break
+            digest, size = head["WARC-Payload-Digest"].partition(":")[2], int(head["X-Payload-Length"])
+            if head["WARC-Type"] == "response":
+                payload = memoryview(held)[held.index(MARK, body) + len(MARK) : end]
+                digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+                payload.release()
+            ts = "".join(c for c in head["WARC-Date"] if c.isdigit())
+            url = head["WARC-Target-URI"]
+            refers = _number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
+            yield url_key(url), ts, _number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, url, file, start, end
+            del held[: end + len(MARK)]
+            start += end + len(MARK)
 
 
 def _order(row: tuple) -> tuple:
@@ -123,10 +130,11 @@ NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = sorted(parse(content.as_py(), path.as_py().rpartition("/")[2]), key=_order)
-            yield _table([(*r, i) for i, r in enumerate(rows)], [*NAMES, "seq"], [*KINDS, pa.int64()])
+    """Sorted runs of captures of archives whose pieces (file, piece) come one archive after the other."""
+    rows = ((f, piece) for b in batches for f, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+    for file, pieces in groupby(rows, key=lambda r: r[0]):
+        run = sorted(captures((p.as_py() for _, p in pieces), file), key=_order)
+        yield _table([(*r, i) for i, r in enumerate(run)], [*NAMES, "seq"], [*KINDS, pa.int64()])
 
 
 def merge_runs(runs: list[list], key) -> Iterator:
@@ -155,26 +163,23 @@ def merge_runs(runs: list[list], key) -> Iterator:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: its rows come sorted by (file, seq), that is run by run; they are merged."""
-    runs: dict[str, list] = {}
-    for batch in batches:
-        for row in zip(*(batch[n].to_pylist() for n in NAMES), strict=True):
-            runs.setdefault(row[8], []).append(row)
-    ready: list[tuple] = []
-    for row in merge_runs(list(runs.values()), _order):
-        ready.append(row)
-        if len(ready) == 10_000:
-            yield _table(ready, NAMES, KINDS)
-            ready = []
-    yield _table(ready, NAMES, KINDS)
+    """One range: its rows come sorted by (file, seq), that is run by run; they are merged. Only keys are Python objects."""
+    rows = pa.Table.from_batches(list(batches), pa.schema(list(zip(NAMES, KINDS, strict=True)))).combine_chunks()
+    keys = [(u, t, p is None, p or 0, f, o) for u, t, p, f, o in zip(*(rows[n].to_pylist() for n in ("urlkey", "ts", "page_id", "file", "offset")), strict=True)]
+    firsts = [i for i in range(len(keys)) if not i or keys[i][4] != keys[i - 1][4]]
+    runs = [range(a, b) for a, b in zip(firsts, [*firsts[1:], len(keys)], strict=True)]
+    for some in batched(merge_runs(runs, keys.__getitem__), 10_000):
+        yield from rows.take(pa.array(some, pa.int64())).to_batches()
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """All captures of the archives under ``path`` (schema ``INDEX``), partition by partition in global order."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    runs = files.mapInArrow(_runs, f"{INDEX}, seq bigint")
-    dealt = runs.repartitionByRange("urlkey", "ts", "page_id").sortWithinPartitions("file", "seq")
-    return dealt.mapInArrow(_merge, INDEX)
+    text = spark.read.option("lineSep", END).text(path)
+    runs = text.select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary")).mapInArrow(_runs, f"{INDEX}, seq bigint")
+    files = spark.read.format("binaryFile").load(path).select("path").count()  # lists them, reads none
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files * RECORDS_PER_FILE // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id").sortWithinPartitions("file", "seq")
+    return dealt.drop("seq").mapInArrow(_merge, INDEX)
 
 
 def histories(index: DataFrame) -> DataFrame:
