@@ -9,7 +9,7 @@ A pass that cuts at known borders only gives an upper bound of C, one that cuts
 inside a coarse range a lower bound; what lies between their cuts is refined.
 
 Defined results: a null text counts as an empty one (size 1, crc of no bytes, in one group
-with empty texts); repeated rows get their own slots; a group above total / n_shards sets the
+with empty texts); repeated rows get their own slots; texts of any length are hashed whole; a group above total / n_shards sets the
 capacity alone; an empty table gives no rows; extra columns are not read.
 """
 
@@ -130,7 +130,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             F.xxhash64(text).alias("th"),
         )
     )
-    groups = rows.groupBy("th").agg(F.sum("size").alias("total"))
+    groups = cut(rows.groupBy("th").agg(F.sum("size").alias("total")))  # read again in every round of refinement
     _, firsts = minimax_cuts(groups, n_shards)
     shard = sum((F.when(F.col("th") >= t, 1).otherwise(0) for t in firsts), F.lit(0)).cast("int")
 
