@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from os.path import commonprefix
 from unicodedata import normalize
 
 import public_tokenizers
@@ -47,7 +48,9 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special)))
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        #: What all special strings begin with; a text without it holds none.
+        self.special_start = commonprefix(special)
         self.letters = byte_letters()
         self.known: dict[str, int] = {}
 
@@ -95,7 +98,7 @@ class WordBpe:
         return total
 
     def count(self, text: str) -> int:
-        if "<|" not in text:
+        if self.special is None or self.special_start not in text:
             return self.count_plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.count_plain, parts))
