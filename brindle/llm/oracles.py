@@ -42,12 +42,16 @@ g as (select *, sum(fresh) over (partition by m order by i) as run from (select
 x as (select *, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) as n,
   level = 0 and not (coalesce(lead(level) over (partition by m order by i), 0) > 0 and regexp_matches(t, '(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\b.*:[ \t]*$')) as own from g),
 body as (select m, trim(coalesce(string_agg(t, chr(10) order by i) filter (where own), '')) as body from x group by m),
-keys as (select c, turn, id, m, run, level, bool_and(own) filter (where level = 0 and own) as own, md5(string_agg(n, chr(10) order by i)) as hash, true as whole from x where n <> '' and (level > 0 or own) group by all
-  union all select c, turn, id, m, run, level, own, md5(n), false from x where length(n) >= 16 and (level > 0 or own)),
-said as (select c, hash, min(turn) as first from keys where level = 0 and turn is not null group by c, hash),
+para as (select *, sum((n = '')::int) over (partition by m, run order by i) as paragraph from x where level > 0 or own),
+w as (select c, turn, id, m, run, level, string_agg(n, ' ' order by i) as v from para where n <> '' group by all),
+pg as (select distinct c, turn, id, m, run, level, v from (select c, turn, id, m, run, level, paragraph, string_agg(n, ' ' order by i) as v from para where n <> '' group by all) p
+  where not exists (select 1 from para l where l.m = p.m and l.run = p.run and l.n = p.v) and not exists (select 1 from w where w.m = p.m and w.run = p.run and w.v = p.v)),
+keys as (select *, true as whole, true as long from w union all select c, turn, id, m, run, level, n, false, length(n) >= 16 from para where n <> ''
+  union all select *, false, length(v) >= 16 from pg),
+said as (select c, v, min(turn) as first from keys where level = 0 and turn is not null group by c, v),
 quoted as (select distinct c, turn, id, run, level from x where level > 0),
-votes as (select q.c, q.turn, q.id, q.run, q.level, s.first, bool_or(whole) as whole, count(*) as hits from keys q join said s on s.c = q.c and s.hash = q.hash and s.first < q.turn where q.level > 0 group by all),
-best as (select c, turn, id, run, level, first as original from (select *, row_number() over (partition by c, turn, id, run, level order by whole desc, hits desc, first desc) as r from votes) where r = 1),
+votes as (select q.c, q.turn, q.id, q.run, q.level, s.first, bool_or(whole) as whole, count(*) filter (where long) as longer, count(*) as hits from keys q join said s on s.c = q.c and s.v = q.v and s.first < q.turn where q.level > 0 group by all),
+best as (select c, turn, id, run, level, first as original from (select *, row_number() over (partition by c, turn, id, run, level order by whole desc, longer desc, hits desc, first desc) as r from votes) where r = 1),
 links as (select q.*, b.original from quoted q left join best b using (c, turn, id, run, level) where q.turn is not null),
 per as (select c, turn, id, count(*) as n_quotes, count(original) as n_linked, max(level) as quote_depth, arg_min(original, level * 1000000 + run) filter (where original is not null) as parent_turn from links group by all),
 par as (select c, turn, min(parent_turn) as parent from per where parent_turn is not null group by all),
@@ -57,7 +61,7 @@ o as (select k.*, body, coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0)
   coalesce(root, k.turn) as root_turn, cast(coalesce(depth, 0) as integer) as reply_depth
   from k join body using (m) left join per on per.c = k.c and per.turn = k.turn and per.id = k.id left join ends on ends.c = k.c and ends.turn = k.turn)
 select conv_id, turn, role, length(body) as body_chars, md5(body) as body_md5, n_quotes, n_linked, quote_depth, parent_turn, root_turn, reply_depth,
- row_number() over (partition by c order by root_turn nulls last, reply_depth, turn nulls last, id) - 1 as position from o
+ dense_rank() over (partition by c order by root_turn nulls last, reply_depth, turn nulls last, id) - 1 as position from o
 """
 
 #: The base numbers by windows over words, the line rules by regular expressions without lookaround.
@@ -71,7 +75,9 @@ f as (select *, row_number() over (partition by m, line order by i) as nth, leng
   len(list_filter(string_split_regex(line, '[ \t]'), lambda x: x in ('|', '»', '›', '>', '·', '•'))) >= greatest(2, 0.25 * nw)
   or (nw >= 3 and len(regexp_extract_all(line, '[!?*#%&]{{2,}}')) > 0.3 * nw)
   or (nw <= 4 and not regexp_matches(line, '[.!?…"''”’»)\]:;。！？]\s*$'))
-  or (nw <= 25 and regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|enable javascript|click here|subscribe to our|sign up|log in|lorem ipsum|powered by')) as fails
+  or (nw >= 30 and not regexp_matches(line, '[.!?…,;:。！？，；：、]'))
+  or (nw <= 8 and regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_])(accept (?:all )?cookies|click here|subscribe to our|sign up|log in|read more|cookies akzeptieren|hier klicken|newsletter abonnieren|jetzt registrieren|einloggen|mehr lesen|accepter les cookies|cliquez ici|abonnez-vous|se connecter|lire la suite|aceptar (?:las )?cookies|haga clic aquí|suscríbase|iniciar sesión|leer más)($|[^\p{{L}}\p{{N}}_])'))
+  or (nw <= 25 and regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_])(all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|enable javascript|lorem ipsum|powered by|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|impressum|javascript aktivieren|tous droits réservés|conditions d[''’]utilisation|politique de confidentialité|mentions légales|activer javascript|todos los derechos reservados|términos (?:de uso|del servicio)|política de privacidad|aviso legal|activar javascript)($|[^\p{{L}}\p{{N}}_])')) as fails
   from n where nw > 0),
 s as (select m, count(*) filter (where nth > 1) as n_dup_lines, coalesce(sum(chars) filter (where nth = 1 and not fails), 0) as chars_left from f group by m),
 w as (select m, unnest(ws) as a, generate_subscripts(ws, 1) as i from b),
