@@ -1,8 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact checks.
 
-Sets: the five-word windows of a text, each of weight 1 however often it is found, since links
-are by similarity of sets; candidates by any other weight would miss links. Every element
-owns a strip of the (weight, rank) plane; unit-rate Poisson darts are hashed into it, the same
+Sets: the five-word windows of a text. Every element owns a strip of the (weight, rank) plane; unit-rate Poisson darts are hashed into it, the same
 for every document. A document sees the darts below its weights, up to a rank at which it
 expects a few darts per coordinate (raised where a coordinate stays empty); the earliest dart of each
 coordinate is its signature. Work is in proportion to elements plus darts, whatever
@@ -11,21 +9,27 @@ Jaccard similarity.
 
 Equal texts collapse first (map-side aggregation). Distinct texts meet where all rows of a
 band agree: every member of a bucket is compared with the bucket's best connected member
-only, by exact similarity of window sets; links give components. Buckets that still hold
-several components are settled in blocks: inside a task, pairs across components whose
-signatures agree enough are checked exactly, and only links that join what was not yet joined
-come out. So no bucket is capped and no connection between different texts in a common
-bucket is lost, but neither copies nor buckets are expanded into pairs.
+only, by exact similarity of window sets; links give components. In buckets that still hold
+several components, those members outside the largest one are compared with the rest in
+blocks: a block pair finds its candidates by the least window hashes of each set (two sets that are
+similar enough share one of those), checks them exactly, and gives only links that join what
+was not yet joined. So no bucket is capped and no link between texts in a common bucket is
+lost; neither copies nor buckets are expanded into pairs. What is lost are links between texts that share
+no bucket: at similarity s that is (1 - s ** rows) ** bands, 7e-5 at 0.8.
+
+With ``counted`` a window weighs as often as it is found, in signatures and in the exact checks
+(weighted Jaccard similarity); else it weighs 1.
 
 Defined results: null texts are alone in their class; texts without words are copies only of
 equal texts; a text of under five words is one window; a class is named by its smallest
 doc_id (null last); repeated rows are in one class, of which ``keep_one`` leaves one row;
-empty tables give no rows; work columns are named ``_nd_*``, so others cannot clash.
+empty tables give no rows; texts are read whole, in memory in proportion to one text; work columns are named ``_nd_*``, so others cannot clash.
 Nodes are 64-bit hashes of MD5 sums of texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +42,8 @@ from pyspark.sql import functions as F
 from brindle.llm.text_hashes import U, groups, mix, windows, word_hashes
 from brindle.session import cut
 
-BLOCK = 512
+#: Members of a block, and bytes of window sets in it (in expectation) where sets are large.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -47,8 +52,7 @@ class Banding:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
-    #: Pairs in mixed buckets are checked exactly from this share of equal coordinates on.
-    estimate: float = 0.62
+    counted: bool = False
 
     @property
     def coordinates(self) -> int:
@@ -111,8 +115,8 @@ def _sign(b: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts, ends in groups(batch.column("_nd_text")):
-                docs, elements, _ = window_sets(data, starts, ends, b.words)
-                ids = dart_signatures(docs, elements, np.ones(len(docs)), j - i, b.coordinates)
+                docs, elements, times = window_sets(data, starts, ends, b.words)
+                ids = dart_signatures(docs, elements, times.astype(np.float64) if b.counted else np.ones(len(docs)), j - i, b.coordinates)
                 band = np.zeros((j - i, b.bands), np.uint64)
                 for r in range(b.rows):
                     band = mix(band + ids.reshape(j - i, b.bands, b.rows)[:, :, r])
@@ -122,11 +126,8 @@ def _sign(b: Banding):
                 sizes = np.where(some, b.bands, 0)
                 flat = pa.array(band[some].reshape(-1).view(np.int64), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
-                # A byte per coordinate: unequal ones seem equal once in 256, so estimates only rise by a trifle.
-                raw, width = ids.astype(np.uint8).tobytes(), b.coordinates
-                sigs = pa.array([raw[width * x : width * (x + 1)] for x in range(j - i)], pa.binary())
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([rows.column("_nd_id"), rows.column("_nd_key"), lists, sigs], ["_nd_id", "_nd_key", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([rows.column("_nd_id"), rows.column("_nd_key"), lists], ["_nd_id", "_nd_key", "bands"])
 
     return run
 
@@ -135,6 +136,14 @@ def _node(key):
     return F.xxhash64(key)
 
 
+def expanded(docs: np.ndarray, elements: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counted sets as plain ones, sorted: an element found n times is n elements."""
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    docs, elements = np.repeat(docs, times), mix(np.repeat(elements, times) + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    order = np.lexsort((elements, docs))
+    return docs[order], elements[order]
+
+
 def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     """Is the Jaccard similarity of two sorted arrays of distinct hashes large enough?"""
     small, large = (p, q) if len(p) <= len(q) else (q, p)
@@ -158,7 +167,9 @@ def _window_sets(wanted: DataFrame, texts: DataFrame, reps: DataFrame, b: Bandin
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts, ends in groups(batch.column(1)):
-                docs, elements, _ = window_sets(data, starts, ends, b.words)
+                docs, elements, times = window_sets(data, starts, ends, b.words)
+                if b.counted:
+                    docs, elements = expanded(docs, elements, times)
                 edge = np.searchsorted(docs, np.arange(j - i + 1))
                 raw = elements.tobytes()
                 out = pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
@@ -180,6 +191,11 @@ def _checked(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(similar, "a bigint, b bigint")
 
 
+def _typical_bytes(sets: DataFrame) -> float:
+    """Mean size of a window set in bytes, 8 at least."""
+    return max(8.0, sets.agg(F.avg(F.octet_length("windows"))).head()[0] or 8.0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each connected component of (a, b) links.
 
@@ -198,36 +214,58 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed_links(members: DataFrame, b: Banding) -> DataFrame:
-    """Links that join components in buckets which hold several, in blocks of about ``BLOCK`` members.
+def prefix(windows: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a sorted set, one of which any set that is similar enough has among its own."""
+    return windows[: len(windows) - math.ceil(similarity * len(windows) - 1e-9) + 1]
+
+
+def candidates(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): which sets of ``right`` share a prefix hash with set i of ``left``; every similar one is among them."""
+    parts = [prefix(w, similarity) for w in right]
+    keys, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    for i, w in enumerate(left):
+        mine = prefix(w, similarity)
+        lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        n = hi - lo
+        yield i, np.unique(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+
+
+def _mixed_links(members: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
+    """Links that join components in buckets which hold several.
 
-    ``members``: (h, node, comp, sig, windows). Each pair of blocks of a bucket is one group, so a bucket
-    of n members is read n / BLOCK times. A group gives fewer links than it has members: pairs that
-    its earlier links joined are not checked again.
+    ``members``: (h, node, comp, main, nb, ob): whether the node is in the bucket's largest component, and the
+    bucket's number of blocks of such nodes and of others. Others meet each other and the main ones in pairs of
+    blocks, one group each; a main node is sent to every block of others, of which there are few where one
+    component prevails. The buckets' keys are dealt before window sets are joined, by node.
     """
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    m = members.join(sizes, "h").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    m = m.withColumn("own", F.pmod(F.xxhash64("node", "h"), F.col("nb")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("h", "node", "comp", "sig", "windows", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    own = F.pmod(F.xxhash64("node", "h"), F.when(F.col("main"), F.col("nb")).otherwise(F.col("ob"))).cast("int")
+    m = members.withColumn("own", own)
+    last = F.col("ob") - 1
+    meets = F.when(F.col("main"), F.transform(F.sequence(F.lit(0), last), lambda y: F.struct((-1 - F.col("own")).alias("x"), y.cast("int").alias("y"))))
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda y: F.struct(F.least(y.cast("int"), "own").alias("x"), F.greatest(y.cast("int"), "own").alias("y")))
+    mains = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct((-1 - x.cast("int")).alias("x"), F.col("own").alias("y")))
+    m = m.withColumn("at", F.explode(F.coalesce(meets, F.concat(mains, pairs)))).select("h", "node", "comp", "own", "main", "at.x", "at.y")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-        node, own = group["node"].to_numpy(), group["own"].to_numpy()
+        node, main, own = group["node"].to_numpy(), group["main"].to_numpy(), group["own"].to_numpy()
         comp = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
         windows = [np.frombuffer(w, np.uint64) for w in group["windows"]]
-        left, right = np.flatnonzero(own == group["x"].iloc[0]), np.flatnonzero(own == group["y"].iloc[0])
+        x = group["x"].iloc[0]
+        left = np.flatnonzero(~main & (own == group["y"].iloc[0]))
+        right = np.flatnonzero(main) if x < 0 else np.flatnonzero(~main & (own == x))
         out = []
-        for i in left:
-            near = right[comp[right] != comp[i]]
-            near = near[(sig[near] == sig[i]).mean(1) >= b.estimate] if len(near) else near
-            for j in near:
-                if comp[j] != comp[i] and _alike(windows[i], windows[j], b.similarity):
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
-                    comp[comp == comp[j]] = comp[i]
+        if len(left) and len(right):
+            for k, near in candidates([windows[i] for i in left], [windows[j] for j in right], b.similarity):
+                i = left[k]
+                for j in right[near]:
+                    if comp[j] != comp[i] and _alike(windows[i], windows[j], b.similarity):
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
+                        comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return m.groupBy("h", "x", "y").applyInPandas(links, "a bigint, b bigint").distinct()
+    return m.join(sets, "node").groupBy("h", "x", "y").applyInPandas(links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,19 +273,20 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     b = banding
     work = docs.select(F.col(id_col).alias("_nd_id"), F.md5(text_col).alias("_nd_key"), F.col(text_col).alias("_nd_text"))
     id_type = work.dtypes[0][1]
-    schema = f"_nd_id {id_type}, _nd_key string, bands array<bigint>, sig binary"
+    schema = f"_nd_id {id_type}, _nd_key string, bands array<bigint>"
     signed = cut(work.mapInArrow(_sign(b), schema))
-    distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = cut(distinct.withColumn("node", _node("_nd_key")))
     texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_id", "_nd_text")
     reps = nodes.select("node", F.col("rep").alias("_nd_rep"))
 
     rows = nodes.select("node", F.explode("bands").alias("h"))
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Sums by bucket are cut, so that joins with them are of two plain shuffles and a hot bucket can be split.
+    shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = cut(rows.join(shared, "h").select("h", "node", "n"))
     # The centre of a bucket is its best connected member: in a group of near copies that is the text they come from.
     fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
-    centres = met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a"))
+    centres = cut(met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a")))
     pairs = met.join(centres, "h").filter("a != node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     pairs = cut(pairs.distinct())
     # Every node that shares a bucket is in a pair, so its window set is made here, once.
@@ -255,12 +294,17 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     links = cut(_checked(pairs, sets, b))
     labels = components(links)
 
-    large = met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = large.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("who")).filter("lo != hi")
+    large = cut(met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp")))
+    # First by bucket and component, so that a hot bucket is a few rows before it is summed up.
+    per = large.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("who"))
+    mixed = per.groupBy("h").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.bit_xor("who").alias("who")).filter("comps > 1")
     # Bands in which the same texts meet make equal buckets; one of them is enough.
-    mixed = mixed.groupBy("lo", "hi", "n", "who").agg(F.min("h").alias("h")).select("h")
-    members = large.join(mixed, "h").join(nodes.select("node", "sig"), "node")
-    more = cut(_mixed_links(members.join(sets, "node"), b))
+    mixed = mixed.groupBy("top", "comps", "n", "who").agg(F.min("h").alias("h"))
+    blocks = lambda n: F.ceil(n / F.col("block")).cast("int")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.lit(_typical_bytes(sets)))))
+    mixed = mixed.withColumn("block", block).select("h", F.col("top.comp").alias("main"), blocks(F.col("top.n")).alias("nb"), blocks(F.col("n") - F.col("top.n")).alias("ob"))
+    members = large.join(cut(mixed), "h").withColumn("main", F.col("comp") == F.col("main"))
+    more = cut(_mixed_links(members, sets, b))
     if not more.isEmpty():
         labels = components(links.union(more))
 
