@@ -72,10 +72,10 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brindle.llm.sentencepiece import decode, encode
+    from brindle.llm.sentencepiece import encode
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode(encode(docs))
+    coded = encode(docs, decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -8,14 +8,18 @@ border that is final, so a path of weight 0 exists, is unique and is the BPE enc
 
 A giant document is cut into chunks. The state at a cut is (characters by which a piece
 reaches past it, that piece). Each chunk yields its transfer matrix between the states at
-its two cuts, as the set of entries that are 0. Matrices are combined associatively (max of
-sums is "or" of "and" for weights 0 and minus infinity); a pass from the end picks the one
-state of weight 0 at each cut, and every chunk is backtraced between its two states, alone.
+its two cuts, as the set of entries that are 0; entries that no path from the last border of
+units before the cut reaches are left out. Matrices are combined associatively (max of sums
+is "or" of "and" for weights 0 and minus infinity), in parallel: blocks of ``BLOCK`` chunks are
+multiplied, the few products of a text (a text holds 2 GB at most) give the states at the
+borders of blocks, and each block then gives the states at its own cuts. Every chunk is
+backtraced between its two states, alone.
 
 Inside a chunk, units (a run of word-start marks with the text behind it) are independent,
 as no piece has a mark after another character. A whole unit's path is BPE of the unit by
-definition and found by merging; results are remembered by each worker. Only the parts of
-units next to a cut need the lattice.
+definition; the distinct units of about ``GROUP_CHARS`` characters are merged side by side in
+arrays, so memory is bounded and nothing is kept between batches but pair checks of the
+lattice (``REMEMBERED`` at most). Only the parts of units next to a cut need the lattice.
 
 Defined results: a null text is encoded as an empty one (no ids); texts of any length are
 encoded whole; characters outside the vocabulary become byte pieces; U+2581 in a text is
@@ -29,7 +33,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,33 +42,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.text_hashes import run_hashes
+from brindle.session import cut
+
 MARK = "▁"
 CHUNK = 16_384
-REMEMBERED = 500_000
+BLOCK = 512
+GROUP_CHARS = 1 << 19
+REMEMBERED = 50_000
+LONG_UNIT = 64
+NO_PAIR = np.iinfo(np.int32).max
 LETTER = re.compile(r"[^\W\d_]")
+IS_MARK, IS_HARD, IS_LETTER, IS_ENDING = 1, 2, 4, 8
 #: Fixed value: piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
-class _Units(dict):
-    """Packed ids of units; what is missing is made, short units are remembered up to a bound."""
-
-    def __init__(self, make) -> None:
-        self.make = make
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.make(unit)
-        if len(unit) < 100:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[unit] = ids
-        return ids
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of many runs (start, size), one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def id_lists(packed: list[bytes]) -> pa.ListArray:
-    """Packed ids of rows as an Arrow list column."""
-    offsets = np.append(0, np.cumsum([len(x) // 4 for x in packed])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32()))
+def id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Ids that lie one row after the other as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32), pa.int32()), pa.array(ids, pa.int32()))
 
 
 class PieceLattice:
@@ -82,16 +83,171 @@ class PieceLattice:
         letters = {c for p in self.ids for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a word-start mark after another character")
-        hard = [c for c in "\n\t" if c not in letters]
-        self.hard = set(hard)
-        outside = re.escape(MARK + "".join(hard))
-        # Characters that follow a letter in no piece: a run of letters before one is a unit as well.
+        self.hard = {c for c in "\n\t" if c not in letters}
+        # Characters that follow a letter in no piece: a border lies between a letter and such a one.
         follow = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if LETTER.match(a)}
         self.ending = {c for c in letters if not LETTER.match(c) and c != MARK and c not in follow}
-        word = f"{MARK}*+{LETTER.pattern}++(?=[{''.join(map(re.escape, sorted(self.ending)))}])|" if self.ending else ""
-        self.unit = re.compile(word + f"{MARK}*+[^{outside}]++|{MARK}++" + (f"|[{''.join(map(re.escape, hard))}]" if hard else ""))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known = _Units(lambda unit: self.packed(self.merge(unit)))
+        self._arrays(n)
+
+    def _arrays(self, n: int) -> None:
+        """Tables for merging in arrays: a symbol is a piece's id, or ``n`` plus a code point that is no piece."""
+        self.n = n
+        every = range(0x110000)
+        self.classes = np.fromiter((IS_LETTER if chr(c).isalnum() and not chr(c).isdecimal() else 0 for c in every), np.uint8, len(every))
+        for chars, flag in ((MARK, IS_MARK), (self.hard, IS_HARD), (self.ending, IS_ENDING)):
+            for c in chars:
+                self.classes[ord(c)] |= flag
+        self.symbols = np.arange(n, n + len(every), dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        order = {s: r for r, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        name = lambda x: self.ids.get(x, n + ord(x) if len(x) == 1 else None)
+        found = [(a << 21 | b, order[self.scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := name(p[:k])) is not None and (b := name(p[k:])) is not None]
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        # Pairs by open addressing: whoever finds its slot taken goes to the next.
+        bits = max(8, (8 * len(table)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.pair_keys, self.pair_ranks, self.pair_symbols = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_PAIR, np.int32), np.zeros(1 << bits, np.int32)
+        todo, slot = np.arange(len(table)), self._slots(table[:, 0])
+        while len(todo):
+            free = self.pair_keys[slot[todo]] < 0
+            self.pair_keys[slot[todo[free]]] = table[todo[free], 0]  # of several with one slot the last stays
+            todo = todo[self.pair_keys[slot[todo]] != table[todo, 0]]
+            slot[todo] = (slot[todo] + 1) & ((1 << bits) - 1)
+        self.pair_ranks[slot], self.pair_symbols[slot] = table[:, 1], table[:, 2]
+        self.byte_table = np.array([self.byte_ids[b] for b in range(256)], np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the merge of neighbours (``NO_PAIR`` where there is none) and its symbol."""
+        key = left.astype(np.int64) << 21 | right
+        at = self._slots(key)
+        found = self.pair_keys[at]
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.pair_keys) - 1)
+            found[todo] = self.pair_keys[at[todo]]
+            todo = todo[(found[todo] != key[todo]) & (found[todo] >= 0)]
+        return self.pair_ranks[at], self.pair_symbols[at]  # an empty slot has no pair
+
+    def merge_many(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of many units (symbols one unit after the other, symbols per unit): in each step every unit has its best merge."""
+        unit, out = np.arange(len(sizes)), []
+        last = np.zeros(len(symbols), bool)
+        last[np.cumsum(sizes) - 1] = True
+        rank, merged = np.full(len(symbols), NO_PAIR, np.int32), np.zeros(len(symbols), np.int32)
+        if len(symbols) > 1:
+            rank[:-1], merged[:-1] = self._pairs(symbols[:-1], symbols[1:])
+        rank[last] = NO_PAIR
+        while len(unit):
+            best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(rank)), np.cumsum(sizes) - sizes)
+            alive = best < NO_PAIR << 32
+            chosen = np.zeros(len(symbols), bool)
+            chosen[(best & 0xFFFFFFFF)[alive]] = True
+            if not alive.all():
+                here = np.repeat(alive, sizes)
+                out.append((unit[~alive], sizes[~alive], symbols[~here]))
+                unit, sizes = unit[alive], sizes[alive]
+                symbols, rank, merged, last, chosen = (x[here] for x in (symbols, rank, merged, last, chosen))
+                if not len(unit):
+                    break
+            at = np.flatnonzero(chosen)
+            symbols[at], last[at] = merged[at], last[at + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, rank, merged, last = (x[keep] for x in (symbols, rank, merged, last))
+            at -= np.arange(len(at))
+            sizes = sizes - 1
+            changed = np.concatenate([at, at[at > np.cumsum(sizes) - sizes] - 1])
+            rank[changed] = NO_PAIR
+            changed = changed[~last[changed]]
+            rank[changed], merged[changed] = self._pairs(symbols[changed], symbols[changed + 1])
+        total = np.zeros(sum(len(u) for u, _, _ in out), np.int64)
+        for u, n, _ in out:
+            total[u] = n
+        flat, first = np.zeros(int(total.sum()), np.int32), np.cumsum(total) - total
+        for u, n, s in out:
+            flat[ragged(first[u], n)] = s
+        return flat, total
+
+    def encode_normal(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts of whole units, one text after the other, and where each ends."""
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        kind = self.classes[points]
+        before = np.append(np.uint8(IS_HARD), kind[:-1])
+        border = ((kind | before) & IS_HARD > 0) | ((kind & IS_MARK > 0) & (before & IS_MARK == 0)) | ((before & IS_LETTER > 0) & (kind & IS_ENDING > 0))
+        border[ends[:-1][ends[:-1] < len(points)]] = True
+        starts = np.flatnonzero(border)
+        sizes = np.diff(np.append(starts, len(points)))
+        which, inverse = self._distinct(points, starts, sizes)
+        symbols, n = self._merged(joined, points, starts[which], sizes[which])
+        per_unit = n[inverse]
+        flat = symbols[ragged((np.cumsum(n) - n)[inverse], per_unit)]
+        ids, id_ends = self._to_ids(flat)
+        unit_ends = np.append(0, np.append(0, id_ends)[np.cumsum(per_unit)])
+        return ids, unit_ends[np.searchsorted(starts, ends)]
+
+    @staticmethod
+    def _distinct(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One unit of each kind, and the kind of every unit; hashes say which may be equal, a comparison that they are."""
+        _, which, inverse = np.unique(run_hashes(points, starts, starts + sizes), return_index=True, return_inverse=True)
+        like = which[inverse]
+        if not (sizes[like] == sizes).all() or not (points[ragged(starts[like], sizes)] == points).all():
+            return np.arange(len(starts)), np.arange(len(starts))
+        return which, inverse
+
+    def _merged(self, joined: str, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        short = sizes <= LONG_UNIT
+        flat, n = self.merge_many(self.symbols[points[ragged(starts[short], sizes[short])]], sizes[short])
+        if short.all():
+            return flat, n
+        long = [np.array([self.ids.get(p, self.n + ord(p[0])) for p in self.merge(joined[s : s + k])], np.int32) for s, k in zip(starts[~short], sizes[~short], strict=True)]
+        total = np.zeros(len(starts), np.int64)
+        total[short], total[~short] = n, [len(x) for x in long]
+        first, out = np.cumsum(total) - total, np.zeros(int(total.sum()), np.int32)
+        out[ragged(first[short], n)], out[ragged(first[~short], total[~short])] = flat, np.concatenate(long)
+        return out, total
+
+    def _to_ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, and where each symbol's end: characters that are no piece give their bytes."""
+        odd = np.flatnonzero(symbols >= self.n)
+        if not len(odd):
+            return symbols, np.arange(1, len(symbols) + 1)
+        points, of = np.unique(symbols[odd] - self.n, return_inverse=True)
+        coded = [chr(c).encode("utf-8", "replace") for c in points]
+        width, n = np.array([len(c) for c in coded]), np.ones(len(symbols), np.int64)
+        raw = np.array([list(c.ljust(4, b"\0")) for c in coded])
+        n[odd] = width[of]
+        ends = np.cumsum(n)
+        out = np.zeros(int(ends[-1]), np.int32)
+        out[ends - n] = symbols
+        for k in range(4):
+            has = width[of] > k
+            out[(ends - n)[odd[has]] + k] = self.byte_table[raw[of[has], k]]
+        return out, ends
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one text after the other, and where each ends; in groups of bounded size."""
+        ids, ends, at, i = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0, 0
+        while i < len(texts):
+            group, size = [], 0
+            while i < len(texts) and (not group or size < GROUP_CHARS):
+                group.append(self.normal(texts[i]))
+                size += len(group[-1])
+                i += 1
+            found, stop = self.encode_normal(group)
+            ids.append(found)
+            ends.append(stop + at)
+            at += len(found)
+        return np.concatenate(ids), np.concatenate(ends)
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: best score first, leftmost among equals."""
@@ -138,7 +294,7 @@ class PieceLattice:
             return True
         key = a, b
         if (ok := self.fits.get(key)) is None:
-            if len(self.fits) >= 4 * REMEMBERED:
+            if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
             ok = self.fits[key] = self.merge(a + b) == [a, b]
         return ok
@@ -185,18 +341,14 @@ class PieceLattice:
                 out.extend(self.byte_ids[b] for b in p.encode("utf-8", "replace"))
         return out
 
-    def packed(self, pieces: list[str]) -> bytes:
-        return np.array(self.to_ids(pieces), np.int32).tobytes()
+    def is_border(self, text: str, b: int) -> bool:
+        """Does a unit begin (or the text end) at a position?"""
+        return b in (0, len(text)) or text[b] in self.hard or text[b - 1] in self.hard or (text[b] == MARK and text[b - 1] != MARK)
 
-    def units_packed(self, text: str) -> bytes:
-        """Piece ids of a text of whole units as packed 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.unit.findall(text)))
-
-    def cuts_between_units(self, text: str, start: int, end: int) -> tuple[int, int] | None:
-        """First and last position in [start, end] at which a unit begins."""
-        ok = lambda b: 0 < b < len(text) and (text[b] in self.hard or text[b - 1] in self.hard or (text[b] == MARK and text[b - 1] != MARK))
-        first = next((b for b in range(start, end + 1) if ok(b)), None)
-        return None if first is None else (first, next(b for b in range(end, first - 1, -1) if ok(b)))
+    def borders(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        """First and last position in [start, end] that is a border of units."""
+        first = next((b for b in range(start, end + 1) if self.is_border(text, b)), None)
+        return None if first is None else (first, next(b for b in range(end, first - 1, -1) if self.is_border(text, b)))
 
     def states(self, text: str, cut: int) -> list[tuple[int, str]]:
         """States that are possible at a cut: (characters past it, piece that ends there)."""
@@ -221,44 +373,49 @@ class PieceLattice:
                 if state not in seen and self.weight_0(before, piece):
                     seen.add(state)
                     todo.append(state)
-        return sorted(out)
+        return sorted(out, key=_order)
+
+    def entries(self, text: str, start: int) -> list[tuple]:
+        """States that are possible at a chunk's start; what is before it in ``text`` is context.
+
+        A border of units is the state (0, None). After a border in the context only the states count to which it leads.
+        """
+        if self.is_border(text, start):
+            return [(0, None)]
+        near = self.borders(text, 1, start)
+        return self.states(text, start) if near is None else self.reach(text, near[1], None, start)
 
-    def matrix(self, text: str, start: int, end: int, first: bool) -> dict[tuple, list[tuple]]:
+    def matrix(self, text: str, start: int, end: int) -> dict[tuple, list[tuple]]:
         """Entries of weight 0 of a chunk [start, end) of ``text``, which has context on both sides."""
-        entries = [(0, None)] if first else self.states(text, start)
-        between = self.cuts_between_units(text, start + (first is True), end)
+        entries, between = self.entries(text, start), self.borders(text, start, end)
         if between is None:
-            rows = {e: self.reach(text, start + e[0], e[1], end) for e in entries if start + e[0] <= end}
+            rows = {e: self.reach(text, start + e[0], e[1], end) for e in entries}
         else:
-            exits = self.reach(text, between[1], None, end) if between[1] < end else [(0, text[self._last_start(text, between, end) : end])]
+            exits = [(0, None)] if between[1] == end else self.reach(text, between[1], None, end)
             rows = {e: exits for e in entries if start + e[0] <= between[0] and self.path(text, start + e[0], e[1], between[0]) is not None}
         return {e: x for e, x in rows.items() if x}
 
-    def _last_start(self, text: str, between: tuple[int, int], end: int) -> int:
-        """Where the last piece before ``end`` begins, when a unit ends at ``end``."""
-        begin = end - 1
-        while begin > between[0] and not (text[begin] in self.hard or text[begin - 1] in self.hard or (text[begin] == MARK and text[begin - 1] != MARK)):
-            begin -= 1
-        if begin < between[0] or begin == end:
-            return end - 1
-        return end - len(self.path(text, begin, None, end)[-1])
-
-    def chunk_packed(self, text: str, start: int, end: int, entry: tuple, leave: tuple) -> bytes:
-        """Backtrace of one chunk between its two states: packed piece ids."""
+    def chunk_parts(self, text: str, start: int, end: int, entry: tuple, leave: tuple) -> tuple[list[int], str, list[int]]:
+        """Backtrace of one chunk between its two states: ids, a text of whole units, ids."""
         at, goal = start + entry[0], end + leave[0]
-        between = self.cuts_between_units(text, at + (entry[1] is None), end) if at <= end else None
+        between = self.borders(text, at, end) if at <= end else None
         if between is None:
-            return self.packed(self.path(text, at, entry[1], goal, leave[1]) or [])
+            return self.to_ids(self.path(text, at, entry[1], goal, leave[1]) or []), "", []
         head, tail = self.path(text, at, entry[1], between[0]), self.path(text, between[1], None, goal)
-        return self.packed(head) + self.units_packed(text[between[0] : between[1]]) + self.packed(tail)
+        return self.to_ids(head), text[between[0] : between[1]], self.to_ids(tail)
+
+    def encode_chunks(self, parts: list[tuple[list[int], str, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks given by ``chunk_parts``, one after the other, and where each ends."""
+        out, sizes = [np.zeros(0, np.int32)], []
+        for head, units, tail in parts:
+            out += [np.array(head, np.int32), self.encode_normal([units])[0], np.array(tail, np.int32)]
+            sizes.append(sum(map(len, out[-3:])))
+        return np.concatenate(out), np.cumsum(sizes)
 
     def normal(self, text: str | None) -> str:
         """The model's normal form: a mark in front, marks for spaces (identity otherwise)."""
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def encode(self, text: str | None) -> bytes:
-        return self.units_packed(self.normal(text))
-
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of id sequences that lie one after the other; ``ends`` are their ends in ``ids``."""
         taken = self.bytes.take(pa.array(ids, pa.int32()))
@@ -268,11 +425,26 @@ class PieceLattice:
         return [data[i:j].decode("utf-8", "replace").removeprefix(" ") for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def states_at_cuts(steps: list[dict], entry: tuple, leave: tuple) -> list[tuple]:
+    """The states of the path of weight 0 before, between and behind matrices in a row."""
+    reached = [{entry}]
+    for m in steps:
+        reached.append({x for e in reached[-1] for x in m.get(e, ())})
+    out = [leave]
+    for m, before in zip(reversed(steps), reversed(reached[:-1]), strict=True):
+        out.append(next(e for e in sorted(before, key=_order) if out[-1] in m.get(e, ())))
+    return out[::-1]
+
+
+def _order(state: tuple) -> tuple:
+    return state[0], state[1] or ""
+
+
 def compose(a: dict[tuple, list[tuple]], b: dict[tuple, list[tuple]]) -> dict[tuple, list[tuple]]:
     """Max-plus product of two transfer matrices of weights 0 and minus infinity."""
     out = {}
     for entry, middle in a.items():
-        if reached := sorted({x for m in middle for x in b.get(m, ())}):
+        if reached := sorted({x for m in middle for x in b.get(m, ())}, key=_order):
             out[entry] = reached
     return out
 
@@ -287,7 +459,7 @@ def lattice(path: str) -> PieceLattice:
 
 
 def _pack(matrix: dict[tuple, list[tuple]]) -> str:
-    exits = sorted({tuple(x) for v in matrix.values() for x in v})
+    exits = sorted({tuple(x) for v in matrix.values() for x in v}, key=_order)
     at = {x: i for i, x in enumerate(exits)}
     return json.dumps([exits, [[*e, [at[tuple(x)] for x in v]] for e, v in matrix.items()]])
 
@@ -297,6 +469,43 @@ def _unpack(text: str) -> dict[tuple, list[tuple]]:
     return {(o, last): [tuple(exits[i]) for i in v] for o, last, v in rows}
 
 
+STATES = "key string, {id} int, o int, last string, xo int, xlast string"
+
+
+def _states_frame(key, of: str, ids, states: list[tuple]) -> pd.DataFrame:
+    """The state before and behind each of the matrices in a row."""
+    names = {"o": [s[0] for s in states[:-1]], "last": [s[1] for s in states[:-1]], "xo": [s[0] for s in states[1:]], "xlast": [s[1] for s in states[1:]]}
+    return pd.DataFrame({"key": key, of: ids} | names)
+
+
+def scan(matrices: DataFrame) -> DataFrame:
+    """(key, k, o, last, xo, xlast): the states at the two cuts of every chunk, from (key, k, block, m).
+
+    Three steps, each over groups of at most ``BLOCK`` matrices: products of blocks, states at the
+    borders of blocks, states inside blocks. The number of partitions is given, so that the
+    few bytes of matrices are not put in one task.
+    """
+    n = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cut(matrices.repartition(n, "key", "block"))
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        steps = [_unpack(m) for m in group.sort_values("k")["m"]]
+        return pd.DataFrame({"key": group["key"].iloc[:1], "block": group["block"].iloc[:1], "m": [_pack(reduce(compose, steps))]})
+
+    def borders(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        return _states_frame(group["key"], "block", group["block"], states_at_cuts([_unpack(m) for m in group["m"]], (0, None), (0, None)))
+
+    def inside(group: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        group, e = group.sort_values("k"), ends.iloc[0]
+        text = lambda x: x if isinstance(x, str) else None  # noqa: E731  pandas may turn a null into NaN
+        return _states_frame(group["key"], "k", group["k"], states_at_cuts([_unpack(m) for m in group["m"]], (int(e["o"]), text(e["last"])), (int(e["xo"]), text(e["xlast"]))))
+
+    products = blocks.groupBy("key", "block").applyInPandas(product, "key string, block int, m string")
+    ends = products.repartition(n, "key").groupBy("key").applyInPandas(borders, STATES.format(id="block"))
+    return blocks.groupBy("key", "block").cogroup(ends.groupBy("key", "block")).applyInPandas(inside, STATES.format(id="k"))
+
+
 def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     """(key, ids) of the distinct texts of ``docs`` (key, text)."""
     margin = lattice(path).longest
@@ -310,54 +519,49 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path)
         for b in batches:
-            out = [_pack(lat.matrix(p, le, le + n, k == 0)) for k, le, n, p in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
+            out = [_pack(lat.matrix(p, le, le + n)) for le, n, p in zip(*(b.column(i).to_pylist() for i in range(2, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["key", "k", "m"])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        """All matrices of one text (at most 2 GB / chunk of them): states at its cuts."""
-        group = group.sort_values("k")
-        steps = [_unpack(m) for m in group["m"]]
-        state: tuple = (0, None)
-        prefixes = list(accumulate(steps, compose))
-        at_end = [x for x in prefixes[-1][state] if x[0] == 0]
-        leaves = [at_end[0]]
-        for i in range(len(steps) - 1, 0, -1):
-            leaves.append(next(x for x in prefixes[i - 1][state] if leaves[-1] in steps[i].get(x, ())))
-        leaves.reverse()
-        entries = [state, *leaves[:-1]]
-        return pd.DataFrame({"key": group["key"], "k": group["k"], "o": [e[0] for e in entries], "last": [e[1] for e in entries], "xo": [x[0] for x in leaves], "xlast": [x[1] for x in leaves]})
-
-    states = chunks.mapInArrow(matrices, "key string, k int, m string").groupBy("key").applyInPandas(scan, "key string, k int, o int, last string, xo int, xlast string")
+    found = chunks.mapInArrow(matrices, "key string, k int, m string")
+    states = scan(found.withColumn("block", F.floor(F.col("k") / BLOCK).cast("int")))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path)
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("left", "size", "part", "o", "last", "xo", "xlast")), strict=True)
-            out = [lat.chunk_packed(p, le, le + n, (o, last), (xo, xlast)) for le, n, p, o, last, xo, xlast in rows]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), id_lists(out)], ["key", "k", "ids"])
+            ids = lat.encode_chunks([lat.chunk_parts(p, le, le + n, (o, last), (xo, xlast)) for le, n, p, o, last, xo, xlast in rows])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), id_lists(*ids)], ["key", "k", "ids"])
 
     parts = chunks.join(states, ["key", "k"]).mapInArrow(traced, "key string, k int, ids array<int>")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])
     return parts.groupBy("key").agg(F.flatten(ordered).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with a column of piece ids, equal to the library's for the model at ``path``."""
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with a column of piece ids, equal to the library's for the model at ``path``.
+
+    With ``decoded_col`` the text of the ids comes as well, as ``decode`` gives it, made in the same pass.
+    """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    names = [c for c in docs.columns if c != out_col]
+    names = [c for c in docs.columns if c not in (out_col, decoded_col)]
     work = docs.select(*names, F.col(text_col).alias("_sp_text"))
     long = F.coalesce(F.length("_sp_text"), F.lit(0)) >= chunk
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("ids array<int>, decoded string" if decoded_col else "ids array<int>")
     def whole(texts: pa.Array) -> pa.Array:
         lat = lattice(path)
-        return id_lists([lat.encode(t.as_py()) for t in texts])
+        ids, ends = lat.encode_many(texts.to_pylist())
+        lists = [id_lists(ids, ends)]
+        return pa.StructArray.from_arrays([*lists, pa.array(lat.decode(ids, ends), pa.string())] if decoded_col else lists, ["ids", "decoded"][: 1 + bool(decoded_col)])
 
-    small = work.filter(~long).withColumn(out_col, whole("_sp_text"))
+    made = [out_col, *([decoded_col] if decoded_col else [])]
+    small = work.filter(~long).withColumn("_sp_out", whole("_sp_text"))
+    small = small.select(*names, *[F.col(f"_sp_out.{c}").alias(n) for c, n in zip(("ids", "decoded"), made, strict=False)])
     giant = work.filter(long).withColumn("_sp_key", F.md5("_sp_text"))
     found = _giants(giant.select(F.col("_sp_key").alias("key"), F.col("_sp_text").alias("text")), path, chunk)
     giant = giant.join(found.select(F.col("key").alias("_sp_key"), F.col("ids").alias(out_col)), "_sp_key")
-    return small.select(*names, out_col).unionByName(giant.select(*names, out_col))
+    giant = decode(giant, path, out_col, decoded_col) if decoded_col else giant
+    return small.unionByName(giant.select(*names, *made))
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -64,6 +64,14 @@ def word_hashes(data: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray)
     return mix(out), counts
 
 
+def run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every run [start, end) of code points, by the same prefix sums."""
+    up, down = _power_tables(len(points))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points.astype(np.uint64) + U(1)) * up[: len(points)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, hash) of every ``width``-word window; a shorter document with words is one window."""
     firsts = np.cumsum(counts) - counts
