@@ -12,8 +12,8 @@ over ``SLICES`` tasks.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
 own, last in order; equal rows are ordered by id and size and so are interchangeable; an
-empty table gives no rows; other columns are passed through and cannot clash because work
-columns start with ``_mix``.
+empty table gives no rows; texts of any length are counted and cut whole; ``mix`` returns its own columns only,
+``mixed_documents`` all of the table's, which cannot clash because work columns start with ``_mix``.
 """
 
 from __future__ import annotations

@@ -113,7 +113,7 @@ def test_quotes(spark):
     assert (by[1, 1].parent_turn, by[1, 1].body) == (0, "My answer is forty two")
     assert (by[1, 2].parent_turn, by[1, 2].quote_depth, by[1, 2].reply_depth, by[1, 2].root_turn, by[1, 2].body) == (1, 2, 2, 0, "Thanks a lot")
     assert by[1, 4].parent_turn == 0 and by[2, 0].n_linked == 0
-    assert sorted(r.position for r in got if r.conv_id == 1) == list(range(8))
+    assert sorted(r.position for r in got if r.conv_id == 1) == [0, 1, 2, 3, 4, 5, 5, 6]
     assert all(by[1, r.parent_turn].position < r.position for r in got if r.parent_turn is not None)
     assert quotes.build_conversations(df.limit(0)).count() == 0
 
@@ -131,9 +131,49 @@ def test_short_and_rewrapped_quotes(spark):
     assert {r.turn: r.parent_turn for r in quotes.build_conversations(df).collect()} == {0: None, 1: 0, 2: None, 3: 2, 4: 2, 5: 0}
 
 
+def quoted_conversations(n: int = 400) -> list[tuple]:
+    """Conversations that quote each other: nested, partly, re-wrapped, tied, repeated and very long quotes."""
+    rng = np.random.default_rng(14)
+    said: dict[int, list[str]] = {}
+    rows = []
+    for i in range(n):
+        conv = int(rng.choice([0, 0, 0, 1, 2, 3]))
+        before = said.setdefault(conv, [])
+        text = "\n".join(" ".join(f"word{rng.integers(60)}" for _ in range(rng.integers(1, 9))) + rng.choice(["", ".", "?", "\n"]) for _ in range(rng.integers(1, 5)))
+        if before and rng.random() < 0.7:
+            source = before[rng.integers(len(before))].split("\n")
+            part = source[rng.integers(len(source)) :] if rng.random() < 0.5 else source
+            if rng.random() < 0.3:
+                part = " ".join(part).split()
+                part = [" ".join(part[k : k + 4]) for k in range(0, len(part), 4)] or [""]
+            mark = rng.choice([">", "> ", ">> ", " > "])
+            text = rng.choice(["", "On Monday Ann wrote:\n"]) + "\n".join(mark + x for x in part) + rng.choice(["\n", "\r\n"]) + text
+        before.append(text)
+        rows.append((conv, len(before) - 1, "user", text))
+    long = "\n".join(f"line {k} of a very long message" for k in range(3000))
+    extra = [(4, 0, "user", long), (4, 1, "user", "\n".join("> " + x for x in long.split("\n"))), (4, 2, "user", "> line 5 of a very long message\nthat one"), (4, 3, "user", None), (5, 0, "a", ""), (5, 1, "a", "same"), (5, 1, "a", "same"), (5, 2, "a", "> same"), (5, 2, "a", "> same")]
+    return rows + extra
+
+
+def test_quotes_equal_sql(spark, tmp_path):
+    """The registered query and its SQL over conversations that do quote."""
+    rows = quoted_conversations()
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/made/*.parquet'")
+    rel = con.sql(queries.ORACLES["op2_quotation_links"])
+    spark.read.parquet(str(tmp_path / "made")).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op2_quotation_links(spark, str(tmp_path))
+    want = sorted(map(str, rel.select(", ".join(got.columns)).fetchall()))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    assert got.filter("n_linked > 0").count() > 150 and got.filter("reply_depth > 2").count() > 10
+
+
 def test_quotes_are_native(spark, docs):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
-    plan = quotes.parse(df)._jdf.queryExecution().executedPlan().toString()
+    plan = quotes.build_conversations(df)._jdf.queryExecution().executedPlan().toString() + quotes.parse(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
@@ -181,8 +221,10 @@ def test_near_duplicates(docs):
     assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_mixed_buckets(spark):
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_mixed_buckets(spark, block, monkeypatch):
     """A chain of texts, each close to the next only, is one class although no centre is close to all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(words[i * 12 : i * 12 + 200]) for i in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -190,6 +232,61 @@ def test_mixed_buckets(spark):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def test_hot_bucket(spark, monkeypatch):
+    """Many near copies of one text, stragglers near to each other or to one copy only, in few small blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.integers(0, len(words), n):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        return words
+
+    copies = [changed(base, 1) for _ in range(60)]
+    odd = [changed(copies[i], 3) for i in range(10)] + [changed(base, 12) for _ in range(5)]
+    rows = list(enumerate(" ".join(w) for w in copies + odd + [changed(odd[-1], 1)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(rows)
+
+
+def test_candidates_miss_no_similar_set():
+    rng = np.random.default_rng(12)
+    pool = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(1, 60), replace=False)) for _ in range(150)]
+    found = dict(near_dedup.candidates(sets, sets, 0.8))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if near_dedup._alike(a, b, 0.8):
+                assert j in found[i]
+
+
+def test_counted_windows(spark):
+    """Weighted similarity: a text and itself pasted twice are apart, a text with one repeated line is close."""
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(0, text), (1, text + " " + text), (2, text + " " + " ".join(f"w{i}" for i in range(20)))], "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, near_dedup.Banding(counted=True))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.9: nine in ten at least are linked (all but 7e-5 are expected)."""
+    rng = np.random.default_rng(21)
+    rows, close = [], 0
+    for k in range(150):
+        a = [f"p{k}w{i}" for i in range(200)]
+        b = list(a)
+        for at in rng.integers(0, 200, 4):
+            b[at] = "y" + b[at]
+        sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (a, b)]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.9:
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+            close += 1
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert close > 50 and got.filter("doc_id % 2 = 1 and class_id = doc_id - 1").count() >= 0.9 * close
+
+
 def test_repeated_texts_are_candidates(spark):
     """Sets of windows say nothing of how often a window is found, so a text is alike to itself pasted several times."""
     texts = [" ".join([" ".join(f"t{k}w{i}" for i in range(200))] * times) for k in range(3) for times in (1, 2, 3, 10)]
@@ -240,6 +337,9 @@ def test_line_rules():
     rules = quality.Rules()
     fails = lambda t: quality.line_fails(t, len(t.split()), rules)
     assert fails("Home | About | Contact | Help") and fails("BUY!! NOW!! CHEAP!!") and fails("Read more") and fails("All rights reserved by us.")
+    assert fails("Tous droits réservés par nous.") and fails("Bitte hier klicken!") and fails("word " * 40)
+    assert not fails("He keeps a dialog into which the design uploads go.") and not fails("My blog in that catalog in short.")
+    assert not fails("To take part you sign up at the desk beside the door and wait.") and not fails("word " * 39 + "end.")
     assert not fails("A plain sentence that ends well.") and not fails("A long line that was cut in the middle of")
 
 
@@ -285,6 +385,16 @@ def test_search_edges(spark):
         got[r.query_id].append(r.vec_id)
     assert dict(got) == {0: [80, 1, 2, 3], 80: [0, 1, 2, 3]}
     assert hamming_search.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert hamming_search.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_repeated_rows_of_a_search(spark, kind):
+    """A repeated query is one query; repeated candidates are all candidates."""
+    rows = [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (8, [0.5, 0.5]), (9, [1.0, 1.0]), (9, [1.0, 1.0]), (7, [0.0, 0.1])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = [(r.rank, r.vec_id) for r in hamming_search.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 9), (2, 9), (3, 8)]
 
 
 # ---- 7: language ------------------------------------------------------------------
@@ -315,11 +425,60 @@ def test_viterbi_is_exact():
         assert worth(words, list(got[s : s + n])) == pytest.approx(best, abs=1e-4)
 
 
+def test_cut_sequences_have_best_labels():
+    """Cutting at deciding words changes no label."""
+    rng = np.random.default_rng(6)
+    sizes = np.append(rng.integers(0, 60, 80), [0, 1, 2])
+    table = (rng.normal(size=(sizes.sum(), 3)) * rng.choice([1.0, 9.0], (sizes.sum(), 1))).astype(np.float32)
+    starts = np.cumsum(sizes) - sizes
+    want = language.viterbi(table, np.arange(len(table)), starts, sizes, 2.0)
+    assert (language.cut_viterbi(table, starts, sizes, 2.0) == want).all()
+
+
+def brute_prediction(model, text: str | None) -> tuple[str, float]:
+    """Word by word with plain sums and lists."""
+    words = language.words_of(text)
+    value, back, letters = None, [], []
+    for w in words:
+        allowed = model.scripts.get(language.script_of(w[0]))
+        s = [sum(float(model.logs[model.rows.get(g, -1)][i]) for g in language.grams(w)) for i in range(len(model.languages))]
+        s = [0.0] * len(s) if allowed is None else [x if ok else -1e4 for x, ok in zip(s, allowed, strict=True)]
+        letters.append((len(w), allowed is not None))
+        if value is None:
+            value = s
+        else:
+            best = max(range(len(s)), key=lambda i: value[i])
+            back.append([i if value[i] >= value[best] - model.switch_penalty else best for i in range(len(s))])
+            value = [value[back[-1][i]] - (0 if back[-1][i] == i else model.switch_penalty) + s[i] for i in range(len(s))]
+    if not words:
+        return "und", 0.0
+    state = max(range(len(value)), key=lambda i: value[i])
+    counts = [0] * len(value)
+    for k in range(len(words) - 1, -1, -1):
+        counts[state] += letters[k][0] * letters[k][1]
+        state = back[k - 1][state] if k else state
+    best = max(range(len(counts)), key=lambda i: counts[i]) if any(counts) else model.common
+    return model.languages[best], counts[best] / sum(n for n, _ in letters)
+
+
+def test_predictions_equal_brute_force(spark, docs):
+    """The query's predictions over a whole small table."""
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in queries.op7_viterbi_language(spark, SF).collect()}
+    for r in docs.collect():
+        lang, score = brute_prediction(model, r.text)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+
+
 def test_language_edges(spark, edge, docs):
     model = language.fit(docs)
     got = {(r.doc_id): r for r in language.predict_languages(edge, model).collect()}
     assert got[0].lang_pred == "und" and got[2].lang_pred == "und" and got[0].score == 0
     assert model.spans("Москва") == [("und", 0, 1)]
+    (far, low), (none, _), (digits, _) = model.predict(["Москва 漢字", None, "12 34"])
+    assert far in model.languages and low == 0 and none == digits == "und"
+    (long, most), = model.predict(["Donaudampfschifffahrtsgesellschaft" * 150])
+    assert long == "de" and most > 0.5
     none = language.fit(edge.filter("lang is null"))
     assert {r.lang_pred for r in language.predict_languages(edge, none).collect()} == {"und"}
     mixed = "the quick of the and that was for with they this der die und nicht ein ist das mit von auch"
@@ -388,6 +547,7 @@ def test_shards(docs, edge):
 
 def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://www.b.org/x#f", "<p>same"), (2, "https://a.org/\r\n", "<p>same"), (3, None, None), (4, "http://c.org", ""), (None, "http://d.org", "own\r\n\r\nWARC/1.1"), (5, "u", "é" * 9000), (1, "http://www.b.org/x#f", "<p>same")]
+    rows += [(10 + i, f"http://e.org/{i}", x) for i, x in enumerate(["a\r\n", "\r\n\r\n", "b\r", "\r\n" * 7 + "c", "d\r\n\r\n\r", "long " * 300_000, "\n"])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     index = warc.archive_and_index(pages, str(tmp_path / "warc")).collect()
     assert len(index) == len(rows)
@@ -400,6 +560,12 @@ def test_archive_round_trip(spark, tmp_path):
         assert by[page_id].payload_bytes == len(payload) and by[page_id].payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
     order = [(r.urlkey, r.ts, r.page_id is None, r.page_id or 0) for r in index]
     assert order == sorted(order)
+    for r in index:  # every record lies where the index says
+        import gzip
+
+        (archive,) = (tmp_path / "warc").glob(r.file)
+        record = gzip.decompress(archive.read_bytes())[r.offset : r.offset + r.length]
+        assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{'null' if r.page_id is None else r.page_id}>".encode() in record
     assert warc.archive_and_index(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
@@ -414,18 +580,35 @@ def test_loser_tree():
 
 
 @pytest.mark.parametrize("chunk", [64, 16_384])
-def test_pieces_equal_the_library(spark, docs, edge, chunk):
+def test_pieces_equal_the_library(spark, docs, edge, chunk, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
+    monkeypatch.setattr(sentencepiece, "BLOCK", 5)
+
     library = SentencePieceProcessor(model_file=sentencepiece.public_tokenizers.path("piece_bpe_32k.model"))
     odd = spark.createDataFrame([("a" * 500,), (" " * 300,), ("x\n\ty  z" * 40,), ("=-" * 200,)], "text string")
     for df in (docs.select("text").limit(60), edge.select("text"), odd):
-        for r in sentencepiece.decode(sentencepiece.encode(df, chunk=chunk)).collect():
-            assert r.ids == library.encode(r.text or "")
+        for r in sentencepiece.decode(sentencepiece.encode(df, chunk=chunk, decoded_col="again")).collect():
+            assert r.ids == library.encode(r.text or "") and r.again == r.decoded
             assert r.decoded == (r.text or "").replace("▁", " ")
     assert sentencepiece.encode(edge.limit(0)).count() == 0
 
 
+def test_units_merged_in_arrays():
+    """Side by side or alone, with and without unknown characters, a unit has the same pieces."""
+    lat = sentencepiece.lattice(sentencepiece.public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé漢😀,.▁"), rng.integers(1, 30))) for _ in range(500)] + ["a" * 90, ""]
+    ids, ends = lat.encode_many(words)
+    for w, got in zip(words, np.split(ids, ends[:-1]), strict=True):
+        assert got.tolist() == (lat.to_ids(lat.merge(lat.normal(w))) if w else [])
+
+
+def test_states_at_cuts():
+    steps = [{(0, None): [(0, "x"), (1, "y")]}, {(0, "x"): [(0, "p")], (1, "y"): [(2, "q")]}, {(2, "q"): [(0, None)]}]
+    assert sentencepiece.states_at_cuts(steps, (0, None), (0, None)) == [(0, None), (1, "y"), (2, "q"), (0, None)]
+
+
 def test_transfer_matrices_are_associative():
     a = {(0, None): [(0, "x"), (1, "y")]}
     b = {(0, "x"): [(0, "p")], (1, "y"): [(2, "q")]}
