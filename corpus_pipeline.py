@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and
-reads them again, so no stage recomputes another and lost executors cost one stage at most.
+reads them again, so no stage recomputes another and lost executors cost one stage at most; a stage's
+folder is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import language, mixing, near_dedup, quality, sentencepiece
-from brindle.session import shared_path, table
+from brindle.session import remove_path, shared_path, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, in no learned language, or mixed beyond half of their letters go."""
+    """Texts without letters, or with half of their letters in no one learned language, go."""
     return language.keep_known(docs, language.fit(docs))
 
 
@@ -36,7 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
-    coded = sentencepiece.decode(sentencepiece.encode(docs))
+    coded = sentencepiece.encode(docs, decoded_col="decoded")
     same = F.col("decoded") == F.translate("text", "▁", " ")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 
@@ -54,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
