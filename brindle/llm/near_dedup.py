@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
         labels = components(links.union(more))
 
     named = nodes.select("_nd_key", "node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    classes = cut(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
     named = named.join(classes, "comp").select("_nd_key", "class_id")
     out = signed.select("_nd_id", "_nd_key").join(named, "_nd_key", "left")
     alone = F.when(F.col("_nd_key").isNull(), F.col("_nd_id")).otherwise(F.col("class_id"))
