@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import patterns as P
 from brindle.functions import text as T
 from brindle.operators import spans as S
+from brindle.session import spread
 
 MAX_LENGTH, TOO_LONG = 10_000, "message_too_long"
 
@@ -189,6 +190,7 @@ DETECTORS = {"phone": phone, "url": url, "social": social, "intent": intent, "ob
 
 def with_spans(messages: DataFrame, kind: str, content: str = "content") -> DataFrame:
     """Adds ``<kind>_spans`` found in one column."""
+    messages = spread(messages)
     if kind == "email":
         m = messages.withColumn("_d_folded", T.email_folded(F.col(content)))
         return m.withColumn("email_spans", F.expr(email(content, "_d_folded"))).drop("_d_folded")
@@ -208,7 +210,7 @@ def stage1(messages: DataFrame, content: str = "content") -> DataFrame:
     """
     rejected = _rejected(content)
     text = F.when(F.length(content) <= MAX_LENGTH, F.col(content)).otherwise(F.lit(""))
-    m = messages.withColumn("_d_raw", F.coalesce(text, F.lit("")))
+    m = spread(messages).withColumn("_d_raw", F.coalesce(text, F.lit("")))
     m = m.withColumn("_d_clean", T.deobfuscate(F.col("_d_raw")))
     # One lambda over the forms of the text, so that every pattern is in the plan once.
     m = m.withColumns({"_d_raw_f": T.email_folded(F.col("_d_raw")), "_d_clean_f": T.email_folded(F.col("_d_clean"))})

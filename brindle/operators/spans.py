@@ -34,12 +34,13 @@ def around(text: str, start: str, end: str) -> str:
 
 
 def found(text: str, p: str) -> str:
-    """array<struct<off, len, v>> of all matches of a pattern without capturing groups."""
+    """array<struct<off, len, v>> of all matches of a pattern without capturing groups; most texts end at the first test."""
     both = quoted(rf"\G((?s:.*?))((?iuU)(?:{p}))")  # \G: a failed search must not start again at every character
     return (
-        f"aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
+        f"IF({text} RLIKE {pattern(p)}, aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
         "named_struct('p', 0, 'o', CAST(array() AS array<struct<off:int,len:int,v:string>>)), "
-        "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o)"
+        "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o), "
+        "CAST(array() AS array<struct<off:int,len:int,v:string>>))"
     )
 
 

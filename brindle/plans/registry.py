@@ -41,21 +41,25 @@ ENFORCED = f"""{DETECTIONS}, {BANDS}, {STRIKES},
  f as (select *, case when esc is not null and {SEVERITY_SQL.format(a='esc')} > {SEVERITY_SQL.format(a='base_action')} then esc else base_action end as action from e)"""
 
 
+#: Length in UTF-16 units.
+UNITS = "(length({t}) + length(regexp_replace({t}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 def _gate_sql(relation: str, keep: str, text: str = "text") -> str:
     """The gate as common table expressions m (counts) and g (score and action)."""
     lit = lambda p: "'" + p.replace("'", "''") + "'"
 
     def count(kind: str) -> str:
-        each = ", ".join(f"regexp_extract_all(t, {lit(p)})" for p in gate.PATTERNS[kind])
-        return f"len(list_distinct(list_transform(flatten([{each}]), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))))"
+        each = ", ".join(f"regexp_extract_all(t, {lit(gate.spaced(p))})" for p in gate.PATTERNS[kind])
+        return f"len(list_distinct(list_transform(flatten([{each}]), lambda x: regexp_replace(x, '^[{gate.SPACE}]+|[{gate.SPACE}]+$', '', 'g'))))"
 
     counts = ", ".join(f"{count(k)} as n_{k}" for k in gate.KINDS)
     best = "greatest(" + ", ".join(f"case when n_{k} > 0 then {w}::double else 0.0::double end" for k, w in gate.WEIGHTS.items()) + ")"
     total = "0.0::double" + "".join(f" + least(n_{k}, 3) / 3.0::double * {w}::double" for k, w in gate.WEIGHTS.items())
     kinds = "(" + " + ".join(f"(n_{k} > 0)::int" for k in gate.KINDS) + ")"
-    return f"""t as (select {keep}, {text} as content, case when length({text}) <= {gate.MAX_LENGTH} then {text} else '' end as t from {relation}),
+    return f"""t as (select {keep}, {text} as content, case when {UNITS.format(t=text)} <= {gate.MAX_LENGTH} then {text} else '' end as t from {relation}),
  m as (select *, {counts} from t),
- g as (select *, case when coalesce(content, '') = '' then 0.0::double when length(content) > {gate.MAX_LENGTH} then 1.0::double when {kinds} = 0 then 0.0::double
+ g as (select *, case when coalesce(content, '') = '' then 0.0::double when {UNITS.format(t='content')} > {gate.MAX_LENGTH} then 1.0::double when {kinds} = 0 then 0.0::double
   else least(greatest({best} * 0.85::double, ({total}) * 0.7::double) + greatest({kinds} - 1, 0) * 0.10::double, 1.0::double) end as risk_score from m),
  h as (select *, case when risk_score >= 0.65 then 'hard_block' when risk_score >= 0.4 then 'nudge' else 'allow' end as action from g)"""
 
@@ -91,10 +95,10 @@ def gate_decision_by_lang(spark, sf_dir):
     return g.groupBy("lang", "action").agg(F.count(F.lit(1)).alias("messages"), F.round(F.sum(F.round("risk_score", 6)), 3).alias("risk"))
 
 
-@register("gate_length_guard", f"select doc_id, length(text) as n, length(text) > {gate.MAX_LENGTH} as too_long, coalesce(text, '') = '' as no_text from documents")
+@register("gate_length_guard", f"select doc_id, length(text) as n, {UNITS.format(t='text')} > {gate.MAX_LENGTH} as too_long, coalesce(text, '') = '' as no_text from documents")
 def gate_length_guard(spark, sf_dir):
     d = views.document_messages(spark, sf_dir)
-    return d.select("doc_id", F.length("content").cast("long").alias("n"), (F.length("content") > gate.MAX_LENGTH).alias("too_long"), (F.coalesce("content", F.lit("")) == "").alias("no_text"))
+    return d.select("doc_id", F.length("content").cast("long").alias("n"), gate.too_long(F.col("content")).alias("too_long"), (F.coalesce("content", F.lit("")) == "").alias("no_text"))
 
 
 @register("gate_conversation_roles", f"with {_gate_sql('conversations', 'role')} select role, action, count(*) as messages, max(round(risk_score, 6)) as most from h group by role, action")
@@ -299,7 +303,7 @@ def queue_stats(spark, sf_dir):
 _LABELS_SQL = " union all ".join(f"select '{gate.LABELS[k]}' as label, count(*) as count from m where n_{k} > 0" for k in gate.KINDS)
 
 
-@register("top_labels", f"with {_gate_sql('documents', 'doc_id')}, l as ({_LABELS_SQL} union all select 'message_too_long', count(*) from m where length(content) > {gate.MAX_LENGTH}) select label, count from l where count > 0")
+@register("top_labels", f"with {_gate_sql('documents', 'doc_id')}, l as ({_LABELS_SQL} union all select 'message_too_long', count(*) from m where {UNITS.format(t='content')} > {gate.MAX_LENGTH}) select label, count from l where count > 0")
 def top_labels(spark, sf_dir):
     return review.top_labels(gate.gate(views.document_messages(spark, sf_dir)))
 
@@ -372,7 +376,8 @@ def users_without_strikes(spark, sf_dir):
     f"""with {_gate_sql('documents', 'doc_id')} select action, toxic, count(*) as documents, round(avg(round(risk_score, 6)), 4) as mean_score from h join labels using (doc_id) group by action, toxic""",
 )
 def detection_quality(spark, sf_dir):
-    g = gate.gate(views.document_messages(spark, sf_dir)).join(table(spark, sf_dir, "labels"), "doc_id")
+    """Labels first: what has none needs no decision."""
+    g = gate.gate(views.document_messages(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id"))
     return g.groupBy("action", "toxic").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(F.round("risk_score", 6)), 4).alias("mean_score"))
 
 

@@ -49,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits, as for costly maps over small files; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for files that executors write and read again."""
     return f"{_checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

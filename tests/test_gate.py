@@ -30,3 +30,23 @@ def test_gate(gated, i):
     assert (row.action, row.labels) == (action, labels) and row.risk_score == pytest.approx(score)
     assert row.allowed == (action != "hard_block") and (row.block_reason is None) == row.allowed
     assert (row.nudge_message is None) == (action != "nudge")
+
+
+def test_white_space_and_length_units(spark):
+    """White space of other scripts separates like a blank; the limit counts UTF-16 units."""
+    rows = [(0, "contact me at home"), (1, "﻿dm　me"), (2, "😀" * 5_000), (3, "😀" * 5_001), (4, "a" * 9_999 + "😀"), (5, "user at site dot com")]
+    got = {r.i: r for r in gate.gate(spark.createDataFrame(rows, "i int, content string")).collect()}
+    assert got[0].n_social == 1 and got[1].n_social == 1 and got[5].n_email == 1
+    assert [got[i].action for i in (2, 3, 4)] == ["allow", "hard_block", "hard_block"]
+
+
+def test_needs_lose_no_match(spark):
+    """The cheap tests in front of the patterns change nothing."""
+    from pyspark.sql import functions as F
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.substring("text", 1, 3000).alias("t"))
+    texts = texts.union(spark.createDataFrame([("CALL 0044 20 7946 0958",), ("me AT site DOT com",), ("HTTPS://X.ORG WWW.A.COM Bit.Ly/a",), ("a(AT)b(DOT)c",), ("Text  ME, Contact Us On KIK",)], "t string"))
+    for kind, patterns in gate.PATTERNS.items():
+        for p, need in zip(patterns, gate.NEEDS[kind], strict=True):
+            hit = F.col("t").rlike(gate.java_regex(p))
+            assert texts.filter(hit & ~gate._may_match(F.col("t"), need)).isEmpty(), p
