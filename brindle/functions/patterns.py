@@ -34,9 +34,20 @@ EMAIL_CONTEXT = [
     r"\bsend\s+(?:me\s+)?(?:an?\s+)?(?:email|mail)\b",
     r"\breach\s+(?:me\s+)?(?:via|by)\s+(?:email|mail)\b",
 ]
-COMMON_TLDS = "com org net edu gov mil int co io ai app dev tech info biz name pro mobi tel travel uk us ca au de fr jp cn ru br in it es nl se no".split()
-SHORTENERS = "bit.ly tinyurl.com t.co goo.gl ow.ly is.gd buff.ly adf.ly bl.ink lnkd.in shorte.st cutt.ly rb.gy clck.ru tiny.cc short.io rebrand.ly v.gd tr.im cli.gs u.to x.co scrnch.me fiverr.com/s mcaf.ee su.pr qr.ae cur.lv ity.im q.gs".split()
-SOCIAL_DOMAINS = "wa.me whatsapp.com t.me telegram.me telegram.org instagram.com facebook.com fb.me twitter.com snapchat.com tiktok.com discord.gg discord.com signal.org threema.ch line.me wechat.com viber.com kik.com skype.com zoom.us".split()
+COMMON_TLDS = [
+    "com", "org", "net", "edu", "gov", "mil", "int", "co", "io", "ai", "app", "dev", "tech", "info", "biz", "name", "pro", "mobi", "tel",
+    "travel", "uk", "us", "ca", "au", "de", "fr", "jp", "cn", "ru", "br", "in", "it", "es", "nl", "se", "no",
+]
+SHORTENERS = [
+    "bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "adf.ly", "bl.ink", "lnkd.in", "shorte.st", "cutt.ly", "rb.gy",
+    "clck.ru", "tiny.cc", "short.io", "rebrand.ly", "v.gd", "tr.im", "cli.gs", "u.to", "x.co", "scrnch.me", "fiverr.com/s", "mcaf.ee",
+    "su.pr", "qr.ae", "cur.lv", "ity.im", "q.gs",
+]
+SOCIAL_DOMAINS = [
+    "wa.me", "whatsapp.com", "t.me", "telegram.me", "telegram.org", "instagram.com", "facebook.com", "fb.me", "twitter.com", "snapchat.com",
+    "tiktok.com", "discord.gg", "discord.com", "signal.org", "threema.ch", "line.me", "wechat.com", "viber.com", "kik.com", "skype.com",
+    "zoom.us",
+]
 
 
 def _twice_escaped(domains: list[str]) -> str:
@@ -57,37 +68,36 @@ URL = {
 URL_CUT = {"full": 0.3, "shortener": -1.0, "social": -1.0, "no_protocol": 0.4, "mention": 0.4, "obfuscated": 0.5, "bracket": 0.4}
 URL_CONTEXT = [r"\b(?:check\s+out|visit|go\s+to|see|view|click|open)\b", r"\b(?:link|url|website|site)\s*(?:is|:)?\b", r"\b(?:my|the)\s+(?:link|url|website|site|page)\b"]
 
-_ON = r"\b(?:on|via|through)\s+(?:{n})\b"
 #: platform: (handles, mentions, indicators)
 PLATFORMS = {
     "whatsapp": (
         [r"\bwa\.me/[\w\d+]+", r"\bwhatsapp\.com/[\w\d+]+", r"\b(?:my\s+)?whatsapp\s+(?:is|number|:)\s*[+\d\s\-()]+"],
-        [r"\b(?:whatsapp|wassup|whats\s*app|wa)\s+me\b", _ON.format(n="whatsapp|wa"), r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:whatsapp|wa)\b", r"\b(?:add|reach|find)\s+(?:me\s+)?(?:on|via)\s+(?:whatsapp|wa)\b"],
+        [r"\b(?:whatsapp|wassup|whats\s*app|wa)\s+me\b", r"\b(?:on|via|through)\s+(?:whatsapp|wa)\b", r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:whatsapp|wa)\b", r"\b(?:add|reach|find)\s+(?:me\s+)?(?:on|via)\s+(?:whatsapp|wa)\b"],
         ["whatsapp", "wa.me", "wassup", "wapp"],
     ),
     "telegram": (
         [r"\bt\.me/[\w\d_]+", r"\btelegram\.me/[\w\d_]+", r"\btelegram\.org/[\w\d_]+", r"@[\w\d_]{5,32}(?!\w)"],
-        [r"\b(?:telegram|tg)\s+me\b", _ON.format(n="telegram|tg"), r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:telegram|tg)\b", r"\b(?:add|reach|find)\s+(?:me\s+)?(?:on|via)\s+(?:telegram|tg)\b", r"\bmy\s+(?:telegram|tg)\s+(?:is|handle|username|:)\b"],
+        [r"\b(?:telegram|tg)\s+me\b", r"\b(?:on|via|through)\s+(?:telegram|tg)\b", r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:telegram|tg)\b", r"\b(?:add|reach|find)\s+(?:me\s+)?(?:on|via)\s+(?:telegram|tg)\b", r"\bmy\s+(?:telegram|tg)\s+(?:is|handle|username|:)\b"],
         ["telegram", "t.me", "tg", "telegrm"],
     ),
     "instagram": (
         [r"\binstagram\.com/[\w\d_.]+", r"\binstagr\.am/[\w\d_.]+", r"@[\w\d_.]{1,30}(?!\w)"],
-        [r"\b(?:instagram|insta|ig)\s+me\b", _ON.format(n="instagram|insta|ig"), r"\b(?:follow|dm|message|msg)\s+(?:me\s+)?(?:on|via)\s+(?:instagram|insta|ig)\b", r"\b(?:add|find)\s+(?:me\s+)?(?:on|via)\s+(?:instagram|insta|ig)\b", r"\bmy\s+(?:instagram|insta|ig)\s+(?:is|handle|username|:)\b"],
+        [r"\b(?:instagram|insta|ig)\s+me\b", r"\b(?:on|via|through)\s+(?:instagram|insta|ig)\b", r"\b(?:follow|dm|message|msg)\s+(?:me\s+)?(?:on|via)\s+(?:instagram|insta|ig)\b", r"\b(?:add|find)\s+(?:me\s+)?(?:on|via)\s+(?:instagram|insta|ig)\b", r"\bmy\s+(?:instagram|insta|ig)\s+(?:is|handle|username|:)\b"],
         ["instagram", "insta", "ig", "instagr"],
     ),
     "snapchat": (
         [r"\bsnapchat\.com/add/[\w\d_.]+"],
-        [r"\b(?:snapchat|snap)\s+me\b", _ON.format(n="snapchat|snap"), r"\b(?:add|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:snapchat|snap)\b", r"\bmy\s+(?:snapchat|snap)\s+(?:is|handle|username|:)\b", r"\badd\s+me\s+(?:on\s+)?snap\b"],
+        [r"\b(?:snapchat|snap)\s+me\b", r"\b(?:on|via|through)\s+(?:snapchat|snap)\b", r"\b(?:add|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:snapchat|snap)\b", r"\bmy\s+(?:snapchat|snap)\s+(?:is|handle|username|:)\b", r"\badd\s+me\s+(?:on\s+)?snap\b"],
         ["snapchat", "snap", "snapcht"],
     ),
     "signal": (
         [r"\bsignal\.org/[\w\d+]+", r"\bsignal\.me/[\w\d+]+"],
-        [r"\b(?:signal|sig)\s+me\b", _ON.format(n="signal|sig"), r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:signal|sig)\b", r"\bmy\s+(?:signal|sig)\s+(?:is|number|:)\b"],
+        [r"\b(?:signal|sig)\s+me\b", r"\b(?:on|via|through)\s+(?:signal|sig)\b", r"\b(?:text|message|msg|contact)\s+(?:me\s+)?(?:on|via)\s+(?:signal|sig)\b", r"\bmy\s+(?:signal|sig)\s+(?:is|number|:)\b"],
         ["signal", "sig"],
     ),
     "discord": (
         [r"\bdiscord\.gg/[\w\d]+", r"\bdiscord\.com/invite/[\w\d]+", r"[\w\d_]{2,32}#\d{4}"],
-        [r"\b(?:discord|disc)\s+me\b", _ON.format(n="discord|disc"), r"\b(?:message|msg|dm|contact)\s+(?:me\s+)?(?:on|via)\s+(?:discord|disc)\b", r"\bmy\s+(?:discord|disc)\s+(?:is|tag|username|:)\b", r"\bjoin\s+(?:my\s+)?discord\b"],
+        [r"\b(?:discord|disc)\s+me\b", r"\b(?:on|via|through)\s+(?:discord|disc)\b", r"\b(?:message|msg|dm|contact)\s+(?:me\s+)?(?:on|via)\s+(?:discord|disc)\b", r"\bmy\s+(?:discord|disc)\s+(?:is|tag|username|:)\b", r"\bjoin\s+(?:my\s+)?discord\b"],
         ["discord", "disc", "discrd"],
     ),
     "messenger": (
@@ -97,7 +107,7 @@ PLATFORMS = {
     ),
     "tiktok": (
         [r"\btiktok\.com/@[\w\d_.]+", r"@[\w\d_.]{2,24}(?!\w)"],
-        [r"\b(?:tiktok|tik\s*tok|tt)\s+me\b", _ON.format(n=r"tiktok|tik\s*tok|tt"), r"\b(?:follow|message|dm)\s+(?:me\s+)?(?:on|via)\s+(?:tiktok|tik\s*tok|tt)\b", r"\bmy\s+(?:tiktok|tik\s*tok|tt)\s+(?:is|handle|username|:)\b"],
+        [r"\b(?:tiktok|tik\s*tok|tt)\s+me\b", r"\b(?:on|via|through)\s+(?:tiktok|tik\s*tok|tt)\b", r"\b(?:follow|message|dm)\s+(?:me\s+)?(?:on|via)\s+(?:tiktok|tik\s*tok|tt)\b", r"\bmy\s+(?:tiktok|tik\s*tok|tt)\s+(?:is|handle|username|:)\b"],
         ["tiktok", "tik tok", "tt"],
     ),
 }

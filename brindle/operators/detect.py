@@ -266,7 +266,26 @@ def stage2(messages: DataFrame, content: str = "content", ner: Column | None = N
     score = F.least(base + context * 0.15, F.lit(1.0))
     score = score if ner is None else F.greatest(score, ner * 0.6)
     labels = [F.when(n > 0, F.lit("nlp_intent")), F.when(n > 1, F.lit("multi_intent_signals")), F.when(context > 0.3, F.lit("context_escalation"))]
-    return messages.withColumns({"stage2_score": F.round(score, 3), "stage2_labels": F.array_compact(F.array(*labels))})
+    evidence = F.expr(f"concat({', '.join(_cluster_spans(content, *c) for c in P.CLUSTERS.values())})")
+    found = {"stage2_score": F.round(score, 3), "stage2_labels": F.array_compact(F.array(*labels)), "stage2_evidence": F.coalesce(evidence, F.expr(NO_EVIDENCE))}
+    return messages.withColumns(found)
+
+
+EVIDENCE = "struct<offset:int,length:int,type:string,confidence:double>"
+NO_EVIDENCE = f"CAST(array() AS array<{EVIDENCE}>)"
+
+
+def _cluster_spans(text: str, weight: float, group: list[str]) -> str:
+    """All matches of a cluster's first pattern that matches."""
+    each = lambda p: f"transform({S.found(text, p)}, m -> named_struct('offset', m.off, 'length', m.len, 'type', '{P.TYPE_LABELS['intent']}', 'confidence', {weight}D))"
+    return "CASE " + " ".join(f"WHEN {text} RLIKE {S.pattern(p)} THEN {each(p)}" for p in group) + f" ELSE {NO_EVIDENCE} END"
+
+
+def stage3_evidence(content: str = "content", n_thread: str = "n_thread") -> Column:
+    """Persistence in a thread is evidence of the whole text."""
+    n = F.col(n_thread)
+    span = F.struct(F.lit(0).alias("offset"), F.length(content).alias("length"), F.lit(P.TYPE_LABELS["intent"]).alias("type"), F.least(F.lit(0.3) + (n - 3) * 0.1, F.lit(0.7)).alias("confidence"))
+    return F.when(n >= 3, F.array(span)).otherwise(F.expr(NO_EVIDENCE))
 
 
 def combine(scores: dict[int, Column], stages: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -286,24 +305,36 @@ def combine(scores: dict[int, Column], stages: tuple[int, ...] = (1, 2, 3)) -> C
 
 def highest_stage(scores: dict[int, Column]) -> Column:
     """The last stage that scored, else 1."""
-    return F.greatest(F.lit(1), *[F.when(c > 0, F.lit(s)).otherwise(1) for s, c in scores.items()])
+    return F.greatest(F.lit(1), F.lit(1), *[F.when(c > 0, F.lit(s)).otherwise(1) for s, c in scores.items()])
 
 
-def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str = "thread_id", order: str = "turn") -> DataFrame:
+def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str = "thread_id", order: str = "turn", failed: Column | None = None) -> DataFrame:
     """Messages with the scores of the requested stages, the combined score, stage, labels, evidence and hashes.
 
-    Content beyond the length limit has a null combined score and stage and the label message_too_long.
+    No stages mean all three; stage 3 needs ``stage3_score``, ``stage3_labels`` and ``n_thread`` from ``behavior``. Content beyond
+    the length limit has a null combined score and stage and the label message_too_long. Rows for which ``failed``
+    holds are results as well: score 0, stage 0, the label analysis_error and no evidence.
     """
-    m, scores, labels = messages, {}, []
+    stages = tuple(stages) or (1, 2, 3)
+    m, scores, labels, evidence = messages, {}, [], [F.expr(NO_EVIDENCE)]
     if 1 in stages:
         m = stage1(m)
         scores[1], labels = F.col("stage1_score"), [*labels, F.col("stage1_labels")]
+        evidence.append(F.col("evidence"))
     if 2 in stages:
         m = stage2(context_hits(m, thread, order))
         scores[2], labels = F.col("stage2_score"), [*labels, F.col("stage2_labels")]
-    if 3 in stages:  # stage3_score and stage3_labels come from ``behavior``
+        evidence.append(F.col("stage2_evidence"))
+    if 3 in stages:
         scores[3], labels = F.col("stage3_score"), [*labels, F.col("stage3_labels")]
+        evidence.append(stage3_evidence())
     rejected = _rejected("content")
     labels = [F.when(rejected, F.array(F.lit(TOO_LONG))).otherwise(F.array().cast("array<string>")), *labels]
-    found = {"risk_score": combine(scores, stages), "stage": highest_stage(scores)}
-    return m.withColumns({k: F.when(~rejected, c) for k, c in found.items()} | {"labels": F.array_distinct(F.concat(*labels))})
+    hashes = F.col("hashed_tokens") if 1 in stages else F.array().cast("array<string>")
+    found = {"risk_score": combine(scores, stages), "stage": highest_stage(scores), "evidence": F.concat(*evidence), "hashed_tokens": hashes}
+    found = {k: F.when(~rejected, c) for k, c in found.items()} | {"labels": F.array_distinct(F.concat(*labels))}
+    if failed is not None:
+        bad = F.coalesce(failed, F.lit(True))
+        error = {"risk_score": F.lit(0.0), "stage": F.lit(0), "evidence": F.expr(NO_EVIDENCE), "hashed_tokens": F.array().cast("array<string>"), "labels": F.array(F.lit("analysis_error"))}
+        found = {k: F.when(bad, error[k]).otherwise(c) for k, c in found.items()}
+    return m.withColumns(found)

@@ -1,8 +1,7 @@
-"""Operations metrics over enforced detections and the replay of a circuit breaker."""
+"""Operations metrics over enforced detections."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,31 +16,3 @@ def escalation_rate(enforced: DataFrame) -> DataFrame:
     more = F.count_if(F.col("action") != F.col("base_action"))
     strikes = F.count_if(F.col("risk_band").isin("high", "critical"))
     return enforced.agg((more / F.count(F.lit(1))).alias("escalation_rate"), (strikes / F.count_distinct("user_id")).alias("strikes_per_user"))
-
-
-def breaker_states(outcomes: DataFrame, failures: int = 5, reset_s: int = 30, successes: int = 3) -> DataFrame:
-    """The state in which each call (service, ts, seq, ok) met its service's breaker, and whether it passed.
-
-    Closed until ``failures`` in a row, then open for ``reset_s``; the next call tries half open:
-    ``successes`` in a row close it, a failure opens it again. Calls that meet an open breaker pass open.
-    """
-
-    def replay(calls: pd.DataFrame) -> pd.DataFrame:
-        state, bad, good, opened, out = "closed", 0, 0, None, []
-        for r in calls.sort_values(["ts", "seq"]).itertuples():
-            if state == "open" and (r.ts - opened).total_seconds() >= reset_s:
-                state, good = "half_open", 0
-            out.append(state)
-            if state == "closed":
-                bad = 0 if r.ok else bad + 1
-            elif state == "half_open":
-                good = good + 1 if r.ok else 0
-            if (state == "closed" and bad >= failures) or (state == "half_open" and not r.ok):
-                state, opened, bad = "open", r.ts, 0
-            elif state == "half_open" and good >= successes:
-                state, bad = "closed", 0
-        calls = calls.sort_values(["ts", "seq"])
-        return calls.assign(state=out, called=[s != "open" for s in out])[["service", "ts", "seq", "ok", "state", "called"]]
-
-    schema = "service string, ts timestamp, seq long, ok boolean, state string, called boolean"
-    return outcomes.select("service", "ts", "seq", "ok").groupBy("service").applyInPandas(replay, schema)

@@ -91,6 +91,45 @@ def with_active_strikes(events: DataFrame, is_strike: Column, window_days: int =
     return out.drop("_p_us", "_p_s", "_p_own", "_p_period", "_p_here")
 
 
+def strikes_in_force(events: DataFrame, strikes: DataFrame, window_days: int = 30, user: str = "user_id", ts: str = "created_at", order: str = "detection_id") -> DataFrame:
+    """Interval join: ``events`` with the number of strikes (user, start ts, id) of the user in force at each, the event's own included.
+
+    A strike holds in [start, start + window). Both sides are dealt by (user, window-sized period); a strike also goes to the
+    next period, so each pair meets once and no task holds a user's whole history. Of strikes at the event's own time those up
+    to its id count. Events without strikes are left out.
+    """
+    span = window_days * MICROS_A_DAY
+    s = strikes.select(F.col(user).alias("_s_u"), F.unix_micros(ts).alias("_s_us"), F.col(order).alias("_s_id"))
+    s = s.withColumn("_s_p", F.explode(F.array(F.floor(F.col("_s_us") / span), F.floor(F.col("_s_us") / span) + 1)))
+    e = events.withColumn("_e_us", F.unix_micros(ts)).withColumn("_e_p", F.floor(F.col("_e_us") / span))
+    before = (F.col("_s_us") < F.col("_e_us")) | ((F.col("_s_us") == F.col("_e_us")) & (F.col("_s_id") <= F.col(order)))
+    inside = before & (F.col("_e_us") < F.col("_s_us") + span)
+    met = e.join(s, (F.col(user) == F.col("_s_u")) & (F.col("_e_p") == F.col("_s_p")) & inside)
+    return met.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("strikes"))
+
+
+@dataclass(frozen=True)
+class GateSettings:
+    """Settings of the gate and of what it calls; invalid ones are refused."""
+
+    sync_threshold: float = 0.65
+    detection_port: int = 8000
+    breaker_threshold: int = 5
+    breaker_reset_ms: int = 30_000
+    max_message_length: int = 10_000
+
+    def __post_init__(self) -> None:
+        wrong = {
+            "sync_threshold": not 0 <= self.sync_threshold <= 1,
+            "detection_port": not 1 <= self.detection_port <= 65_535,
+            "breaker_threshold": self.breaker_threshold < 1,
+            "breaker_reset_ms": self.breaker_reset_ms < 1000,
+            "max_message_length": self.max_message_length < 1,
+        }
+        if any(wrong.values()):
+            raise ValueError(f"invalid: {', '.join(f'{k}={getattr(self, k)}' for k, bad in wrong.items() if bad)}")
+
+
 def user_message(action: Column, labels: Column, strikes: Column) -> Column:
     text = mapping(action, MESSAGES)
     named = F.when(F.size(labels) > 0, F.array_join(F.slice(labels, 1, 3), ", ")).otherwise(F.lit("policy violation"))

@@ -15,13 +15,25 @@ def allowed_pairs(spark) -> DataFrame:
 
 
 def list_cases(cases: DataFrame, status: str | None = None, assigned_to: object = None, user_id: object = None, min_priority: int | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page, most urgent first, then oldest, then by id; absent filters do nothing."""
+    """One page, most urgent first, then oldest, then by id; absent filters do nothing. ``total`` counts all that the filters leave."""
     for name, value in (("status", status), ("assigned_to", assigned_to), ("user_id", user_id)):
         if value:
             cases = cases.filter(F.col(name) == value)
     if min_priority:
         cases = cases.filter(F.col("priority") >= min_priority)
-    return cases.orderBy(F.col("priority").desc(), "created_at", "case_id").offset(offset).limit(min(limit, PAGE_LIMIT))
+    page = cases.orderBy(F.col("priority").desc(), "created_at", "case_id").offset(offset).limit(min(limit, PAGE_LIMIT))
+    total = cases.agg(F.count(F.lit(1)).alias("total"))
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
+def in_period(rows: DataFrame, days: int, now: Column, ts: str = "created_at") -> DataFrame:
+    """Rows of the last ``days`` days before ``now``."""
+    return rows.filter((F.col(ts) > now - F.make_dt_interval(F.lit(days))) & (F.col(ts) <= now))
+
+
+def priority_bucket(priority: Column) -> Column:
+    """The queue's colours: 5 and above are urgent, 3 and 4 raised."""
+    return F.when(priority >= 5, "red").when(priority >= 3, "orange").when(priority.isNotNull(), "grey")
 
 
 def queue_stats(cases: DataFrame) -> DataFrame:
@@ -50,6 +62,17 @@ def least_loaded(moderators: DataFrame, load: DataFrame, capacity: int = CAPACIT
     return full.filter(F.col("load") < capacity).orderBy("load", "ord").limit(1)
 
 
+def assignments(events: DataFrame) -> DataFrame:
+    """(moderator, case_id) now assigned, from (seq, kind, moderator, case_id): assign, unassign, and resolve, which frees a case from all.
+
+    The last event of a pair decides, unless the case was resolved after it. A moderator's capacity is not looked at: see ``least_loaded``.
+    """
+    pair = events.filter("kind in ('assign', 'unassign')").groupBy("moderator", "case_id").agg(F.max(F.struct("seq", "kind")).alias("last"))
+    done = events.filter("kind = 'resolve'").groupBy("case_id").agg(F.max("seq").alias("done"))
+    out = pair.filter("last.kind = 'assign'").join(done, "case_id", "left").filter("done is null or done < last.seq")
+    return out.select("moderator", "case_id")
+
+
 def illegal_transitions(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Changes (from_status, to_status, ...) that the state machine refuses."""
     return changes.join(F.broadcast(pairs), ["from_status", "to_status"], "left_anti")  # 8 pairs
@@ -68,10 +91,19 @@ def case_detail(cases: DataFrame, actions: DataFrame, detections: DataFrame | No
 
 
 def with_approval(actions: DataFrame) -> DataFrame:
-    """What the audit log adds on recording: permanent actions need a human."""
+    """What the audit log adds where it has not been recorded yet: permanent actions need a human."""
     return actions.withColumn("requires_human", F.col("is_permanent"))
 
 
+def record(actions: DataFrame) -> DataFrame:
+    """New actions as the audit log takes them: a permanent one waits for a human, nothing is approved yet."""
+    return with_approval(actions).withColumn("approved_by", F.lit(None).cast(actions.schema["approved_by"].dataType))
+
+
+def audit_size(actions: DataFrame) -> DataFrame:
+    return actions.agg(F.count(F.lit(1)).alias("actions"))
+
+
 def pending_approvals(actions: DataFrame) -> DataFrame:
     return with_approval(actions).filter("requires_human and approved_by is null")
 
@@ -80,30 +112,38 @@ def recent_actions(actions: DataFrame, n: int = 50) -> DataFrame:
     return actions.orderBy(F.col("created_at").desc(), "case_id", "action_no").limit(n)
 
 
-def apply_case_events(events: DataFrame) -> DataFrame:
-    """Latest state of each case from its ordered events (case_id, seq, kind, value, ts).
+UPDATE = {"status": "string", "assigned_to": "string", "resolution": "string", "note": "string", "appeal": "string"}
+
+
+def apply_case_updates(updates: DataFrame) -> DataFrame:
+    """Latest state of each case from its ordered updates: case_id, seq, ts and any of the columns of ``UPDATE``.
 
-    Kinds: ``status``, ``assign``, ``resolve``, ``note``, ``appeal``. Illegal status changes are refused and
-    leave the case unchanged; assigning an open case puts it in review. The fold runs inside
-    one row per case, whose event list is a case's own history.
+    An update takes what is not null: first the status, and where that change is illegal the whole update is
+    refused; then the moderator, which puts an open case in review; then resolution and note, whatever the
+    status. An ``appeal`` (its reason) is taken by resolved cases only and is kept as the note. The fold runs
+    inside one row per case, whose updates are a case's own history.
     """
-    history = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "value", "ts"))).alias("h"))
-    ok = lambda a, b: F.array_contains(F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in TRANSITIONS.items() for x in kv]), a), b)
+    fields = [F.col(c).cast(t).alias(c) if c in updates.columns else F.lit(None).cast(t).alias(c) for c, t in UPDATE.items()]
+    history = updates.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields, "ts"))).alias("h"))
+    legal = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in TRANSITIONS.items() for x in kv])
     none = F.lit(None).cast("string")
     start = F.struct(F.lit("open").alias("status"), none.alias("assigned_to"), none.alias("resolution"), none.alias("note"), F.lit(0).alias("refused"), F.element_at("h", 1)["ts"].alias("updated_at"))
 
     def step(s: Column, e: Column) -> Column:
-        is_ = lambda k: e["kind"] == k
-        target = F.when(is_("status"), e["value"]).when(is_("resolve"), F.lit("resolved")).when(is_("appeal"), F.lit("appealed")).when(is_("assign") & (s["status"] == "open"), F.lit("in_review"))
-        fine = target.isNull() | F.coalesce(ok(s["status"], target), F.lit(False))
-        pick = lambda cond, new, old: F.when(cond & fine, new).otherwise(old)
+        changes = e["status"].isNull() | F.coalesce(F.array_contains(F.element_at(legal, s["status"]), e["status"]), F.lit(False))
+        fine = changes & (e["appeal"].isNull() | (F.coalesce(e["status"], s["status"]) == "resolved"))
+        status = F.coalesce(e["status"], s["status"])
+        status = F.when((F.coalesce(e["assigned_to"], F.lit("")) != "") & (status == "open"), "in_review").otherwise(status)
+        status = F.when(e["appeal"].isNotNull(), "appealed").otherwise(status)
+        note = F.coalesce(F.concat(F.lit("Appeal reason: "), e["appeal"]), e["note"], s["note"])
+        pick = lambda new, old: F.when(fine, new).otherwise(old)
         return F.struct(
-            pick(target.isNotNull(), target, s["status"]).alias("status"),
-            pick(is_("assign"), e["value"], s["assigned_to"]).alias("assigned_to"),
-            pick(is_("resolve"), e["value"], s["resolution"]).alias("resolution"),
-            pick(is_("note") | is_("appeal"), e["value"], s["note"]).alias("note"),
+            pick(status, s["status"]).alias("status"),
+            pick(F.coalesce(e["assigned_to"], s["assigned_to"]), s["assigned_to"]).alias("assigned_to"),
+            pick(F.coalesce(e["resolution"], s["resolution"]), s["resolution"]).alias("resolution"),
+            pick(note, s["note"]).alias("note"),
             (s["refused"] + F.when(fine, 0).otherwise(1)).alias("refused"),
-            F.when(fine, e["ts"]).otherwise(s["updated_at"]).alias("updated_at"),
+            pick(e["ts"], s["updated_at"]).alias("updated_at"),
         )
 
     return history.select("case_id", F.aggregate("h", start, step).alias("s")).select("case_id", "s.*")

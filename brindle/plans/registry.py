@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators import behavior, gate, policy, review
-from brindle.session import table
+from brindle.session import spread, table
 from brindle.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,11 +208,14 @@ def expired_strikes(spark, sf_dir):
 
 @register(
     "strike_interval_join",
-    f"""with {DETECTIONS}, {BANDS}, {STRIKES} select detection_id, strike_count as strikes from n where strike_count > 0""",
+    f"""with {DETECTIONS}, {BANDS} select d.detection_id, count(*) as strikes from b d join b s on s.user_id = d.user_id and s.risk_band in ('high', 'critical')
+ and (s.us < d.us or (s.us = d.us and s.detection_id <= d.detection_id)) and d.us < s.us + {SPAN} group by d.detection_id""",
 )
 def strike_interval_join(spark, sf_dir):
     """Strikes in force at each detection's time, by an interval join dealt by (user, period)."""
-    return _strikes(spark, sf_dir).filter("active_strikes > 0").select("detection_id", F.col("active_strikes").alias("strikes"))
+    d = views.detections(spark, sf_dir).select("detection_id", "user_id", "created_at", policy.risk_band(F.col("risk_score")).alias("risk_band"))
+    strikes = d.filter(F.col("risk_band").isin("high", "critical"))
+    return policy.strikes_in_force(d, strikes, DAYS).select("detection_id", "strikes")
 
 
 @register(
@@ -283,10 +286,10 @@ def tumbling_counts(spark, sf_dir):
 # ---- review -----------------------------------------------------------------------
 
 
-@register("case_page", f"with {CASES} select case_id, user_id, priority, created_at from c where status = 'open' and priority >= 3 order by priority desc, created_at, case_id limit 50 offset 20")
+@register("case_page", f"with {CASES} select case_id, user_id, priority, created_at, count(*) over () as total from c where status = 'open' and priority >= 3 order by priority desc, created_at, case_id limit 50 offset 20")
 def case_page(spark, sf_dir):
     page = review.list_cases(views.cases(spark, sf_dir), status="open", min_priority=3, offset=20, limit=50)
-    return page.select("case_id", "user_id", "priority", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    return page.select("case_id", "user_id", "priority", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "total")
 
 
 @register(
@@ -300,6 +303,63 @@ def queue_stats(spark, sf_dir):
     return review.queue_stats(views.cases(spark, sf_dir))
 
 
+@register("queue_period", f"with {CASES} select case when priority >= 5 then 'red' when priority >= 3 then 'orange' else 'grey' end as bucket, count(*) as cases from c where created_at > timestamp '1997-06-30' - interval 90 day and created_at <= timestamp '1997-06-30' group by 1")
+def queue_period(spark, sf_dir):
+    """Cases of a period by the queue's colours."""
+    c = review.in_period(views.cases(spark, sf_dir), 90, F.lit("1997-06-30").cast("timestamp"))
+    return c.groupBy(review.priority_bucket(F.col("priority")).alias("bucket")).agg(F.count(F.lit(1)).alias("cases"))
+
+
+@register("audit_size", "select count(*) as actions from lineitem")
+def audit_size(spark, sf_dir):
+    return review.audit_size(review.record(views.actions(spark, sf_dir)))
+
+
+def _updates(spark, sf_dir):
+    """Events as updates of the case of their user: k picks what is set."""
+    e = views.detections(spark, sf_dir).filter("k is not null")
+    k = F.col("k")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / 7) % len(values) + 1).cast("int"))
+    return e.select(
+        F.col("user_id").alias("case_id"), F.col("detection_id").alias("seq"), F.col("created_at").alias("ts"),
+        F.when(k % 3 == 0, pick(["open", "in_review", "resolved", "appealed", "overturned"])).alias("status"), F.when(k % 4 == 1, k.cast("string")).alias("assigned_to"),
+        F.when(k % 5 == 2, pick(["confirmed", "false_positive"])).alias("resolution"), F.when(k % 5 == 3, F.concat(F.lit("note "), k.cast("string"))).alias("note"),
+        F.when((k % 3 != 0) & (k % 7 == 2), F.concat(F.lit("reason "), k.cast("string"))).alias("appeal"),
+    )
+
+
+@register(
+    "case_updates",
+    f"""with recursive {DETECTIONS}, u as (select user_id as case_id, detection_id as seq, row_number() over (partition by user_id order by detection_id) as n,
+  case when k % 3 = 0 then ['open', 'in_review', 'resolved', 'appealed', 'overturned'][(k // 7) % 5 + 1] end as status, case when k % 4 = 1 then cast(k as varchar) end as assigned,
+  case when k % 5 = 2 then ['confirmed', 'false_positive'][(k // 7) % 2 + 1] end as resolution, case when k % 5 = 3 then 'note ' || k end as note, case when k % 3 <> 0 and k % 7 = 2 then 'reason ' || k end as appeal from d where k is not null),
+ f(case_id, n, status, assigned_to, resolution, note, refused) as (select distinct case_id, 0, 'open', null::varchar, null::varchar, null::varchar, 0 from u
+  union all select case_id, n, case when not ok then old when appeal is not null then 'appealed' when assigned is not null and new_status = 'open' then 'in_review' else new_status end,
+   case when ok then coalesce(assigned, assigned_to) else assigned_to end, case when ok then coalesce(resolution, res) else res end,
+   case when ok then coalesce('Appeal reason: ' || appeal, new_note, note) else note end, refused + (not ok)::int
+  from (select f.case_id, u.n, f.status as old, coalesce(u.status, f.status) as new_status, u.assigned, f.assigned_to, u.resolution, f.resolution as res, u.note as new_note, f.note, u.appeal, f.refused,
+   (u.status is null or (f.status, u.status) in (('open', 'in_review'), ('open', 'resolved'), ('in_review', 'resolved'), ('in_review', 'open'), ('resolved', 'appealed'), ('appealed', 'in_review'), ('appealed', 'overturned')))
+    and (u.appeal is null or coalesce(u.status, f.status) = 'resolved') as ok from f join u on u.case_id = f.case_id and u.n = f.n + 1))
+ select case_id, arg_max(status, n) as status, arg_max(assigned_to, n) filter (where assigned_to is not null) as assigned_to, arg_max(resolution, n) filter (where resolution is not null) as resolution,
+  arg_max(note, n) filter (where note is not null) as note, max(refused) as refused from f group by case_id""",
+)
+def case_updates(spark, sf_dir):
+    return review.apply_case_updates(_updates(spark, sf_dir)).drop("updated_at")
+
+
+@register(
+    "case_assignments",
+    f"""with {DETECTIONS}, e as (select detection_id as seq, ['assign', 'unassign', 'assign', 'resolve'][k % 4 + 1] as kind, k % 11 as moderator, user_id as case_id from d where k is not null),
+ done as (select case_id, max(seq) as done from e where kind = 'resolve' group by case_id),
+ p as (select moderator, case_id, max(seq) as last, arg_max(kind, seq) as kind from e where kind in ('assign', 'unassign') group by all)
+ select moderator, count(*) as cases from p left join done using (case_id) where kind = 'assign' and (done is null or done < last) group by moderator""",
+)
+def case_assignments(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ["assign", "unassign", "assign", "resolve"])), (F.col("k") % 4 + 1).cast("int"))
+    e = views.detections(spark, sf_dir).filter("k is not null").select(F.col("detection_id").alias("seq"), kinds.alias("kind"), (F.col("k") % 11).alias("moderator"), F.col("user_id").alias("case_id"))
+    return review.assignments(e).groupBy("moderator").agg(F.count(F.lit(1)).alias("cases"))
+
+
 _LABELS_SQL = " union all ".join(f"select '{gate.LABELS[k]}' as label, count(*) as count from m where n_{k} > 0" for k in gate.KINDS)
 
 
@@ -347,11 +407,18 @@ def moderator_load(spark, sf_dir):
     return review.moderator_load(views.cases(spark, sf_dir))
 
 
-@register("least_loaded", f"with {CASES} select assigned_to as moderator, count(distinct case_id) as load from c where status = 'in_review' group by assigned_to order by load, assigned_to limit 1")
+@register("least_loaded", f"with {CASES} select user_id % 400 as moderator, count(distinct case_id) as load from c where status = 'in_review' group by 1 having count(distinct case_id) < {review.CAPACITY} order by load, moderator limit 1")
 def least_loaded(spark, sf_dir):
-    load = review.moderator_load(views.cases(spark, sf_dir))
+    """Of 400 moderators those with cases in review and room for more; full ones are not taken."""
+    load = review.moderator_load(views.cases(spark, sf_dir).withColumn("assigned_to", F.col("user_id") % 400))
     people = load.select(F.col("assigned_to").alias("moderator"), F.col("assigned_to").alias("ord"))
-    return review.least_loaded(people, load, capacity=1 << 30).select("moderator", "load")
+    return review.least_loaded(people, load).select("moderator", "load")
+
+
+@register("full_moderators", f"with {CASES} select assigned_to as moderator, count(distinct case_id) as load from c where status = 'in_review' group by 1 having count(distinct case_id) >= {review.CAPACITY}")
+def full_moderators(spark, sf_dir):
+    load = review.moderator_load(views.cases(spark, sf_dir))
+    return load.filter(F.col("load") >= review.CAPACITY).select(F.col("assigned_to").alias("moderator"), "load")
 
 
 @register("pending_approvals", f"with {ACTIONS} select case_id, action_no, actor_id from a where is_permanent and approved_by is null")
@@ -394,33 +461,25 @@ from brindle.functions import patterns as P  # noqa: E402
 from brindle.functions import text as T  # noqa: E402
 from brindle.operators import detect  # noqa: E402
 
-_ASCII = r"[^\x00-\x7F]"
-
-
-def _ascii(spark, sf_dir):
-    """Documents with other characters as spaces, so that both regex dialects see the same words."""
-    return views.document_messages(spark, sf_dir).withColumn("content", F.regexp_replace("content", _ASCII, " "))
-
-
-def _sql_values(p: str) -> str:
-    return f"select doc_id, unnest(regexp_extract_all(regexp_replace(text, '{_ASCII}', ' ', 'g'), '(?i){p}')) as v from documents"
-
-
 def _values(spark, sf_dir, p: str):
-    return _ascii(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(f"(?i){gate.java_regex(p)}"), F.lit(0))).alias("v"))
+    """Matches of one pattern in whole documents, as the detectors find them."""
+    from brindle.operators import spans
+
+    m = spread(views.document_messages(spark, sf_dir))
+    return m.select("doc_id", F.explode_outer(F.expr(spans.found("content", p))).alias("m")).filter("m is not null").select("doc_id", "m.v")
 
 
-@register("token_hashes", f"with m as ({_sql_values(P.EMAIL['standard'])}) select distinct doc_id, sha256(lower(trim(v))) as token_hash from m")
+@register("token_hashes")
 def token_hashes(spark, sf_dir):
     return _values(spark, sf_dir, P.EMAIL["standard"]).select("doc_id", T.token_hash(F.col("v")).alias("token_hash")).distinct()
 
 
-@register("phone_values", f"with m as ({_sql_values(P.PHONE['us_format'])}) select v as phone, count(*) as n, count(distinct doc_id) as documents from m group by v")
+@register("phone_values")
 def phone_values(spark, sf_dir):
     return _values(spark, sf_dir, P.PHONE["us_format"]).groupBy(F.col("v").alias("phone")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-@register("url_values", "with m as ({}) select v as url, count(*) as n, count(distinct doc_id) as documents from m group by v".format(_sql_values(P.URL["full"].replace("'", "''"))))
+@register("url_values")
 def url_values(spark, sf_dir):
     return _values(spark, sf_dir, P.URL["full"]).groupBy(F.col("v").alias("url")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
@@ -460,12 +519,11 @@ _HITS_SQL = " + ".join("regexp_matches(t, '(?i){}')::int".format("|".join(f"(?:{
 
 @register(
     "context_hits",
-    f"""with t as (select conv_id, turn, regexp_replace(text, '{_ASCII}', ' ', 'g') as t from conversations), h as (select conv_id, turn, coalesce({_HITS_SQL}, 0) as hits from t)
+    f"""with t as (select conv_id, turn, text as t from conversations), h as (select conv_id, turn, coalesce({_HITS_SQL}, 0) as hits from t)
  select conv_id, turn, cast(coalesce(sum(hits) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding), 0) as integer) as context_hits from h""",
 )
 def context_hits(spark, sf_dir):
-    m = views.conversation_messages(spark, sf_dir).withColumn("content", F.regexp_replace("content", _ASCII, " "))
-    return detect.context_hits(m).select(F.col("thread_id").alias("conv_id"), "turn", "context_hits")
+    return detect.context_hits(views.conversation_messages(spark, sf_dir)).select(F.col("thread_id").alias("conv_id"), "turn", "context_hits")
 
 
 # ---- operations metrics -----------------------------------------------------------

@@ -95,3 +95,27 @@ def test_combine(spark):
     assert value(detect.combine(s)) == pytest.approx(0.776)
     assert value(detect.combine(s, (1,))) == pytest.approx(0.97)
     assert value(detect.combine(s, (9,))) == 0
+
+
+def test_stages_and_failures(spark):
+    """No stages mean all three, unknown ones score nothing, failed rows are results."""
+    rows = [("give me your number, my phone is 555-123-4567", 1, 1, 0.5, ["burst_attempts"], 4), ("fine", 2, 1, 0.0, [], 0)]
+    df = spark.createDataFrame(rows, "content string, thread_id int, turn int, stage3_score double, stage3_labels array<string>, n_thread int")
+    got = {r.thread_id: r for r in detect.detect(df, stages=()).collect()}
+    assert got[1].stage == 3 and "burst_attempts" in got[1].labels
+    kinds = {(e["offset"], e["length"], round(e["confidence"], 3)) for e in got[1].evidence}
+    assert {(0, len(rows[0][0]), 0.4), (0, 19, 0.8), (21, 11, 0.75)} <= kinds
+    assert {(r.risk_score, r.stage) for r in detect.detect(df, stages=(9,)).collect()} == {(0.0, 1)}
+    bad = {r.thread_id: r for r in detect.detect(df, failed=F.col("thread_id") == 2).collect()}
+    assert (bad[2].risk_score, bad[2].stage, bad[2].labels, bad[2].evidence, bad[2].hashed_tokens) == (0.0, 0, ["analysis_error"], [], []) and bad[1].risk_score > 0
+
+
+def test_values_equal_finditer(spark):
+    """The queries of one pattern's values read whole texts, other scripts included."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for name, p, column in (("phone_values", P.PHONE["us_format"], "phone"), ("url_values", P.URL["full"], "url")):
+        want: dict[str, int] = {}
+        for d in docs:
+            for m in re.finditer(p, d.text or "", re.IGNORECASE):
+                want[m[0]] = want.get(m[0], 0) + 1
+        assert {r[column]: r.n for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == want

@@ -63,3 +63,10 @@ def test_expire_and_deactivate(spark):
 def test_messages(spark):
     e = policy.enforce(_events(spark, [(1, 1, "2024-01-01 00:00:00", 0.75)])).head()
     assert "spam" in e.user_message and e.scope == "message" and e.duration_hours is None
+
+
+def test_gate_settings_are_checked():
+    assert policy.GateSettings().max_message_length == 10_000
+    for wrong in ({"sync_threshold": 1.1}, {"detection_port": 0}, {"breaker_threshold": 0}, {"breaker_reset_ms": 999}, {"max_message_length": 0}):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            policy.GateSettings(**wrong)
