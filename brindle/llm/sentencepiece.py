@@ -34,16 +34,15 @@ import json
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.text_hashes import run_hashes
-from brindle.session import cut
 
 MARK = "▁"
 CHUNK = 16_384
@@ -472,38 +471,47 @@ def _unpack(text: str) -> dict[tuple, list[tuple]]:
 STATES = "key string, {id} int, o int, last string, xo int, xlast string"
 
 
-def _states_frame(key, of: str, ids, states: list[tuple]) -> pd.DataFrame:
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by their first ``n`` columns, one group at a time."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[:n]):
+        yield key, list(group)
+
+
+def _states_batch(key: str, of: str, ids: list[int], states: list[tuple]) -> pa.RecordBatch:
     """The state before and behind each of the matrices in a row."""
-    names = {"o": [s[0] for s in states[:-1]], "last": [s[1] for s in states[:-1]], "xo": [s[0] for s in states[1:]], "xlast": [s[1] for s in states[1:]]}
-    return pd.DataFrame({"key": key, of: ids} | names)
+    columns = [[key] * len(ids), ids, *([s[i] for s in part] for part in (states[:-1], states[1:]) for i in (0, 1))]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", of, "o", "last", "xo", "xlast"])
 
 
 def scan(matrices: DataFrame) -> DataFrame:
-    """(key, k, o, last, xo, xlast): the states at the two cuts of every chunk, from (key, k, block, m).
+    """(key, k, o, last, xo, xlast): the states at the two cuts of every chunk, from (key, block, k, m).
 
-    Three steps, each over groups of at most ``BLOCK`` matrices: products of blocks, states at the
+    Three steps over sorted rows, each holding at most ``BLOCK`` matrices: products of blocks, states at the
     borders of blocks, states inside blocks. The number of partitions is given, so that the
     few bytes of matrices are not put in one task.
     """
     n = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut(matrices.repartition(n, "key", "block"))
+    blocks = matrices.select("key", "block", "k", "m").repartition(n, "key", "block")
 
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        steps = [_unpack(m) for m in group.sort_values("k")["m"]]
-        return pd.DataFrame({"key": group["key"].iloc[:1], "block": group["block"].iloc[:1], "m": [_pack(reduce(compose, steps))]})
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, block), rows in _grouped(batches, 2):
+            whole = _pack(reduce(compose, [_unpack(r[3]) for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([block], pa.int32()), pa.array([whole], pa.string())], ["key", "block", "m"])
 
-    def borders(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        return _states_frame(group["key"], "block", group["block"], states_at_cuts([_unpack(m) for m in group["m"]], (0, None), (0, None)))
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key,), rows in _grouped(batches, 1):
+            yield _states_batch(key, "block", [r[1] for r in rows], states_at_cuts([_unpack(r[2]) for r in rows], (0, None), (0, None)))
 
-    def inside(group: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        group, e = group.sort_values("k"), ends.iloc[0]
-        text = lambda x: x if isinstance(x, str) else None  # noqa: E731  pandas may turn a null into NaN
-        return _states_frame(group["key"], "k", group["k"], states_at_cuts([_unpack(m) for m in group["m"]], (int(e["o"]), text(e["last"])), (int(e["xo"]), text(e["xlast"]))))
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _), rows in _grouped(batches, 2):
+            yield _states_batch(key, "k", [r[2] for r in rows], states_at_cuts([_unpack(r[3]) for r in rows], rows[0][4:6], rows[0][6:8]))
 
-    products = blocks.groupBy("key", "block").applyInPandas(product, "key string, block int, m string")
-    ends = products.repartition(n, "key").groupBy("key").applyInPandas(borders, STATES.format(id="block"))
-    return blocks.groupBy("key", "block").cogroup(ends.groupBy("key", "block")).applyInPandas(inside, STATES.format(id="k"))
+    products = blocks.sortWithinPartitions("key", "block", "k").mapInArrow(product, "key string, block int, m string")
+    ends = products.repartition(n, "key").sortWithinPartitions("key", "block").mapInArrow(borders, STATES.format(id="block"))
+    met = blocks.join(ends, ["key", "block"]).select("key", "block", "k", "m", "o", "last", "xo", "xlast")
+    return met.sortWithinPartitions("key", "block", "k").mapInArrow(inside, STATES.format(id="k"))
 
 
 def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
