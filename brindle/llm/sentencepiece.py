@@ -39,8 +39,10 @@ from itertools import groupby
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from brindle.llm.text_hashes import run_hashes
 
@@ -545,6 +547,16 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     return parts.groupBy("key").agg(F.flatten(ordered).alias("ids"))
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts have about ``GROUP_CHARS`` bytes."""
+    sizes = np.append(0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + GROUP_CHARS, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with a column of piece ids, equal to the library's for the model at ``path``.
 
@@ -554,17 +566,22 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, text_co
     names = [c for c in docs.columns if c not in (out_col, decoded_col)]
     work = docs.select(*names, F.col(text_col).alias("_sp_text"))
     long = F.coalesce(F.length("_sp_text"), F.lit(0)) >= chunk
+    made = [out_col, *([decoded_col] if decoded_col else [])]
+    schema = StructType([docs.schema[n] for n in names] + [StructField(out_col, ArrayType(IntegerType()))] + [StructField(n, StringType()) for n in made[1:]])
 
-    @F.arrow_udf("ids array<int>, decoded string" if decoded_col else "ids array<int>")
-    def whole(texts: pa.Array) -> pa.Array:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows go out in small batches, so results of a large one are never held together."""
         lat = lattice(path)
-        ids, ends = lat.encode_many(texts.to_pylist())
-        lists = [id_lists(ids, ends)]
-        return pa.StructArray.from_arrays([*lists, pa.array(lat.decode(ids, ends), pa.string())] if decoded_col else lists, ["ids", "decoded"][: 1 + bool(decoded_col)])
-
-    made = [out_col, *([decoded_col] if decoded_col else [])]
-    small = work.filter(~long).withColumn("_sp_out", whole("_sp_text"))
-    small = small.select(*names, *[F.col(f"_sp_out.{c}").alias(n) for c, n in zip(("ids", "decoded"), made, strict=False)])
+        for batch in batches:
+            for i, j in _slices(batch.column(at)):
+                rows = batch.slice(i, j - i)
+                ids, ends = lat.encode_many(rows.column(at).to_pylist())
+                out = [*rows.columns[: len(names)], id_lists(ids, ends)]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(lat.decode(ids, ends), pa.string())] if decoded_col else []), [*names, *made])
+
+    at = names.index(text_col) if text_col in names else len(names)
+    small = work.filter(~long)
+    small = (small.drop("_sp_text") if text_col in names else small).mapInArrow(whole, schema)
     giant = work.filter(long).withColumn("_sp_key", F.md5("_sp_text"))
     found = _giants(giant.select(F.col("_sp_key").alias("key"), F.col("_sp_text").alias("text")), path, chunk)
     giant = giant.join(found.select(F.col("key").alias("_sp_key"), F.col("ids").alias(out_col)), "_sp_key")
