@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.workers import giving_back
+
 PIECE = 64
 SLICE = 1 << 18
 GROUP_WORDS = 1 << 18
@@ -334,7 +336,7 @@ def fit(docs: DataFrame, sample_docs: int = 6000, max_grams: int = 30_000, held_
         left -= want[lang]
     share = F.create_map(*[F.lit(x) for k, n in want.items() for x in (k, min(int(n / sizes[k] * (1 << 62)) * 2, (1 << 63) - 1))]) if want else None
     sample = rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 1) <= F.element_at(share, F.col("lang"))) if want else rows
-    counts = sample.select("text", "lang").mapInArrow(_gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "lang").mapInArrow(giving_back(_gram_counts), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     wide = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     is_script = F.startswith("gram", F.lit("script:"))
     wide = wide.orderBy(is_script.desc(), F.col("total").desc(), "gram")
@@ -361,7 +363,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "lang_pred", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.dtypes[0][1]}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(giving_back(run), f"id {source.dtypes[0][1]}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -372,4 +374,4 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, te
         for batch in batches:
             yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in shared.value.predict(batch.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.text_hashes import U, groups, mix, windows, word_hashes
 from brindle.session import cut
+from brindle.llm.workers import giving_back
 
 #: Members of a block, and bytes of window sets in it (in expectation) where sets are large.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
@@ -175,7 +176,7 @@ def _window_sets(wanted: DataFrame, texts: DataFrame, reps: DataFrame, b: Bandin
                 out = pa.array([raw[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), out], ["node", "windows"])
 
-    return cut(found.mapInArrow(sets, "node bigint, windows binary"))
+    return cut(found.mapInArrow(giving_back(sets), "node bigint, windows binary"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
@@ -188,7 +189,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(similar, "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(giving_back(similar), "a bigint, b bigint")
 
 
 def _typical_bytes(sets: DataFrame) -> float:
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     work = docs.select(F.col(id_col).alias("_nd_id"), F.md5(text_col).alias("_nd_key"), F.col(text_col).alias("_nd_text"))
     id_type = work.dtypes[0][1]
     schema = f"_nd_id {id_type}, _nd_key string, bands array<bigint>"
-    signed = cut(work.mapInArrow(_sign(b), schema))
+    signed = cut(work.mapInArrow(giving_back(_sign(b)), schema))
     distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = cut(distinct.withColumn("node", _node("_nd_key")))
     texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_id", "_nd_text")

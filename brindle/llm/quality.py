@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.workers import giving_back
+
 #: Characters counted as symbols, marks that end a sentence, separators of menus.
 SYMBOLS = "#*$%&|<>"
 END_MARKS = tuple(".!?…\"'”’»)]:;。！？")
@@ -150,7 +152,7 @@ def quality_report(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(arrays, ["id", *_NAMES, *["clean_text"] * with_text])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = source.mapInArrow(run, f"id {source.dtypes[0][1]}, {STATS}{', clean_text string' if with_text else ''}")
+    out = source.mapInArrow(giving_back(run), f"id {source.dtypes[0][1]}, {STATS}{', clean_text string' if with_text else ''}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -166,5 +168,5 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "te
             out = batch.set_column(at, batch.schema.field(at), pa.array([r[7] for r in rows], batch.schema.field(at).type))
             yield out.filter(keep)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(giving_back(run), docs.schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast("long")) if n_chars_col in names else out
