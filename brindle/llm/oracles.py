@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.llm.license_scan import GAP, PHRASE_WORDS, SHIFT, TEMPLATES, width
+
 #: Exact similarity of sets of five-word windows, then connected components.
 NEAR_DUPLICATES = r"""
 with recursive w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from documents where text is not null),
@@ -89,3 +91,45 @@ a as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_left >= 0.5 * word_chars as kept from a
 """
+
+#: Words by place, meetings of word runs with template positions, diagonals merged by windows, coverage counted from words.
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, {width(t)}, {1.0 if len(t.words) <= PHRASE_WORDS else t.share}::double, {len(t.words) <= PHRASE_WORDS}, {t.words!r})" for i, t in enumerate(TEMPLATES))
+LICENSES = rf"""
+with t(t, label, base, k, share, exact, ws) as (values {_TEMPLATES}),
+tp as (select t, k, p - 1 as tat, ws[p:p + k - 1] as run from (select *, unnest(range(1, len(ws) - k + 2)) as p from t)),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+w as (select r, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as pos from d),
+x as (select *, lead(w, 1) over o as w1, lead(w, 2) over o as w2, lead(w, 3) over o as w3, lead(w, 4) over o as w4 from w window o as (partition by r order by pos)),
+h as (select r, t, tat, k, pos, pos - tat as diag from x join tp on k = 2 and w = run[1] and w1 = run[2]
+ union all select r, t, tat, k, pos, pos - tat from x join tp on k = 5 and w = run[1] and w1 = run[2] and w2 = run[3] and w3 = run[4] and w4 = run[5]),
+v as (select r, t, diag, min(pos) as first, max(pos) as last from h group by all),
+n as (select *, case when not exact and first - max(last) over (partition by r, t order by first, diag rows between unbounded preceding and 1 preceding) <= {GAP}
+  and abs(diag - lag(diag) over (partition by r, t order by first, diag)) <= {SHIFT} then 0 else 1 end as fresh from v join t using (t)),
+g as (select *, sum(fresh) over (partition by r, t order by first, diag rows unbounded preceding) as place from n),
+m as (select distinct g.r, g.t, g.place, unnest(range(h.tat, h.tat + h.k)) as word from g join h on h.r = g.r and h.t = g.t and h.diag = g.diag),
+c as (select r, t, place, count(*) as cover from m group by all),
+s as (select r, t, label, base, min(first) as first, max(last) - min(first) + any_value(k) as n, any_value(cover) as cover, any_value(len(ws)) as whole, any_value(share) as share
+  from g join c using (r, t, place) group by r, t, place, label, base),
+f as (select r, count(*) filter (where base) as n_base, min(first) filter (where base) as first_word, max(first) filter (where base) as last_word,
+  string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover / whole::double) as score
+  from s where cover >= share * whole and cover >= share * n group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+from d left join f using (r)
+"""
+
+#: All 120 orders one filter after the other; Shapley sums by adding up what is removed.
+FILTER_AUDIT = r"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) over (partition by text), false)} as f from d left join l on l.doc_id = d.doc_id),
+c as (select part, map_from_entries([('A', f['A']), ('B', f['B']), ('C', f['C']), ('D', f['D']), ('E', f['E'])]) as f, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+o(o) as (select '' union all select o || x from o, unnest(['A', 'B', 'C', 'D', 'E']) as u(x) where not contains(o, x)),
+s as (select o as filter_order, i::integer as step, substr(o, i, 1) as own, string_split(substr(o, 1, i - 1), '') as before from o, range(1, 6) as r(i) where length(o) = 5),
+x as (select part, filter_order, step, own, n, good, toxic, f[own] as fails, len(list_filter(before, lambda b: b <> '' and f[b])) > 0 as gone,
+  len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda b: f[b])) = 1 as once from c, s),
+p as (select part, filter_order, step, own, sum(case when not gone and not fails then n else 0 end)::bigint as kept, sum(case when not gone and fails then n else 0 end)::bigint as removed,
+  sum(case when gone and fails then n else 0 end)::bigint as redundant, sum(case when fails and once then n else 0 end)::bigint as unique_fails,
+  sum(case when not gone and fails then good else 0 end)::bigint as good_lost, sum(case when not gone and fails then toxic else 0 end)::bigint as toxic_lost from x group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from p
+"""

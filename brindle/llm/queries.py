@@ -85,6 +85,24 @@ def op10_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.license_scan import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sainte_lague_mix": op1_sainte_lague_mix,
     "op9_warc_index_merge": op9_warc_index_merge,
@@ -96,5 +114,15 @@ QUERIES = {
     "op6_multi_index_hamming": op6_multi_index_hamming,
     "op7_viterbi_language": op7_viterbi_language,
     "op8_minimax_shards": op8_minimax_shards,
+    "op11_license_diagonals": op11_license_diagonals,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES = {
+    "op2_quotation_links": oracles.QUOTATIONS,
+    "op4_dart_minhash": oracles.NEAR_DUPLICATES,
+    "op5_line_quality": oracles.QUALITY,
+    "op9_warc_index_merge": oracles.ARCHIVES,
+    "op11_license_diagonals": oracles.LICENSES,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
-ORACLES = {"op2_quotation_links": oracles.QUOTATIONS, "op4_dart_minhash": oracles.NEAR_DUPLICATES, "op5_line_quality": oracles.QUALITY, "op9_warc_index_merge": oracles.ARCHIVES}

@@ -86,8 +86,8 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return docs, mix(out)
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts, ends) of runs of rows of about ``GROUP_BYTES``; nulls are empty."""
+def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts, ends) of runs of rows of about ``most`` bytes; nulls are empty."""
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
     if texts.null_count:
         texts = texts.fill_null("")
@@ -95,7 +95,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         lo, hi = int(offsets[i]), int(offsets[j])
         yield i, j, data[lo:hi], offsets[i:j] - lo, offsets[i + 1 : j + 1] - lo
         i = j
