@@ -204,3 +204,12 @@ def test_audit_moves_no_text(docs, spark):
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     plan = filter_audit.filter_audit(docs.drop("part"), labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_both_ways_of_encoding_give_the_same_ids(spark):
+    import public_tokenizers as P
+
+    t = token_alignment.Tokenizers(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    odd = ["a" * 20_000, " \n\t \r\n  x  y ", "it's WE'LL o'Clock 'S", "é" * 3000, "\x00\x1c\x85 <|endoftext|>", "1234 5 67!!!???", "ͰͿ ҈ ԯ"]
+    texts = [" " + x for x in [*odd, *[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]]]
+    assert t.ranked is not None and t.encode_a(texts) == [e.ids for e in t.a.encode_batch_fast(texts, add_special_tokens=False)]
