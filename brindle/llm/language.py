@@ -277,8 +277,9 @@ def viterbi(table: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.n
         return labels
     longest = int(size[0])
     active = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
-    back = np.zeros((len(flat), table.shape[1]), np.uint8)
-    own = np.arange(table.shape[1], dtype=np.uint8)
+    kind = np.min_scalar_type(table.shape[1])
+    back = np.zeros((len(flat), table.shape[1]), kind)
+    own = np.arange(table.shape[1], dtype=kind)
     value = table[flat[start[: active[0]]]]
     final = np.zeros((len(size), table.shape[1]), np.float32)
     for t in range(1, longest):
