@@ -43,7 +43,7 @@ FOUND = "query_id bigint, vec_id bigint, score double"
 
 @dataclass(frozen=True)
 class Codes:
-    """What was learned: centre and rotation, the largest norm, the radius."""
+    """What was learned of vectors scaled by their largest component: centre and rotation, the largest norm, the radius."""
 
     centre: np.ndarray
     rotation: np.ndarray
@@ -56,10 +56,14 @@ class Codes:
 
 
 def lift(x: np.ndarray, norm: float, queries: bool) -> np.ndarray:
-    """Unit vectors whose inner products order candidates as those of the original vectors do."""
-    length = np.sqrt((x * x).sum(1))
+    """Unit vectors whose inner products order candidates as those of the original vectors do.
+
+    A query's length does not matter, so it is scaled by its largest component, lest squares overflow or vanish.
+    """
     if queries:
-        return np.column_stack([x / length[:, None], np.zeros(len(x))])
+        x = x / np.maximum(np.abs(x).max(1), np.finfo(np.float64).tiny)[:, None]
+        return np.column_stack([x / np.maximum(1.0, np.sqrt((x * x).sum(1)))[:, None], np.zeros(len(x))])
+    length = np.sqrt((x * x).sum(1))
     return np.column_stack([x / norm, np.sqrt(np.maximum(0.0, 1.0 - (length / norm) ** 2))])
 
 
@@ -160,22 +164,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, sample_r
     v = F.col(vector_col) if kind is np.float32 else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = rows.filter(F.size("v") > 0).filter(~bad).withColumn("square", square).filter("square > 0")
-    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("most"), F.count_if("asks").alias("asked")).orderBy(F.col("n").desc(), "dim").first()
+    # Candidates are scaled by the largest component of all, so that no square overflows.
+    rows = rows.filter(F.size("v") > 0).filter(~bad).withColumn("peak", F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).filter("peak > 0")
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("peak").alias("peak"), F.count_if("asks").alias("asked")).orderBy(F.col("n").desc(), "dim").first()
     if lengths is None or not lengths["asked"]:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.filter(F.size("v") == lengths["dim"])
+    peak = lengths["peak"]
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / F.lit(peak), F.lit(2.0)))
+    norm = math.sqrt(rows.agg(F.max(square)).head()[0])
     share = min(1.0, sample_rows / lengths["n"])
     sample = rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) <= F.lit(int(share * (1 << 53)))).orderBy("id").select("v").collect()
-    codes = learn(np.array([r[0] for r in sample], np.float64).reshape(len(sample), lengths["dim"]), math.sqrt(lengths["most"]), bits, k) if len(sample) > 1 else None
+    codes = learn(np.array([r[0] for r in sample], np.float64).reshape(len(sample), lengths["dim"]) / peak, norm, bits, k) if len(sample) > 1 else None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
             x = own.astype(np.float64)
             asks = np.array(batch.column(2).to_pylist(), bool)
-            out = [(c.tobytes(), q.tobytes() if a else None) for c, q, a in zip(codes.encode(x, False), codes.encode(x, True), asks, strict=True)] if codes and len(x) else [(b"\0", b"\0" if a else None) for a in asks]
+            out = [(c.tobytes(), q.tobytes() if a else None) for c, q, a in zip(codes.encode(x / peak, False), codes.encode(x, True), asks, strict=True)] if codes and len(x) else [(b"\0", b"\0" if a else None) for a in asks]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r.tobytes() for r in own], pa.binary()), pa.array([c for c, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], ["id", "v", "code", "asked"]
             )
@@ -191,5 +198,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, sample_r
     if n_poor:
         rest = _search(poor, candidates, k, None, math.ceil(n_poor / QUERY_BLOCK), n_blocks, kind)
         found = found.join(poor.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
