@@ -128,7 +128,8 @@ def _sign(b: Banding):
                 flat = pa.array(band[some].reshape(-1).view(np.int64), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([rows.column("_nd_id"), rows.column("_nd_key"), lists], ["_nd_id", "_nd_key", "bands"])
+                size = pa.array(np.bincount(docs, minlength=j - i) if not b.counted else np.bincount(docs, times, j - i).astype(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("_nd_id"), rows.column("_nd_key"), lists, size], ["_nd_id", "_nd_key", "bands", "size"])
 
     return run
 
@@ -192,11 +193,6 @@ def _checked(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(giving_back(similar), "a bigint, b bigint")
 
 
-def _typical_bytes(sets: DataFrame) -> float:
-    """Mean size of a window set in bytes, 8 at least."""
-    return max(8.0, sets.agg(F.avg(F.octet_length("windows"))).head()[0] or 8.0)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each connected component of (a, b) links.
 
@@ -274,17 +270,17 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     b = banding
     work = docs.select(F.col(id_col).alias("_nd_id"), F.md5(text_col).alias("_nd_key"), F.col(text_col).alias("_nd_text"))
     id_type = work.dtypes[0][1]
-    schema = f"_nd_id {id_type}, _nd_key string, bands array<bigint>"
+    schema = f"_nd_id {id_type}, _nd_key string, bands array<bigint>, size bigint"
     signed = cut(work.mapInArrow(giving_back(_sign(b)), schema))
-    distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"))
+    distinct = signed.filter("_nd_key is not null").groupBy("_nd_key").agg(F.min("_nd_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     nodes = cut(distinct.withColumn("node", _node("_nd_key")))
     texts = work.filter("_nd_key is not null").select(_node("_nd_key").alias("node"), "_nd_id", "_nd_text")
     reps = nodes.select("node", F.col("rep").alias("_nd_rep"))
 
-    rows = nodes.select("node", F.explode("bands").alias("h"))
+    rows = nodes.select("node", "size", F.explode("bands").alias("h"))
     # Sums by bucket are cut, so that joins with them are of two plain shuffles and a hot bucket can be split.
     shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = cut(rows.join(shared, "h").select("h", "node", "n"))
+    met = cut(rows.join(shared, "h").select("h", "node", "n", "size"))
     # The centre of a bucket is its best connected member: in a group of near copies that is the text they come from.
     fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
     centres = cut(met.join(fame, "node").groupBy("h").agg(F.min(F.struct(-F.col("fame"), F.col("node")))["node"].alias("a")))
@@ -295,15 +291,16 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), id_col: str =
     links = cut(_checked(pairs, sets, b))
     labels = components(links)
 
-    large = cut(met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp")))
+    large = cut(met.filter("n > 2").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), "size"))
     # First by bucket and component, so that a hot bucket is a few rows before it is summed up.
-    per = large.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("who"))
-    mixed = per.groupBy("h").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.bit_xor("who").alias("who")).filter("comps > 1")
+    per = large.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.bit_xor("node").alias("who"))
+    mixed = per.groupBy("h").agg(F.max(F.struct("n", "comp", "bytes")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("who").alias("who")).filter("comps > 1")
     # Bands in which the same texts meet make equal buckets; one of them is enough.
-    mixed = mixed.groupBy("top", "comps", "n", "who").agg(F.min("h").alias("h"))
-    blocks = lambda n: F.ceil(n / F.col("block")).cast("int")
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.lit(_typical_bytes(sets)))))
-    mixed = mixed.withColumn("block", block).select("h", F.col("top.comp").alias("main"), blocks(F.col("top.n")).alias("nb"), blocks(F.col("n") - F.col("top.n")).alias("ob"))
+    mixed = mixed.groupBy("top", "comps", "n", "bytes", "who").agg(F.min("h").alias("h"))
+    # Blocks by members and by the bytes of their own window sets, so that a bucket of long texts has small ones.
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.least(n, F.ceil(size / BLOCK_BYTES))).cast("int")
+    of_main, of_others = blocks(F.col("top.n"), F.col("top.bytes")), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    mixed = mixed.select("h", F.col("top.comp").alias("main"), of_main.alias("nb"), of_others.alias("ob"))
     members = large.join(cut(mixed), "h").withColumn("main", F.col("comp") == F.col("main"))
     more = cut(_mixed_links(members, sets, b))
     if not more.isEmpty():
