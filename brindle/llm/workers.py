@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,14 @@ import pyarrow as pa
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep of what was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for ``mapInArrow``; behind its last batch the memory that Arrow holds unused goes back to the system.
 
@@ -17,6 +26,6 @@ def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batche
 
     def returned(batches: Batches) -> Batches:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return returned

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -633,3 +634,38 @@ def test_pipeline(spark):
     out = pipeline.run(spark, SF)
     rows = out.select("doc_id", "n_pieces", "round_trip").collect()
     assert rows and all(r.round_trip and r.n_pieces > 0 for r in rows)
+
+
+# ---- extremes ---------------------------------------------------------------------
+
+
+def test_huge_and_tiny_vectors_take_part(spark):
+    """Squares of components overflow or vanish; the products asked for do not."""
+    rng = np.random.default_rng(3)
+    by = {i: rng.normal(size=8) * (1.0 if i == 0 else 1e-200 if i % 20 == 0 else 1e200 if i % 2 else 1.0) for i in range(90)}
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in by.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hamming_search.nearest(v, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 90, 20):
+        assert got[q] == sorted(((i, float((x * by[q]).sum())) for i, x in by.items() if i != q), key=lambda p: (-p[1], p[0]))[:5]
+
+
+def test_viterbi_of_more_labels_than_a_byte_holds():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(40, 300)).astype(np.float32)
+    table[np.arange(40), 260 + np.arange(40) // 10] += 50
+    labels = language.viterbi(table, np.arange(40), np.array([0]), np.array([40]), 3.0)
+    assert list(labels) == [260 + i // 10 for i in range(40)]
+
+
+def test_blocks_of_long_texts_in_one_bucket(spark, monkeypatch):
+    """Sets of one bucket are cut by their own bytes, whatever the mean of the table is."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2_000)
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(200)]
+    texts = [" ".join(common[:40] + [f"w{i}_{k}" for k in range(150)]) for i in range(12)] + [" ".join(common)] * 2
+    texts += [" ".join([*common[:100], f"x{rng.integers(9)}", *common[100:]]) for _ in range(6)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()}
+    assert len({got[i] for i in range(12, 20)}) == 1 and len({got[i] for i in range(12)}) == 12
