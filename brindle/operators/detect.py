@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import literals as L
 from brindle.functions import patterns as P
 from brindle.functions import text as T
 from brindle.operators import spans as S
@@ -84,7 +85,7 @@ def email(text: str, folded: str) -> str:
             ]
         )
         parts.append(S.spans(where, p, "email", conf, cut=P.EMAIL_CUT[kind], **named))
-    return f"IF({text} RLIKE {S.pattern('@|at')} OR contains({folded}, '@'), {S.greedy(S.joined(parts))}, {S.NONE})"
+    return f"IF({S.any_of(S.low(text), ['@', 'at'])} OR contains({folded}, '@'), {S.greedy(S.joined(parts))}, {S.NONE})"
 
 
 def url(text: str) -> str:
@@ -116,53 +117,44 @@ def url(text: str) -> str:
         raw = "m.r"
         keep = f"{valid(raw)} OR {inside(raw, P.SHORTENERS)} OR {inside(raw, P.SOCIAL_DOMAINS)}" if kind == "no_protocol" else "true"
         parts.append(S.spans(text, p, "url", conf, keep, P.URL_CUT[kind], **named, r=no_scheme("m.v")))
-    return _guard(text, r"[.]|://|dot", parts)
+    return f"IF({S.any_of(text, ['.', '://'])} OR contains({S.low(text)}, 'dot'), {S.greedy(S.joined(parts))}, {S.NONE})"
 
 
 def social(text: str) -> str:
-    parts = []
     near = lambda n: f"lower({S.around(text, f'm.off - {n}', f'm.off + m.len + {n}')})"
-    for handles, mentions, indicators in P.PLATFORMS.values():
-        for base, group, cut in ((0.8, handles, 0.4), (0.7, mentions, 0.5)):
-            for p in group:
-                conf = " + ".join(
-                    [
-                        f"{base}D",
-                        _if("lower(m.v) RLIKE '[.](?:me|com|gg|org)/'", 0.15),
-                        _if("contains(m.v, '@')", 0.1),
-                        _if(S.any_of("m.w", indicators), 0.15),
-                        _if(S.any_of("m.w", P.OFF_PLATFORM), 0.1),
-                        _if("length(trim(BOTH '@' FROM m.v)) < 3" if group is handles else "false", -0.2),
-                    ]
-                )
-                parts.append(S.spans(text, p, "social", conf, cut=cut, w=near(40)))
+    names = lambda terms: f"array({', '.join(map(S.quoted, terms))})"
     all_indicators = [i for _, _, names in P.PLATFORMS.values() for i in names]
-    for p in P.GENERIC_DM:
-        conf = f"0.6D + {_if(S.any_of("m.w", all_indicators), 0.15)} + {_if(S.any_of("m.w", P.DM_OFF_PLATFORM), 0.1)}"
-        parts.append(S.spans(text, p, "social", conf, cut=0.5, w=near(50)))
+    rows = []  # (pattern, base, cut, letters around, link, sign, short, indicators, other terms)
+    for handles, mentions, indicators in P.PLATFORMS.values():
+        rows += [(p, "0.8D", "0.4D", 40, "0.15D", "0.1D", "-0.2D", names(indicators), names(P.OFF_PLATFORM)) for p in handles]
+        rows += [(p, "0.7D", "0.5D", 40, "0.15D", "0.1D", "0D", names(indicators), names(P.OFF_PLATFORM)) for p in mentions]
+    rows += [(p, "0.6D", "0.5D", 50, "0D", "0D", "0D", names(all_indicators), names(P.DM_OFF_PLATFORM)) for p in P.GENERIC_DM]
+    patterns, *fields = zip(*rows, strict=True)
+    table = S.table(list(patterns), **dict(zip(("base", "cut", "near", "link", "sign", "short", "known", "other"), fields, strict=True)))
+    tests = {"y.link": "lower(m.v) RLIKE '[.](?:me|com|gg|org)/'", "y.sign": "contains(m.v, '@')", "0.15D": S.any_in("m.w", "y.known"), "0.1D": S.any_in("m.w", "y.other"), "y.short": "length(trim(BOTH '@' FROM m.v)) < 3"}
+    conf = " + ".join(["y.base", *[f"IF({test}, {amount}, 0D)" for amount, test in tests.items()]])
+    listed = S.each(text, table, S.spans(text, None, "social", conf, cut="y.cut", w=near("y.near")))
     first = "CASE " + " ".join(f"WHEN {S.any_of("m.w", names)} THEN '{name}'" for name, (_, _, names) in P.PLATFORMS.items()) + " END"
     conf = f"0.65D + {_if(f'{first} IN ({chr(39)}instagram{chr(39)}, {chr(39)}telegram{chr(39)}, {chr(39)}tiktok{chr(39)})', 0.15)}"
-    parts.append(S.spans(text, P.AT_MENTION, "social", conf, f"{first} IS NOT NULL", w=near(50)))
-    return _guard(text, r"@|#\d{4}|\.(?:me|com|org|gg|am)/|\b(?:me|on|via|through|my|dms?)\b", parts)
+    mention = S.spans(text, P.AT_MENTION, "social", conf, f"{first} IS NOT NULL", w=near(50))
+    return S.greedy(S.joined([listed, mention]))
 
 
 def intent(text: str) -> str:
     window, near = f"lower({S.around(text, 'm.off - 50', 'm.off + m.len + 50')})", "m.w"
     boost = " + ".join(_if(f"m.c RLIKE {S.pattern(chr(92) + 'b(?:' + '|'.join(terms) + ')' + chr(92) + 'b')}", b) for b, terms in P.BOOSTERS.items())
     count = " + ".join(f"CAST(contains({near}, '{t}') AS int)" for t in P.CONTACT_TERMS)
-    parts = []
-    for base, group in P.INTENT.values():
-        for p in group:
-            conf = f"{0.5 + base}D + least(0.3D, {boost}) + {_if(f'{S.around(text, chr(109) + ".off - 20", "m.off")} RLIKE {S.pattern(P.NEGATION)}', -0.3)} + {_if(f'({count}) >= 2', 0.1)} + {_if(S.any_of(near, P.EVASION_TERMS), 0.15)}"
-            parts.append(S.spans(text, p, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
-    sentences = rf"split({text}, '(?U)[.!?]\\s+')"
-    hits = " + ".join(f"CAST(q RLIKE {S.pattern('|'.join(group))} AS int)" for _, group in P.INTENT.values())
-    names = ", ".join(f"IF(q RLIKE {S.pattern('|'.join(group))}, '{name}', '')" for name, (_, group) in P.INTENT.items())
+    patterns = [p for _, group in P.INTENT.values() for p in group]
+    table = S.table(patterns, base=[f"{0.5 + base}D" for base, group in P.INTENT.values() for _ in group])
+    conf = f"y.base + least(0.3D, {boost}) + {_if(f'{S.around(text, chr(109) + ".off - 20", "m.off")} RLIKE {S.pattern(P.NEGATION)}', -0.3)} + {_if(f'({count}) >= 2', 0.1)} + {_if(S.any_of(near, P.EVASION_TERMS), 0.15)}"
+    listed = S.each(text, table, S.spans(text, None, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
+    kinds = f"array({', '.join(f"named_struct('name', '{name}', 'test', {S.pattern('|'.join(group))})" for name, (_, group) in P.INTENT.items())})"
     compound = (
-        f"filter(aggregate({sentences}, named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, array(named_struct('off', s.p, 'len', length(q), 'type', 'intent', "
-        f"'conf', IF(({hits}) >= 2, least(0.95D, 0.6D + ({hits}) * 0.15D), 0D), 'v', concat('compound:', array_join(sort_array(filter(array({names}), n -> n <> '')), ',')))))), s -> s.o), m -> m.conf > 0)"
+        f"filter(aggregate(split({text}, '(?U)[.!?]\\\\s+'), named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, transform(array(filter({kinds}, y -> q RLIKE y.test).name), "
+        "k -> named_struct('off', s.p, 'len', length(q), 'type', 'intent', 'conf', IF(size(k) >= 2, least(0.95D, 0.6D + size(k) * 0.15D), 0D), 'v', concat('compound:', array_join(sort_array(k), ',')))))), s -> s.o), m -> m.conf > 0)"
     )
-    return f"IF({text} RLIKE {S.pattern('|'.join(p for _, group in P.INTENT.values() for p in group))}, {S.greedy(S.joined([*parts, compound]))}, {S.NONE})"
+    # No sentence matches two groups where the text matches no pattern.
+    return f"IF({S.some(text, table)}, {S.greedy(S.joined([listed, compound]))}, {S.NONE})"
 
 
 def obfuscation(text: str) -> str:
@@ -190,11 +182,12 @@ DETECTORS = {"phone": phone, "url": url, "social": social, "intent": intent, "ob
 
 def with_spans(messages: DataFrame, kind: str, content: str = "content") -> DataFrame:
     """Adds ``<kind>_spans`` found in one column."""
-    messages = spread(messages)
-    if kind == "email":
-        m = messages.withColumn("_d_folded", T.email_folded(F.col(content)))
-        return m.withColumn("email_spans", F.expr(email(content, "_d_folded"))).drop("_d_folded")
-    return messages.withColumn(f"{kind}_spans", F.expr(DETECTORS[kind](content)))
+    low = L.folded(F.col(content))
+    form = F.struct(F.col(content).alias("t"), T.email_folded(F.col(content)).alias("f") if kind == "email" else F.lit(None).cast("string").alias("f"), low.alias("l"), L.words_of(low).alias("w"))
+    m = spread(messages).withColumn("_d_form", F.array(form))
+    # The forms are the variable of a lambda, so they are made once for all patterns.
+    body = email("x.t", "x.f") if kind == "email" else DETECTORS[kind]("x.t")
+    return m.withColumn(f"{kind}_spans", F.expr(f"element_at(transform(_d_form, x -> {body}), 1)")).drop("_d_form")
 
 
 def _rejected(content: str) -> Column:
@@ -214,7 +207,9 @@ def stage1(messages: DataFrame, content: str = "content") -> DataFrame:
     m = m.withColumn("_d_clean", T.deobfuscate(F.col("_d_raw")))
     # One lambda over the forms of the text, so that every pattern is in the plan once.
     m = m.withColumns({"_d_raw_f": T.email_folded(F.col("_d_raw")), "_d_clean_f": T.email_folded(F.col("_d_clean"))})
-    raw, clean = "named_struct('t', _d_raw, 'f', _d_raw_f)", "named_struct('t', _d_clean, 'f', _d_clean_f)"
+    m = m.withColumns({"_d_low": L.folded(F.col("_d_raw")), "_d_clean_low": L.folded(F.col("_d_clean"))})
+    m = m.withColumns({"_d_words": L.words_of(F.col("_d_low")), "_d_clean_words": L.words_of(F.col("_d_clean_low"))})
+    raw, clean = "named_struct('t', _d_raw, 'f', _d_raw_f, 'l', _d_low, 'w', _d_words)", "named_struct('t', _d_clean, 'f', _d_clean_f, 'l', _d_clean_low, 'w', _d_clean_words)"
     m = m.withColumn("_d_forms", F.expr(f"IF(_d_clean <> _d_raw, array({raw}, {clean}), array({raw}))"))
     parts = S.joined([phone("x.t"), email("x.t", "x.f"), url("x.t"), social("x.t"), intent("x.t")])
     m = m.withColumns({"_d_all": F.expr(f"flatten(transform(_d_forms, x -> {parts}))"), "_d_obf": F.size(F.expr(obfuscation("_d_raw"))) > 0})
@@ -241,9 +236,17 @@ def _score1() -> Column:
     return F.when(F.size("_d_spans") == 0, 0.0).otherwise(F.least(best + more + F.when(F.col("_d_obf") & (n >= 1), 0.12).otherwise(0.0), F.lit(1.0)))
 
 
-def cluster_hits(text: Column) -> Column:
-    """How many of the four intent clusters a text shows."""
-    return sum((text.rlike(f"(?iuU)(?:{'|'.join(group)})").cast("int") for _, group in P.CLUSTERS.values()), F.lit(0))
+def cluster_hits(text: str) -> Column:
+    """How many of the four intent clusters a text shows; its folded form and words are in ``_d_low`` and ``_d_words``."""
+    return sum((F.coalesce(hit, F.lit(False)).cast("int") for hit in _cluster_tests(text).values()), F.lit(0))
+
+
+def _with_words(messages: DataFrame, content: str) -> DataFrame:
+    return messages.withColumn("_d_low", L.folded(F.col(content))).withColumn("_d_words", L.words_of(F.col("_d_low")))
+
+
+def _cluster_tests(content: str) -> dict[str, Column]:
+    return {k: F.expr(S.matches(content, group)) for k, (_, group) in P.CLUSTERS.items()}
 
 
 def context_hits(messages: DataFrame, thread: str = "thread_id", order: str = "turn", content: str = "content", last: int = 5) -> DataFrame:
@@ -251,14 +254,16 @@ def context_hits(messages: DataFrame, thread: str = "thread_id", order: str = "t
 
     Hits are counted per message first, so the window carries a number, not texts.
     """
-    m = messages.withColumn("_d_hits", F.coalesce(cluster_hits(F.col(content)), F.lit(0)))
+    m = _with_words(messages, content).withColumn("_d_hits", cluster_hits(content)).drop("_d_low", "_d_words")
     before = Window.partitionBy(thread).orderBy(order).rowsBetween(-last, -1)
     return m.withColumn("context_hits", F.coalesce(F.sum("_d_hits").over(before), F.lit(0)).cast("int")).drop("_d_hits")
 
 
 def stage2(messages: DataFrame, content: str = "content", ner: Column | None = None) -> DataFrame:
     """Adds stage2_score and stage2_labels to rows with ``context_hits``; ``ner`` is an optional score of entities."""
-    hit = {k: F.coalesce(F.col(content).rlike(f"(?iuU)(?:{'|'.join(group)})"), F.lit(False)) for k, (_, group) in P.CLUSTERS.items()}
+    m = _with_words(messages, content)
+    m = m.withColumn("_d_hit", F.struct(*[F.coalesce(test, F.lit(False)).alias(k) for k, test in _cluster_tests(content).items()]))
+    hit = {k: F.col(f"_d_hit.{k}") for k in P.CLUSTERS}
     n = sum((h.cast("int") for h in hit.values()), F.lit(0))
     base = F.greatest(*[F.when(h, F.lit(P.CLUSTERS[k][0])).otherwise(0.0) for k, h in hit.items()])
     base = F.when(n > 1, F.least(base + 0.10, F.lit(1.0))).otherwise(base)
@@ -268,7 +273,7 @@ def stage2(messages: DataFrame, content: str = "content", ner: Column | None = N
     labels = [F.when(n > 0, F.lit("nlp_intent")), F.when(n > 1, F.lit("multi_intent_signals")), F.when(context > 0.3, F.lit("context_escalation"))]
     evidence = F.expr(f"concat({', '.join(_cluster_spans(content, *c) for c in P.CLUSTERS.values())})")
     found = {"stage2_score": F.round(score, 3), "stage2_labels": F.array_compact(F.array(*labels)), "stage2_evidence": F.coalesce(evidence, F.expr(NO_EVIDENCE))}
-    return messages.withColumns(found)
+    return m.withColumns(found).drop("_d_low", "_d_words", "_d_hit")
 
 
 EVIDENCE = "struct<offset:int,length:int,type:string,confidence:double>"
@@ -278,7 +283,7 @@ NO_EVIDENCE = f"CAST(array() AS array<{EVIDENCE}>)"
 def _cluster_spans(text: str, weight: float, group: list[str]) -> str:
     """All matches of a cluster's first pattern that matches."""
     each = lambda p: f"transform({S.found(text, p)}, m -> named_struct('offset', m.off, 'length', m.len, 'type', '{P.TYPE_LABELS['intent']}', 'confidence', {weight}D))"
-    return "CASE " + " ".join(f"WHEN {text} RLIKE {S.pattern(p)} THEN {each(p)}" for p in group) + f" ELSE {NO_EVIDENCE} END"
+    return "CASE " + " ".join(f"WHEN {S.matches(text, [p])} THEN {each(p)}" for p in group) + f" ELSE {NO_EVIDENCE} END"
 
 
 def stage3_evidence(content: str = "content", n_thread: str = "n_thread") -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.literals import needed
+
 SPAN = "struct<off:int,len:int,type:string,conf:double,v:string>"
 NONE = f"CAST(array() AS array<{SPAN}>)"
 
@@ -28,34 +30,98 @@ def any_of(text: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(t)})" for t in terms) + ")"
 
 
+def low(text: str) -> str:
+    """The name of the folded form of a text, which stands beside it."""
+    return f"{text[:-1]}l" if text.endswith((".t", ".f")) else "_d_low"
+
+
+def words(text: str) -> str:
+    """The name of the words of a text."""
+    return f"{text[:-1]}w" if text.endswith((".t", ".f")) else "_d_words"
+
+
+def _kind(part: tuple[str, ...]) -> int:
+    """Where literals are looked for: 0 the text itself (signs), 1 its folded form, 2 its words."""
+    return 2 if all(x.startswith(" ") and x.endswith(" ") for x in part) else 1 if any(c.isalpha() or c == " " for x in part for c in x) else 0
+
+
+def may(text: str, p: str) -> str:
+    """Does the text hold the literals that a match needs? Signs are looked for in the text itself, letters in its folded form."""
+    tests = [any_of((text, low(text), words(text))[_kind(part)], list(part)) for part in needed(p)]
+    return " AND ".join(tests) if tests else "true"
+
+
+def matches(text: str, patterns: list[str]) -> str:
+    """Does the text match one of the patterns? Only those are searched for whose literals it holds."""
+    return "(" + " OR ".join(f"({may(text, p)} AND {text} RLIKE {pattern(p)})" for p in patterns) + ")"
+
+
 def around(text: str, start: str, end: str) -> str:
     """The part of the text from start to end, cut at its borders."""
     return f"substring({text}, greatest({start}, 0) + 1, {end} - greatest({start}, 0))"
 
 
-def found(text: str, p: str) -> str:
-    """array<struct<off, len, v>> of all matches of a pattern without capturing groups; most texts end at the first test."""
-    both = quoted(rf"\G((?s:.*?))((?iuU)(?:{p}))")  # \G: a failed search must not start again at every character
+def with_gaps(p: str) -> str:
+    """Gap and match as two groups. \\G: a failed search must not start again at every character."""
+    return quoted(rf"\G((?s:.*?))((?iuU)(?:{p}))")
+
+
+def table(patterns: list[str], **fields: list) -> str:
+    """Patterns as data: an array with the literals, the test and the search of each, and further fields given as SQL."""
+    part = lambda lits: f"named_struct('kind', {_kind(lits)}, 'lits', array({', '.join(map(quoted, lits))}))"
+    none = "CAST(array() AS array<struct<kind:int,lits:array<string>>>)"
+    need = lambda p: f"array({', '.join(map(part, needed(p)))})" if needed(p) else none
+    rows = [f"named_struct('need', {need(p)}, 'test', {pattern(p)}, 'both', {with_gaps(p)}{''.join(f', {quoted(k)}, {v[i]}' for k, v in fields.items())})" for i, p in enumerate(patterns)]
+    return f"array({', '.join(rows)})"
+
+
+def each(text: str, rows: str, body: str) -> str:
+    """The arrays that ``body`` makes of the rows (``y``) of a ``table`` whose literals the text holds, one behind the other."""
+    return f"flatten(transform(filter({rows}, y -> {holds(text)}), y -> {body}))"
+
+
+def holds(text: str) -> str:
+    """Does the text hold the literals of row ``y``?"""
+    return f"forall(y.need, z -> exists(z.lits, l -> contains(CASE z.kind WHEN 0 THEN {text} WHEN 1 THEN {low(text)} ELSE {words(text)} END, l)))"
+
+
+def some(text: str, rows: str) -> str:
+    """Does the text match a row of a ``table``?"""
+    return f"exists({rows}, y -> {holds(text)} AND {text} RLIKE y.test)"
+
+
+def any_in(text: str, terms: str) -> str:
+    """Does the text hold one of an array of terms?"""
+    return f"exists({terms}, l -> contains({text}, l))"
+
+
+def found(text: str, p: str | None, literals: bool = False) -> str:
+    """array<struct<off, len, v>> of all matches of a pattern (None: of row ``y``) without capturing groups; most texts end at the first test.
+
+    ``literals``: the text's folded form and words stand beside it and are looked at first.
+    """
+    first = f"{may(text, p)} AND " if literals and p else ""
+    test, both = (f"{text} RLIKE y.test", "y.both") if p is None else (f"{first}{text} RLIKE {pattern(p)}", with_gaps(p))
     return (
-        f"IF({text} RLIKE {pattern(p)}, aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
+        f"IF({test}, aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
         "named_struct('p', 0, 'o', CAST(array() AS array<struct<off:int,len:int,v:string>>)), "
         "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o), "
         "CAST(array() AS array<struct<off:int,len:int,v:string>>))"
     )
 
 
-def spans(text: str, p: str, kind: str, confidence: str, keep: str = "true", cut: float | None = None, **named: str) -> str:
+def spans(text: str, p: str | None, kind: str, confidence: str, keep: str = "true", cut: float | str | None = None, **named: str) -> str:
     """array<SPAN>: matches (``m``) for which ``keep`` holds, with a confidence clamped to 0..1 and above ``cut``.
 
     ``named`` expressions become fields of ``m`` one after the other, so each is written and computed once.
     """
     at_most = f"least(greatest({confidence}, 0.0D), 1.0D)"
-    out, fields = found(text, p), ["off", "len", "v"]
+    out, fields = found(text, p, literals=True), ["off", "len", "v"]
     for name, value in named.items():
         out = f"transform({out}, m -> named_struct({', '.join(f'{chr(39)}{x}{chr(39)}, m.{x}' for x in fields)}, '{name}', {value}))"
         fields.append(name)
     out = f"transform(filter({out}, m -> {keep}), m -> named_struct('off', m.off, 'len', m.len, 'type', '{kind}', 'conf', {at_most}, 'v', m.v))"
-    return out if cut is None else f"filter({out}, m -> m.conf > {cut}D)"
+    return out if cut is None else f"filter({out}, m -> m.conf > {cut if isinstance(cut, str) else f'{cut}D'})"
 
 
 def joined(parts: list[str]) -> str:
