@@ -7,11 +7,14 @@ each event also goes, as context only, to the next period: no task holds a user'
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MICROS_A_DAY = 86_400_000_000
+#: Most intervals of versions, by day, that are broadcast; parts of a day beyond that.
+FEW_VERSIONS, SALTS = 20_000, 16
 # Actions by severity, and what follows from bands, strikes and actions.
 SEVERITY = ["allow", "nudge", "warning", "soft_block", "cooldown", "hard_block", "restriction", "suspension_candidate"]
 BASE_ACTION = {"low": "allow", "medium": "nudge", "high": "soft_block", "critical": "hard_block"}
@@ -136,13 +139,14 @@ def user_message(action: Column, labels: Column, strikes: Column) -> Column:
     return F.replace(F.replace(text, F.lit("{labels}"), named), F.lit("{strikes}"), strikes.cast("string"))
 
 
-def enforce(detections: DataFrame, thresholds: Thresholds = Thresholds(), window_days: int = 30) -> DataFrame:
+def enforce(detections: DataFrame, thresholds: Thresholds | None = Thresholds(), window_days: int = 30) -> DataFrame:
     """Adds risk_band, base_action, strike_count, action, duration_hours, scope and user_message.
 
     High and critical detections are strikes; whoever has active strikes gets the more severe
-    of the band's action and the strikes' action, even for a low-risk message.
+    of the band's action and the strikes' action, even for a low-risk message. Without thresholds
+    the ``risk_band`` that is there holds.
     """
-    d = detections.withColumn("risk_band", risk_band(F.col("risk_score"), thresholds))
+    d = detections if thresholds is None else detections.withColumn("risk_band", risk_band(F.col("risk_score"), thresholds))
     d = with_active_strikes(d, F.col("risk_band").isin("high", "critical"), window_days).withColumnRenamed("active_strikes", "strike_count")
     d = d.withColumn("base_action", mapping(F.col("risk_band"), BASE_ACTION))
     n = F.col("strike_count")
@@ -193,8 +197,9 @@ def deactivate(strikes: DataFrame, controls: DataFrame) -> DataFrame:
 def config_as_of(events: DataFrame, config: DataFrame, ts: str = "created_at", days: int = 1) -> DataFrame:
     """As-of join: each event with the config value that was last activated at its time.
 
-    Config rows are few versions; they become validity intervals and are joined on the days
-    they touch, so neither side meets in one task and nothing unbounded is broadcast.
+    Config rows become validity intervals that are joined on the days they touch. Up to ``FEW_VERSIONS`` intervals
+    and days (they are counted) are broadcast, so events are not moved; more are repeated for each of ``SALTS`` parts
+    of a day, so that the events of one day are many tasks.
     """
     ends = F.lead("activated_at").over(Window.partitionBy("config_key").orderBy("activated_at", "version"))
     spans = config.select("config_key", "config_value", "version", "activated_at", ends.alias("_c_end")).filter("_c_end is null or _c_end > activated_at")
@@ -204,4 +209,38 @@ def config_as_of(events: DataFrame, config: DataFrame, ts: str = "created_at", d
     spans = spans.withColumn("_c_day", F.explode(F.sequence(day(F.greatest("activated_at", "lo")), day(F.least(F.coalesce("_c_end", "hi"), "hi")))))
     e = events.withColumn("_c_day", day(F.col(ts)))
     inside = (F.col(ts) >= F.col("activated_at")) & (F.col("_c_end").isNull() | (F.col(ts) < F.col("_c_end")))
-    return e.join(spans.drop("lo", "hi"), "_c_day").filter(inside).drop("_c_day", "_c_end")
+    spans = spans.drop("lo", "hi")
+    if spans.limit(FEW_VERSIONS + 1).count() <= FEW_VERSIONS:
+        return e.join(F.broadcast(spans), "_c_day").filter(inside).drop("_c_day", "_c_end")
+    spans = spans.withColumn("_c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    e = e.withColumn("_c_salt", F.pmod(F.xxhash64(*events.columns), F.lit(SALTS)).cast("int"))
+    return e.join(spans, ["_c_day", "_c_salt"]).filter(inside).drop("_c_day", "_c_salt", "_c_end")
+
+
+def thresholds_table(spark: SparkSession, versions: list[tuple[str, Thresholds]]) -> DataFrame:
+    """Versions of thresholds by the time from which they hold; each was checked when it was made."""
+    rows = [(i, at, t.allow_max, t.nudge_max, t.soft_block_max) for i, (at, t) in enumerate(versions, 1)]
+    return spark.createDataFrame(rows, "version int, activated_at string, allow_max double, nudge_max double, soft_block_max double").withColumn("activated_at", F.col("activated_at").cast("timestamp"))
+
+
+def with_thresholds(events: DataFrame, versions: DataFrame, ts: str = "created_at") -> DataFrame:
+    """Events with the edges in force at their time (``t_version``, ``t_allow``, ``t_nudge``, ``t_soft``); before the first version the defaults hold, as version 0.
+
+    Of versions that begin at one time the last holds. Versions that are no rising edges within 0 and 1 were refused and hold never.
+    """
+    t = Thresholds()
+    fine = versions.filter("0 <= allow_max and allow_max < nudge_max and nudge_max < soft_block_max and soft_block_max <= 1")
+    first = events.sparkSession.createDataFrame([(0, t.allow_max, t.nudge_max, t.soft_block_max)], "version int, allow_max double, nudge_max double, soft_block_max double")
+    first = first.withColumn("activated_at", F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    edges = fine.select("version", "activated_at", "allow_max", "nudge_max", "soft_block_max").unionByName(first.select("version", "activated_at", "allow_max", "nudge_max", "soft_block_max"))
+    value = F.struct(F.col("allow_max").alias("t_allow"), F.col("nudge_max").alias("t_nudge"), F.col("soft_block_max").alias("t_soft"))
+    config = edges.select(F.lit("thresholds").alias("config_key"), value.alias("config_value"), "version", "activated_at")
+    out = config_as_of(events, config, ts)
+    return out.withColumn("t_version", F.col("version")).select(*events.columns, "t_version", "config_value.*")
+
+
+def enforce_as_of(detections: DataFrame, versions: DataFrame, window_days: int = 30) -> DataFrame:
+    """``enforce`` with the thresholds in force at each detection's time, and their version."""
+    d = with_thresholds(detections, versions)
+    band = risk_band(F.col("risk_score"), SimpleNamespace(allow_max=F.col("t_allow"), nudge_max=F.col("t_nudge"), soft_block_max=F.col("t_soft")))
+    return enforce(d.withColumn("risk_band", band), None, window_days).drop("t_allow", "t_nudge", "t_soft")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +68,7 @@ def least_loaded(moderators: DataFrame, load: DataFrame, capacity: int = CAPACIT
 def assignments(events: DataFrame) -> DataFrame:
     """(moderator, case_id) now assigned, from (seq, kind, moderator, case_id): assign, unassign, and resolve, which frees a case from all.
 
-    The last event of a pair decides, unless the case was resolved after it. A moderator's capacity is not looked at: see ``least_loaded``.
+    The last event of a pair decides, unless the case was resolved after it. A moderator's capacity is not looked at: see ``admissions``.
     """
     pair = events.filter("kind in ('assign', 'unassign')").groupBy("moderator", "case_id").agg(F.max(F.struct("seq", "kind")).alias("last"))
     done = events.filter("kind = 'resolve'").groupBy("case_id").agg(F.max("seq").alias("done"))
@@ -73,6 +76,38 @@ def assignments(events: DataFrame) -> DataFrame:
     return out.select("moderator", "case_id")
 
 
+def admissions(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Assignments in order under a cap: (seq, kind, moderator, case_id, admitted, load) of every request and of what frees places.
+
+    A moderator who holds ``capacity`` cases is refused the next (``admitted`` is false; null for what is no request); unassign and
+    resolve free the place. A resolve concerns whoever ever asked for its case, so it is sent to those moderators by a join on the
+    case. What is left is ordered per moderator by nature: events are dealt by moderator, sorted by seq (Spark
+    spills), and folded as a stream whose memory is the at most ``capacity`` cases held; many moderators are many tasks.
+    """
+    own = events.filter("kind in ('assign', 'unassign')").select("seq", "kind", "moderator", "case_id")
+    asked = own.filter("kind = 'assign'").select("moderator", "case_id").distinct()
+    done = events.filter("kind = 'resolve'").select("seq", "kind", "case_id").join(asked, "case_id").select("seq", "kind", "moderator", "case_id")
+    line = own.unionByName(done).filter("moderator is not null").repartition("moderator").sortWithinPartitions("moderator", "seq", "kind")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, held = None, set()
+        for rows in batches:
+            admitted, load = [], []
+            for kind, moderator, case in zip(rows["kind"], rows["moderator"], rows["case_id"], strict=True):
+                if moderator != who:
+                    who, held = moderator, set()
+                fits = len(held) < capacity if kind == "assign" else None
+                if fits:
+                    held.add(case)
+                elif kind != "assign":
+                    held.discard(case)
+                admitted.append(fits)
+                load.append(len(held))
+            yield rows.assign(admitted=pd.array(admitted, "boolean"), load=load)
+
+    return line.mapInPandas(fold, ", ".join(f"{c} {t}" for c, t in line.dtypes) + ", admitted boolean, load int")
+
+
 def illegal_transitions(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Changes (from_status, to_status, ...) that the state machine refuses."""
     return changes.join(F.broadcast(pairs), ["from_status", "to_status"], "left_anti")  # 8 pairs
@@ -150,6 +185,7 @@ def apply_case_updates(updates: DataFrame) -> DataFrame:
 
 
 def latest_config(config: DataFrame) -> DataFrame:
-    """The newest version of every key."""
-    newest = Window.partitionBy("config_key").orderBy(F.col("version").desc())
-    return config.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    """The newest version of every key, by a grouping that keeps one row per key from the first pass on."""
+    rest = [c for c in config.columns if c != "config_key"]
+    newest = config.groupBy("config_key").agg(F.max_by(F.struct(*rest), "version").alias("_n"))
+    return newest.select("config_key", "_n.*").select(config.columns)

@@ -230,6 +230,31 @@ def config_asof(spark, sf_dir):
     return d.groupBy("version").agg(F.count(F.lit(1)).alias("detections"), F.count_if(F.col("risk_score") > F.col("config_value").cast("double")).alias("above"))
 
 
+_VERSIONS_SQL = """ver as (select row_number() over (order by min(ts), event_type) as version, min(ts) + interval 8 day as activated_at, round(0.30::double + 0.02::double * length(event_type) / 2, 6) as allow_max,
+  round(0.55::double + 0.01::double * length(event_type), 6) as nudge_max, round(0.75::double + 0.01::double * length(event_type), 6) as soft_block_max from events group by event_type)"""
+
+
+def _versions(spark, sf_dir):
+    """An update of the thresholds eight days after each event type was first seen."""
+    first = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").cast("timestamp").alias("first"))
+    n = F.length("event_type")
+    return first.select(
+        F.row_number().over(Window.orderBy("first", "event_type")).alias("version"), (F.col("first") + F.make_dt_interval(F.lit(8))).alias("activated_at"),
+        F.round(F.lit(0.30) + F.lit(0.02) * n / 2, 6).alias("allow_max"), F.round(F.lit(0.55) + F.lit(0.01) * n, 6).alias("nudge_max"), F.round(F.lit(0.75) + F.lit(0.01) * n, 6).alias("soft_block_max"),
+    )  # fmt: skip  one row per event type
+
+
+_BANDS_AS_OF = """o as (select d.*, coalesce(version, 0) as t_version, coalesce(allow_max, 0.39) as a, coalesce(nudge_max, 0.64) as m, coalesce(soft_block_max, 0.84) as x from d asof left join ver on d.created_at >= ver.activated_at),
+ b as (select *, case when risk_score <= a then 'low' when risk_score <= m then 'medium' when risk_score <= x then 'high' else 'critical' end as risk_band from o)"""
+
+
+@register("enforcement_asof", f"with {_VERSIONS_SQL}, {ENFORCED.replace(BANDS, _BANDS_AS_OF)} select detection_id, cast(t_version as integer) as t_version, risk_band, strike_count, action from f")
+def enforcement_asof(spark, sf_dir):
+    """Thresholds that change while events arrive: each is judged by the version in force."""
+    d = policy.enforce_as_of(views.detections(spark, sf_dir), _versions(spark, sf_dir), DAYS)
+    return d.select("detection_id", "t_version", "risk_band", "strike_count", "action")
+
+
 # ---- behaviour --------------------------------------------------------------------
 
 _THREADS_SQL = """w as (select *, sum(new) over (partition by user_id order by created_at, detection_id rows unbounded preceding) as thread_count
@@ -355,9 +380,28 @@ def case_updates(spark, sf_dir):
  select moderator, count(*) as cases from p left join done using (case_id) where kind = 'assign' and (done is null or done < last) group by moderator""",
 )
 def case_assignments(spark, sf_dir):
+    return review.assignments(_assignment_events(spark, sf_dir)).groupBy("moderator").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def _assignment_events(spark, sf_dir):
     kinds = F.element_at(F.array(*map(F.lit, ["assign", "unassign", "assign", "resolve"])), (F.col("k") % 4 + 1).cast("int"))
-    e = views.detections(spark, sf_dir).filter("k is not null").select(F.col("detection_id").alias("seq"), kinds.alias("kind"), (F.col("k") % 11).alias("moderator"), F.col("user_id").alias("case_id"))
-    return review.assignments(e).groupBy("moderator").agg(F.count(F.lit(1)).alias("cases"))
+    return views.detections(spark, sf_dir).filter("k is not null").select(F.col("detection_id").alias("seq"), kinds.alias("kind"), (F.col("k") % 11).alias("moderator"), F.col("user_id").alias("case_id"))
+
+
+@register(
+    "case_admissions",
+    f"""with recursive {DETECTIONS}, e as (select detection_id as seq, ['assign', 'unassign', 'assign', 'resolve'][k % 4 + 1] as kind, k % 11 as moderator, user_id as case_id from d where k is not null),
+ asked as (select distinct moderator, case_id from e where kind = 'assign'),
+ l as (select *, row_number() over (partition by moderator order by seq, kind) as n from (select * from e where kind in ('assign', 'unassign') union all select e.seq, e.kind, a.moderator, e.case_id from e join asked a using (case_id) where kind = 'resolve')),
+ f(moderator, n, seq, kind, case_id, admitted, held) as (select distinct moderator, 0::bigint, null::bigint, null::varchar, null::bigint, null::boolean, []::bigint[] from l
+  union all select l.moderator, l.n, l.seq, l.kind, l.case_id, case when l.kind = 'assign' then len(held) < {review.CAPACITY} end,
+   case when l.kind <> 'assign' then list_filter(held, lambda x: x <> l.case_id) when len(held) < {review.CAPACITY} and not list_contains(held, l.case_id) then list_append(held, l.case_id) else held end
+   from f join l on l.moderator = f.moderator and l.n = f.n + 1)
+ select seq, kind, moderator, case_id, admitted, cast(len(held) as integer) as load from f where n > 0""",
+)
+def case_admissions(spark, sf_dir):
+    """Requests for cases under the cap: who is refused, and how full each moderator is."""
+    return review.admissions(_assignment_events(spark, sf_dir))
 
 
 _LABELS_SQL = " union all ".join(f"select '{gate.LABELS[k]}' as label, count(*) as count from m where n_{k} > 0" for k in gate.KINDS)
@@ -541,10 +585,12 @@ def escalation_rate(spark, sf_dir):
     return metrics.escalation_rate(policy.enforce(views.detections(spark, sf_dir), window_days=DAYS))
 
 
-@register("latest_config", "select 'allow_max' as config_key, '0.45' as config_value, 3 as version")
+@register("latest_config", "select event_type || ':' || (user_id % 10) as config_key, arg_max(cast(value as varchar), event_id) as config_value, max(event_id) as version from events group by 1")
 def latest_config(spark, sf_dir):
-    rows = [("allow_max", "0.39", 1), ("allow_max", "0.35", 2), ("allow_max", "0.45", 3)]
-    return review.latest_config(spark.createDataFrame(rows, "config_key string, config_value string, version int"))
+    """Events as changes of settings: one key per event type and tenth of the users, the value as text."""
+    e = table(spark, sf_dir, "events")
+    key = F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string"))
+    return review.latest_config(e.select(key.alias("config_key"), F.col("value").cast("string").alias("config_value"), F.col("event_id").alias("version")))
 
 
 @register(
