@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import literals as L
 from brindle.functions import patterns as P
 from brindle.functions import text as T
+from brindle.operators import behavior
 from brindle.operators import spans as S
 from brindle.session import spread
 
@@ -308,6 +309,24 @@ def combine(scores: dict[int, Column], stages: tuple[int, ...] = (1, 2, 3)) -> C
     return F.round(F.least(F.when(most >= 0.85, F.greatest(mean, most * 0.8)).otherwise(mean), F.lit(1.0)), 3)
 
 
+BATCH_LIMIT = 50
+
+
+def analyze_batches(requests: DataFrame, limit: int = BATCH_LIMIT, failed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, refused): requests (batch_id, position, message_id, thread_id, user_id, content, created_at, kind) of one call each.
+
+    A batch of more than ``limit`` messages is refused as a whole: (batch_id, n, reason). All others are analysed in all three stages, in order
+    of (created_at, batch_id, position): a message sees what its user did in earlier calls and in earlier items of its own. A failed
+    row is a result too (see ``detect``). Sizes of batches are summed before they meet their rows.
+    """
+    sizes = requests.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    refused = sizes.filter(F.col("n") > limit).withColumn("reason", F.lit("batch_too_large"))
+    taken = requests.join(sizes.filter(F.col("n") <= limit).select(F.col("batch_id").alias("_q_batch")), F.col("batch_id") == F.col("_q_batch"), "left_semi")
+    order = F.struct("batch_id", "position")
+    scored = behavior.stage3_as_documented(taken.withColumn("_q_order", order), "created_at", "_q_order")
+    return detect(scored, (1, 2, 3), "thread_id", "_q_order", failed).drop("_q_order"), refused
+
+
 def highest_stage(scores: dict[int, Column]) -> Column:
     """The last stage that scored, else 1."""
     return F.greatest(F.lit(1), F.lit(1), *[F.when(c > 0, F.lit(s)).otherwise(1) for s, c in scores.items()])

@@ -239,8 +239,13 @@ def with_thresholds(events: DataFrame, versions: DataFrame, ts: str = "created_a
     return out.withColumn("t_version", F.col("version")).select(*events.columns, "t_version", "config_value.*")
 
 
-def enforce_as_of(detections: DataFrame, versions: DataFrame, window_days: int = 30) -> DataFrame:
-    """``enforce`` with the thresholds in force at each detection's time, and their version."""
+def band_as_of(detections: DataFrame, versions: DataFrame) -> DataFrame:
+    """Adds the ``risk_band`` of the thresholds in force at each detection's time, and their version ``t_version``."""
     d = with_thresholds(detections, versions)
     band = risk_band(F.col("risk_score"), SimpleNamespace(allow_max=F.col("t_allow"), nudge_max=F.col("t_nudge"), soft_block_max=F.col("t_soft")))
-    return enforce(d.withColumn("risk_band", band), None, window_days).drop("t_allow", "t_nudge", "t_soft")
+    return d.withColumn("risk_band", band).drop("t_allow", "t_nudge", "t_soft")
+
+
+def enforce_as_of(detections: DataFrame, versions: DataFrame, window_days: int = 30) -> DataFrame:
+    """``enforce`` with the thresholds in force at each detection's time, and their version."""
+    return enforce(band_as_of(detections, versions), None, window_days)

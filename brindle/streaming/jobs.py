@@ -59,13 +59,14 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
 def strike_stream(events: DataFrame, window_days: int = 30, late: str = "1 hour") -> DataFrame:
     """Strikes of high and critical detections, numbered within the rolling window of their user.
 
-    ``events``: user_id, detection_id, created_at, risk_score, and optionally ``control``
+    ``events``: user_id, detection_id, created_at, risk_score or a ``risk_band`` that is known already, and optionally ``control``
     (null, ``deactivate`` with the strike's detection_id, or ``clear``). Rows of a batch are taken in order of
     time and id; strikes that ended are dropped when the user is next seen or at timeout.
     """
     span = window_days * policy.MICROS_A_DAY
     e = events if "control" in events.columns else events.withColumn("control", F.lit(None).cast("string"))
-    e = e.withColumn("band", policy.risk_band(F.col("risk_score"))).filter("control is not null or band in ('high', 'critical')")
+    band = F.col("risk_band") if "risk_band" in events.columns else policy.risk_band(F.col("risk_score"))
+    e = e.withColumn("band", band).filter("control is not null or band in ('high', 'critical')")
     e = e.withWatermark("created_at", late).select("user_id", "detection_id", "created_at", "control")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
