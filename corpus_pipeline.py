@@ -15,18 +15,32 @@ from brindle.llm import language, mixing, near_dedup, quality, sentencepiece
 from brindle.session import remove_path, shared_path, table
 
 
+#: Rows of an Arrow batch where the session has Spark's own default: whole texts are long, and such batches are held by JVM and worker.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit for Arrow batches unless somebody has chosen another than the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, or with half of their letters in no one learned language, go."""
+    _small_batches(spark)
     return language.keep_known(docs, language.fit(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go, and documents that fail the base rules or lose half of their text."""
+    _small_batches(spark)
     return quality.clean_documents(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    _small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
