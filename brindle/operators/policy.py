@@ -171,6 +171,12 @@ def strikes_from(enforced: DataFrame, window_days: int = 30) -> DataFrame:
     )
 
 
+def with_cases(strikes: DataFrame, cases: DataFrame) -> DataFrame:
+    """Strikes with the ``case_id`` that was opened for their detection, null where none was."""
+    opened = cases.filter("detection_id is not null").groupBy(F.col("detection_id").alias("_k_detection")).agg(F.min("case_id").alias("case_id"))
+    return strikes.join(opened, F.col("detection_id") == F.col("_k_detection"), "left").drop("_k_detection")
+
+
 def active(strikes: DataFrame, now: Column) -> DataFrame:
     return strikes.filter(F.col("is_active") & (F.col("window_end") > now))
 

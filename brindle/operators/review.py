@@ -125,6 +125,12 @@ def case_detail(cases: DataFrame, actions: DataFrame, detections: DataFrame | No
     return out
 
 
+def case_actions(actions: DataFrame, cases: DataFrame) -> DataFrame:
+    """The actions of the given cases, numbered within each in order of time, number and actor; many cases at once are one semi-join."""
+    found = actions.join(cases.select(F.col("case_id").alias("_a_case")).distinct(), F.col("case_id") == F.col("_a_case"), "left_semi")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy("created_at", "action_no", "actor_id")))
+
+
 def with_approval(actions: DataFrame) -> DataFrame:
     """What the audit log adds where it has not been recorded yet: permanent actions need a human."""
     return actions.withColumn("requires_human", F.col("is_permanent"))

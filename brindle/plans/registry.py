@@ -422,6 +422,32 @@ def case_detail(spark, sf_dir):
     return d.select("case_id", "status", F.size("actions").alias("n_actions"), F.size(F.filter("actions", lambda a: a["is_permanent"])).alias("n_permanent"))
 
 
+@register(
+    "case_detail_full",
+    f"""with {CASES}, {ACTIONS}, {ENFORCED}, na as (select case_id, count(*) as n_actions from a group by case_id), st as (select detection_id, count(*) as n_strikes, max(strike_count) as strike_number from f where is_strike group by 1)
+ select c.case_id, cast(coalesce(n_actions, 0) as integer) as n_actions, f.risk_score, f.thread_id, cast(coalesce(n_strikes, 0) as integer) as n_strikes, st.strike_number
+ from c left join na using (case_id) left join f on f.detection_id = c.case_id left join st on st.detection_id = c.case_id""",
+)
+def case_detail_full(spark, sf_dir):
+    """Cases with their actions, the detection they were opened for (that of their number) and its strikes."""
+    cases = views.cases(spark, sf_dir).withColumn("detection_id", F.col("case_id"))
+    found = views.detections(spark, sf_dir)
+    strikes = policy.with_cases(policy.strikes_from(policy.enforce(found, window_days=DAYS), DAYS), cases).filter("case_id is not null")
+    d = review.case_detail(cases, views.actions(spark, sf_dir), found.select("detection_id", "risk_score", "thread_id"), strikes.select("case_id", "id", "strike_number", "action_taken"))
+    strikes = F.coalesce(F.transform("strikes", lambda s: s["strike_number"]), F.array().cast("array<int>"))
+    return d.select("case_id", F.size("actions").alias("n_actions"), "detection.risk_score", "detection.thread_id", F.size(strikes).alias("n_strikes"), F.array_max(strikes).alias("strike_number"))
+
+
+@register(
+    "case_actions",
+    f"""with {CASES}, {ACTIONS} select case_id, action_no, actor_id, cast(row_number() over (partition by case_id order by created_at, action_no, actor_id) as integer) as nth
+ from a where case_id in (select case_id from c where status = 'in_review')""",
+)
+def case_actions(spark, sf_dir):
+    found = review.case_actions(views.actions(spark, sf_dir), views.cases(spark, sf_dir).filter("status = 'in_review'"))
+    return found.select("case_id", "action_no", "actor_id", "nth")
+
+
 _STATUS = ["open", "in_review", "resolved", "appealed", "overturned"]
 
 
