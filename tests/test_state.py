@@ -167,3 +167,15 @@ def test_batches_in_order_and_beyond_the_limit(spark):
     got = {r.message_id: (r.n_thread, r.stage3_score, r.labels) for r in results.collect()}
     assert len(got) == 7 and [got[f"1-{i}"][0] for i in range(5)] == [0, 1, 2, 3, 4] and got["3-0"][0] == 5 and got["3-1"][:2] == (0, 0.0)
     assert "burst_attempts" in got["1-2"][2] and "persistent_contact_attempts" in got["1-4"][2] and "persistent_contact_attempts" in got["3-0"][2]
+
+
+def test_late_rows_and_sliding_windows(spark, tmp_path):
+    """Rows behind the watermark are dropped, rows within it counted; a row is in every window that slides over it."""
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    at = lambda *times: spark.createDataFrame([(t, "x") for t in times], "at string, event_type string").select(F.col("at").cast("timestamp").alias("ts"), "event_type")
+    for part in (at("2024-01-01 00:10:00"), at("2024-01-01 01:55:00"), at("2024-01-01 00:20:00", "2024-01-01 01:50:00"), at("2024-01-01 06:00:00"), at("2024-01-01 06:01:00")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.windowed_counts(spark.readStream.schema(part.schema).parquet(source), "1 hour", "30 minutes", "10 minutes")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r.start.strftime("%d %H:%M"): r.events for r in spark.read.parquet(out).collect()}
+    assert got == {"31 23:30": 1, "01 00:00": 1, "01 01:00": 2, "01 01:30": 2}
