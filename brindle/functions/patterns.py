@@ -55,12 +55,11 @@ def _twice_escaped(domains: list[str]) -> str:
     return "|".join(d.replace(".", r"\\\.") for d in domains)
 
 
-_TAIL = r"[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]"
 URL = {
-    "full": rf"\b(?:https?|ftp)://(?:{_TAIL}+)",
+    "full": r"\b(?:https?|ftp)://(?:[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+)",
     "shortener": rf"\b(?:https?://)?(?:www\.)?(?:{_twice_escaped(SHORTENERS)})(?:/[a-zA-Z0-9\-_]+)?",
-    "social": rf"\b(?:https?://)?(?:www\.)?(?:{_twice_escaped(SOCIAL_DOMAINS)})(?:/{_TAIL}*)?",
-    "no_protocol": rf"\b(?:www\.)?[a-zA-Z0-9\-]+\.[a-zA-Z]{{2,}}(?:/{_TAIL}*)?",
+    "social": rf"\b(?:https?://)?(?:www\.)?(?:{_twice_escaped(SOCIAL_DOMAINS)})(?:/[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*)?",
+    "no_protocol": r"\b(?:www\.)?[a-zA-Z0-9\-]+\.[a-zA-Z]{2,}(?:/[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*)?",
     "mention": r"\b[a-zA-Z0-9\-]+\s+dot\s+[a-zA-Z]{2,}\b(?:\s+(?:slash|/)\s+[a-zA-Z0-9\-_]+)?",
     "obfuscated": r"\b[a-zA-Z0-9\-]+\s*[\(\[\{]?\s*dot\s*[\)\]\}]?\s*[a-zA-Z]{2,}(?:\s*[\(\[\{]?\s*(?:slash|/)\s*[\)\]\}]?\s*[a-zA-Z0-9\-_]+)?",
     "bracket": r"\b[a-zA-Z0-9\-]+[\[\(]\s*\.\s*[\]\)][a-zA-Z]{2,}(?:[/\\\[\]\(\)][\[\(\s]*[a-zA-Z0-9\-._~:/?#@!$&'*+,;=%]*)?",

@@ -332,8 +332,24 @@ def highest_stage(scores: dict[int, Column]) -> Column:
     return F.greatest(F.lit(1), F.lit(1), *[F.when(c > 0, F.lit(s)).otherwise(1) for s, c in scores.items()])
 
 
-def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str = "thread_id", order: str = "turn", failed: Column | None = None) -> DataFrame:
-    """Messages with the scores of the requested stages, the combined score, stage, labels, evidence and hashes.
+#: The version of the rules that results carry, and that of rows that failed: fixed values.
+RULESET_VERSION = FAILED_RULESET_VERSION = "1.0.0"
+
+
+def detect(
+    messages: DataFrame,
+    stages: tuple[int, ...] = (1, 2),
+    thread: str = "thread_id",
+    order: str = "turn",
+    failed: Column | None = None,
+    ruleset_version: str = RULESET_VERSION,
+    ner: Column | None = None,
+    model_version: str | None = None,
+) -> DataFrame:
+    """Messages with the scores of the requested stages, the combined score, stage, labels, evidence, hashes and versions.
+
+    ``ner`` is a score of entities for stage 2 and ``model_version`` names what made it; results carry that version only
+    where stage 2 ran with it.
 
     No stages mean all three; stage 3 needs ``stage3_score``, ``stage3_labels`` and ``n_thread`` from ``behavior``. Content beyond
     the length limit has a null combined score and stage and the label message_too_long. Rows for which ``failed``
@@ -346,7 +362,7 @@ def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str =
         scores[1], labels = F.col("stage1_score"), [*labels, F.col("stage1_labels")]
         evidence.append(F.col("evidence"))
     if 2 in stages:
-        m = stage2(context_hits(m, thread, order))
+        m = stage2(context_hits(m, thread, order), ner=ner)
         scores[2], labels = F.col("stage2_score"), [*labels, F.col("stage2_labels")]
         evidence.append(F.col("stage2_evidence"))
     if 3 in stages:
@@ -357,8 +373,11 @@ def detect(messages: DataFrame, stages: tuple[int, ...] = (1, 2), thread: str =
     hashes = F.col("hashed_tokens") if 1 in stages else F.array().cast("array<string>")
     found = {"risk_score": combine(scores, stages), "stage": highest_stage(scores), "evidence": F.concat(*evidence), "hashed_tokens": hashes}
     found = {k: F.when(~rejected, c) for k, c in found.items()} | {"labels": F.array_distinct(F.concat(*labels))}
+    model = model_version if 2 in stages and ner is not None else None
+    found |= {"ruleset_version": F.lit(ruleset_version), "model_version": F.when(~rejected, F.lit(model).cast("string"))}
     if failed is not None:
         bad = F.coalesce(failed, F.lit(True))
         error = {"risk_score": F.lit(0.0), "stage": F.lit(0), "evidence": F.expr(NO_EVIDENCE), "hashed_tokens": F.array().cast("array<string>"), "labels": F.array(F.lit("analysis_error"))}
+        error |= {"ruleset_version": F.lit(FAILED_RULESET_VERSION), "model_version": F.lit(None).cast("string")}
         found = {k: F.when(bad, error[k]).otherwise(c) for k, c in found.items()}
     return m.withColumns(found)
