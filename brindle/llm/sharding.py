@@ -8,6 +8,10 @@ of those ranges in which a cut can lie, until every cut falls between two known
 A pass that cuts at known borders only gives an upper bound of C, one that cuts anywhere
 inside a coarse range a lower bound; what lies between their cuts is refined.
 
+Many partitions have the smallest capacity, and greedy filling would leave the last shard
+short. So each cut is laid at the border nearest to an equal part of what is left (groups
+above an equal part, which have a shard of their own, not counted), where what follows still fits into the remaining shards (a greedy pass from the end says from where on).
+
 Defined results: a null text counts as an empty one (size 1, crc of no bytes, in one group
 with empty texts); repeated rows get their own slots; texts of any length are hashed whole; a group above total / n_shards sets the
 capacity alone; an empty table gives no rows; extra columns are not read.
@@ -15,7 +19,7 @@ capacity alone; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +67,38 @@ class _Ranges:
                 i += 1
         return out
 
+    def even(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """End of each shard within a feasible capacity, and coarse ranges that may hold better borders."""
+        whole, unsure = self.ends[-1], set()
+
+        def border(at: float) -> int:
+            """The first known border from ``at`` on; a coarse range around ``at`` is unsure."""
+            i = bisect_left(self.ends, at)
+            if self.ends[i] > at and self.parts[i - 1][3] > 1:
+                unsure.add(i - 1)
+            return i
+
+        large = [i for i, (_, _, total, _) in enumerate(self.parts) if total * shards > whole]  # fewer than the shards
+        unsure |= {i for i in large if self.parts[i][3] > 1}
+        earliest = [whole]
+        while len(earliest) < shards:
+            earliest.append(self.ends[border(max(0, earliest[-1] - capacity))])
+        earliest.reverse()
+        cuts = [0]
+        for k in range(shards - 1):
+            prev = cuts[-1]
+            low = max(earliest[k], prev)
+            high = max(low, min(prev + capacity, self.ends[max(0, len(self.parts) - (shards - 1 - k))]))  # no later shard is left without a group
+            own = [i for i in large if self.ends[i] >= prev]
+            part = (whole - prev - sum(self.parts[i][2] for i in own)) / max(1, shards - k - len(own))
+            run = (self.ends[own[0]] if own else whole) - prev  # up to the next large group
+            part = run / max(1, round(run / part)) if part and run else self.parts[own[0]][2] if own else 0
+            target = min(max(low, prev + part), high)
+            i = border(target)
+            near = [at for at in self.ends[max(0, i - 1) : i + 1] if low <= at <= high and (at > prev or prev == whole)]
+            cuts.append(min(near, key=lambda at: abs(at - target)) if near else low)
+        return [*cuts[1:], whole], unsure
+
     def refine(self, which: set[int], finer: dict[int, list[tuple[int, int, int]]], bits: dict[int, int]) -> None:
         parts = []
         for i, part in enumerate(self.parts):
@@ -87,13 +123,8 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]:
         return 0, []
     largest = groups.agg(F.max("total")).head()[0]
     low, high = max(largest, -(-whole // n_shards)), whole
-    while True:
-        low = known.smallest(low, high, n_shards, anywhere=True)
-        high = known.smallest(low, high, n_shards, anywhere=False)
-        lows, highs = known.greedy(low, n_shards, False)[0], known.greedy(high, n_shards, True)[0]
-        todo = known.coarse_between(lows, highs)
-        if not todo:
-            break
+
+    def look_into(todo: set[int]) -> None:
         by_bits: dict[int, list[int]] = {}
         for i in todo:
             by_bits.setdefault(known.parts[i][1], []).append(i)
@@ -105,7 +136,19 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]:
             for node, total, n in sums(groups.filter(_node(F.col("th"), bits).isin(list(of))), more).collect():
                 finer[of[node >> (more - bits)]].append((node, total, n))
         known.refine(todo, finer, new_bits)
-    cuts, _ = known.greedy(high, n_shards, False)
+
+    while True:
+        low = known.smallest(low, high, n_shards, anywhere=True)
+        high = known.smallest(low, high, n_shards, anywhere=False)
+        lows, highs = known.greedy(low, n_shards, False)[0], known.greedy(high, n_shards, True)[0]
+        todo = known.coarse_between(lows, highs)
+        if not todo:
+            break
+        look_into(todo)
+    cuts, todo = known.even(high, n_shards)
+    while todo:
+        look_into(todo)
+        cuts, todo = known.even(high, n_shards)
     firsts = []
     for at in cuts[:-1]:
         i = bisect_right(known.ends, at) - 1

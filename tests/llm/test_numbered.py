@@ -525,6 +525,32 @@ def test_minimax(spark, hot):
     for h, s in groups:
         load[sum(h >= f for f in firsts)] += s
     assert max(load.values()) == capacity
+    rest = sorted(load.values())[: 15 if hot else 16]  # beside the hot group the others share evenly
+    assert len(load) == 16 and min(rest) >= sum(rest) / len(rest) - 900, sorted(load.values())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_even_cuts_keep_the_capacity(seed):
+    """Ranges of one group each: no shard above the smallest capacity, none empty while groups last."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    sizes = [int(s) for s in rng.pareto(1.0, n) * 10 + 1]
+    capacity = brute_capacity(sizes, 16)
+    cuts, unsure = sharding._Ranges([(i, s, 1) for i, s in enumerate(sizes)], 64).even(capacity, 16)
+    loads = [b - a for a, b in zip([0, *cuts], cuts, strict=False)]
+    assert not unsure and max(loads) == capacity and sum(loads) == sum(sizes)
+    assert all(c in {0, *np.cumsum(sizes).tolist()} for c in cuts) and sum(x > 0 for x in loads) == min(n, 16)
+
+
+def test_loads_of_a_table_are_minimax_and_even(docs):
+    rows = sharding.shard_documents(docs).collect()
+    load, group = collections.Counter(), collections.Counter()
+    order = {r.doc_id: r.th for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()}
+    for r in rows:
+        load[r.shard] += r.size
+        group[order[r.doc_id]] += r.size
+    assert max(load.values()) == brute_capacity([group[h] for h in sorted(group)], 16)
+    assert len(load) == 16 and min(load.values()) >= sum(load.values()) / 16 - max(group.values())
 
 
 def test_shards(docs, edge):
