@@ -134,8 +134,13 @@ def _best(query_id: int, vector: np.ndarray, ids: np.ndarray, vectors: np.ndarra
 
 
 def _search(queries: DataFrame, index: DataFrame, k: int, radius: int | None, n_query_blocks: int, n_blocks: int, kind: type) -> DataFrame:
-    """Each block pair's best k per query: within the radius, or of all rows where it is None."""
-    q = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_query_blocks)).cast("int"))
+    """Each block pair's best k per query: within the radius, or of all rows where it is None.
+
+    Columns of queries get names, and so attributes, of their own: both sides come from one table, and a cogroup of
+    sides that share an attribute loses it.
+    """
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "code")])
+    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("qb", F.pmod(F.xxhash64("q_id", F.lit(1)), F.lit(n_query_blocks)).cast("int"))
     c = index.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +150,7 @@ def _search(queries: DataFrame, index: DataFrame, k: int, radius: int | None, n_
             codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
             tables = None if radius is None else MultiIndex(codes, radius)
             everything = np.arange(len(ids))
-            for qid, vector, code in zip(left["id"], _matrix(left["v"], kind), left["code"], strict=True):
+            for qid, vector, code in zip(left["q_id"], _matrix(left["q_v"], kind), left["q_code"], strict=True):
                 rows = everything if tables is None else tables.within(np.frombuffer(code, np.uint8))
                 found, score = _best(qid, vector, ids, vectors, rows, k)
                 out.append(pd.DataFrame({"query_id": np.full(len(found), qid, np.int64), "vec_id": found, "score": score}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import hashlib
 import math
 import re
@@ -387,6 +388,21 @@ def test_search_edges(spark):
     assert hamming_search.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_that_find_too_few_meet_all_rows(spark, monkeypatch):
+    """With a radius that holds nothing every query takes the way over all rows, and the result is exact."""
+    learn = hamming_search.learn
+    monkeypatch.setattr(hamming_search, "learn", lambda *a, **kw: dataclasses.replace(learn(*a, **kw), radius=-1))
+    monkeypatch.setattr(hamming_search, "BLOCK", 40)
+    x = np.random.default_rng(4).normal(size=(130, 6))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hamming_search.nearest(v, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 130, 20):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        assert got[q] == order[order != q][:7].tolist()
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_repeated_rows_of_a_search(spark, kind):
     """A repeated query is one query; repeated candidates are all candidates."""
