@@ -71,8 +71,13 @@ def distances(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(-1, dtype=np.int64)
 
 
-def learn(sample: np.ndarray, norm: float, bits: int = 256, k: int = 20, quantile: float = 0.97, steps: int = 25, seed: int = 11) -> Codes:
-    """Rotations by iterative quantisation; the radius holds ``quantile`` of the sample's own k nearest."""
+def learn(sample: np.ndarray, norm: float, bits: int = 256, k: int = 20, quantile: float = 0.97, steps: int = 25, seed: int = 11, share: float = 1.0) -> Codes:
+    """Rotations by iterative quantisation; the radius holds ``quantile`` of the sample's own nearest.
+
+    A sample that is a ``share`` of all rows has that share of each row's k nearest, so so many of its nearest are
+    asked for: the radius fits the density of the whole table and not that of the sample.
+    """
+    k = max(1, math.ceil(k * share))
     rng = np.random.default_rng(seed)
     lifted = lift(sample, norm, False)
     centre = lifted.mean(0)
@@ -180,7 +185,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, sample_r
     norm = math.sqrt(rows.agg(F.max(square)).head()[0])
     share = min(1.0, sample_rows / lengths["n"])
     sample = rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) <= F.lit(int(share * (1 << 53)))).orderBy("id").select("v").collect()
-    codes = learn(np.array([r[0] for r in sample], np.float64).reshape(len(sample), lengths["dim"]) / peak, norm, bits, k) if len(sample) > 1 else None
+    codes = learn(np.array([r[0] for r in sample], np.float64).reshape(len(sample), lengths["dim"]) / peak, norm, bits, k, share=min(1.0, len(sample) / lengths["n"])) if len(sample) > 1 else None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -369,6 +369,29 @@ def test_search_recall(spark):
     assert hits / n >= 0.9
 
 
+def test_clustered_vectors_are_pruned(spark):
+    """Of vectors in clusters a small part is probed, from a sample that holds fewer than k of a cluster, too; neighbours are right."""
+    rng = np.random.default_rng(2)
+    n, centres = 6_000, rng.normal(size=(100, 64))
+    x = centres[np.arange(n) % 100] / np.linalg.norm(centres, axis=1)[np.arange(n) % 100, None] + 0.2 * rng.normal(size=(n, 64)) / 8
+    norm = float(np.sqrt((x * x).sum(1)).max())
+    sample = rng.random(n) < 0.2  # some 12 of a cluster's 60
+    codes = hamming_search.learn(x[sample], norm, share=0.2)
+    index, asked = codes.encode(x, False), codes.encode(x[::20], True)
+    tables = hamming_search.MultiIndex(index, codes.radius)
+    probed = [np.bitwise_count(np.bitwise_or.reduce(tables.tables[np.arange(len(c)), c], axis=0)).sum() / n for c in asked]
+    assert np.mean(probed) < 0.2, np.mean(probed)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in hamming_search.nearest(v, F.col("vec_id") % 20 == 0, sample_rows=1_200).collect():
+        got[r.query_id].add(r.vec_id)
+    best = {}
+    for q in range(0, n, 20):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        best[q] = set(order[order != q][:20].tolist())
+    assert sum(len(best[q] & got[q]) for q in best) / (20 * len(best)) >= 0.95
+
+
 def test_multi_index_finds_every_code():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (700, 8), dtype=np.uint8)
