@@ -50,3 +50,29 @@ def test_needs_lose_no_match(spark):
         for p, need in zip(patterns, gate.NEEDS[kind], strict=True):
             hit = F.col("t").rlike(gate.java_regex(p))
             assert texts.filter(hit & ~gate._may_match(F.col("t"), need)).isEmpty(), p
+
+
+@pytest.mark.parametrize(
+    ("content", "reason"),
+    [
+        ("call 555-123-4567 please", "Message blocked: detected phone number. Keep conversations on the platform for your safety."),
+        ("on telegram, https://example.org/x, user@example.com or 555-123-4567", "Message blocked: detected phone number, email address, external link, social media reference. Keep conversations on the platform for your safety."),
+        ("see https://example.org/x", "Message blocked: detected external link. Keep conversations on the platform for your safety."),
+        ("x" * 10_001, "Message exceeds maximum length"),
+        ("good morning", None),
+        (None, None),
+    ],
+)
+def test_block_reasons(spark, content, reason):
+    """Kinds in their fixed order, whatever their order in the text; a lower edge blocks what is nudged by default."""
+    row = gate.gate(spark.createDataFrame([(content,)], "content string"), hard_block=0.3, nudge=0.2).head()
+    assert row.block_reason == reason and row.allowed == (reason is None)
+
+
+def test_block_for_obfuscation_alone(spark):
+    """What hides something and is no contact has the general reason."""
+    plain = {f"n_{k}": 0 for k in gate.KINDS}
+    texts = [t for t in ("t e l e", "c.a.l.l m.e", "five five five one two three four", "5 5 5 1 2 3 4", "h e r e", "n-u-m-b-e-r")]
+    rows = gate.gate(spark.createDataFrame([(t,) for t in texts], "content string"), hard_block=0.01, nudge=0.005).collect()
+    alone = [r for r in rows if r.n_obfuscation and not any(r[k] for k in plain if k != "n_obfuscation")]
+    assert all(r.block_reason == gate.BLOCK_OTHER and r.labels == ["obfuscation_detected"] for r in alone) and alone

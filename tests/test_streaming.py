@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from brindle.operators import policy
@@ -25,6 +27,8 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     q = jobs.write_gate_stream(_stream(spark, m, tmp_path, "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
+    info = jobs.stream_info(q)
+    assert info["rows"] == m.count() and info["last_batch"] is not None and not info["active"]
     want = jobs.gate_events(m)
     assert got.count() == m.count() and got.exceptAll(want).isEmpty()
 
@@ -36,3 +40,20 @@ def test_strike_stream_equals_batch(spark, tmp_path):
     want = policy.with_active_strikes(banded, F.col("band").isin("high", "critical"), 7).filter("band in ('high', 'critical')")
     want = want.select("detection_id", F.col("active_strikes").alias("strike_number"))
     assert got.count() == want.count() and got.select("detection_id", "strike_number").exceptAll(want).isEmpty()
+
+
+def test_missing_decisions_pass_with_a_marker(spark, monkeypatch):
+    """The gate fails open: allowed, score 0 and a label that says so; decisions that are there stay."""
+    real = jobs.gate.gate
+
+    def broken(messages):
+        g = real(messages)
+        return g.withColumns({c: F.when(F.col("message_id") != 2, F.col(c)) for c in ("allowed", "action", "risk_score", "labels")})
+
+    monkeypatch.setattr(jobs.gate, "gate", broken)
+    m = spark.createDataFrame([(1, "call 555-123-4567 please"), (2, "call 555-123-4567 please"), (3, None)], "message_id int, content string")
+    out = jobs.gate_events(m, F.timestamp_seconds(F.lit(0)))
+    got = {r.message_id: json.loads(r.intercept_result) for r in out.collect()}
+    assert got["2"] == {"allowed": True, "action": "allow", "risk_score": 0.0, "labels": ["interceptor_error"]}
+    assert not got["1"]["allowed"] and got["1"]["labels"] == ["contact_info_phone"] and got["3"]["labels"] == []
+    assert {r.emitted_at for r in out.collect()} == {"1970-01-01T00:00:00.000Z"} and dict(out.dtypes)["message_id"] == "string"
