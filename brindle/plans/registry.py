@@ -556,7 +556,8 @@ def url_values(spark, sf_dir):
 
 def _span_rows(kind: str):
     def query(spark, sf_dir):
-        spans = detect.with_spans(views.document_messages(spark, sf_dir), kind).select("doc_id", F.explode(f"{kind}_spans").alias("s"))
+        # Outer: of a plain explode Spark derives a filter that finds all spans first, once or twice more, and in front of spread().
+        spans = detect.with_spans(views.document_messages(spark, sf_dir), kind).select("doc_id", F.explode_outer(f"{kind}_spans").alias("s")).filter("s is not null")
         return spans.select("doc_id", F.col("s.off").alias("offset"), F.col("s.len").alias("length"), F.round("s.conf", 3).alias("confidence"), T.token_hash(F.col("s.v")).alias("value_hash"))
 
     return query

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from brindle.functions import text as T
+from brindle.plans.registry import QUERIES
 from tests.test_stages_brute import plain
 
 
@@ -63,3 +64,10 @@ def test_texts_are_folded_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(T.pa, "array", lambda values, kind, make=pa.array: (held.append(len(values)), make(values, kind))[1])
     got = T._by_text(T._nfkc).func(pa.chunked_array([["ﬁ", None] * 600]).combine_chunks())
     assert got.to_pylist() == ["fi", None] * 600 and max(held) <= T.ROWS
+
+
+@pytest.mark.parametrize("kind", ["phone", "email", "url", "social", "intent", "obfuscation"])
+def test_spans_are_found_once(spark, kind):
+    """A filter of the same expression stood in front of every span query."""
+    plan = QUERIES[f"{kind}_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("zip_with" in line for line in plan) == 1 and sum("ArrowEvalPython" in line for line in plan) == (kind == "email")
