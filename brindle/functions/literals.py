@@ -26,7 +26,8 @@ Parts = list[frozenset[str]]
 
 def folded(text: Column) -> Column:
     """The text as literals are looked for in it; as many letters as before."""
-    return F.lower(F.translate(text, "".join(ODD_CASE), "".join(ODD_CASE.values())))
+    odd = F.translate(text, "".join(ODD_CASE), "".join(ODD_CASE.values()))
+    return F.lower(F.when(text.rlike(f"[{''.join(ODD_CASE)}]"), odd).otherwise(text))
 
 
 def words_of(folded: Column) -> Column:

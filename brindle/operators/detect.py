@@ -18,6 +18,8 @@ from brindle.operators import spans as S
 from brindle.session import spread
 
 MAX_LENGTH, TOO_LONG = 10_000, "message_too_long"
+#: Where all homoglyphs are.
+GLYPH_BLOCKS = r"[\x{131}\x{237}\x{370}-\x{4FF}\x{1D400}-\x{1D7FF}]"
 
 
 def _context(text: str, terms: list[str]) -> str:
@@ -134,7 +136,7 @@ def social(text: str) -> str:
     table = S.table(list(patterns), **dict(zip(("base", "cut", "near", "link", "sign", "short", "known", "other"), fields, strict=True)))
     tests = {"y.link": "lower(m.v) RLIKE '[.](?:me|com|gg|org)/'", "y.sign": "contains(m.v, '@')", "0.15D": S.any_in("m.w", "y.known"), "0.1D": S.any_in("m.w", "y.other"), "y.short": "length(trim(BOTH '@' FROM m.v)) < 3"}
     conf = " + ".join(["y.base", *[f"IF({test}, {amount}, 0D)" for amount, test in tests.items()]])
-    listed = S.each(text, table, S.spans(text, None, "social", conf, cut="y.cut", w=near("y.near")))
+    listed = S.each(S.candidates(text, table, list(patterns)), S.spans(text, None, "social", conf, cut="y.cut", w=near("y.near")))
     first = "CASE " + " ".join(f"WHEN {S.any_of("m.w", names)} THEN '{name}'" for name, (_, _, names) in P.PLATFORMS.items()) + " END"
     conf = f"0.65D + {_if(f'{first} IN ({chr(39)}instagram{chr(39)}, {chr(39)}telegram{chr(39)}, {chr(39)}tiktok{chr(39)})', 0.15)}"
     mention = S.spans(text, P.AT_MENTION, "social", conf, f"{first} IS NOT NULL", w=near(50))
@@ -148,14 +150,15 @@ def intent(text: str) -> str:
     patterns = [p for _, group in P.INTENT.values() for p in group]
     table = S.table(patterns, base=[f"{0.5 + base}D" for base, group in P.INTENT.values() for _ in group])
     conf = f"y.base + least(0.3D, {boost}) + {_if(f'{S.around(text, chr(109) + ".off - 20", "m.off")} RLIKE {S.pattern(P.NEGATION)}', -0.3)} + {_if(f'({count}) >= 2', 0.1)} + {_if(S.any_of(near, P.EVASION_TERMS), 0.15)}"
-    listed = S.each(text, table, S.spans(text, None, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
+    listed = S.each("rows", S.spans(text, None, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
     kinds = f"array({', '.join(f"named_struct('name', '{name}', 'test', {S.pattern('|'.join(group))})" for name, (_, group) in P.INTENT.items())})"
     compound = (
         f"filter(aggregate(split({text}, '(?U)[.!?]\\\\s+'), named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, transform(array(filter({kinds}, y -> q RLIKE y.test).name), "
         "k -> named_struct('off', s.p, 'len', length(q), 'type', 'intent', 'conf', IF(size(k) >= 2, least(0.95D, 0.6D + size(k) * 0.15D), 0D), 'v', concat('compound:', array_join(sort_array(k), ',')))))), s -> s.o), m -> m.conf > 0)"
     )
     # No sentence matches two groups where the text matches no pattern.
-    return f"IF({S.some(text, table)}, {S.greedy(S.joined([listed, compound]))}, {S.NONE})"
+    rows = f"filter({S.candidates(text, table, patterns)}, y -> {text} RLIKE y.test)"
+    return f"element_at(transform(array({rows}), rows -> IF(size(rows) > 0, {S.greedy(S.joined([listed, compound]))}, {S.NONE})), 1)"
 
 
 def obfuscation(text: str) -> str:
@@ -164,16 +167,22 @@ def obfuscation(text: str) -> str:
     # The class of leet characters escapes its brackets: Java reads an open one as a nested class.
     ratio = rf"(length(m.v) - length(regexp_replace(m.v, {S.quoted('[' + leet + ']')}, ''))) / CAST(length(m.v) AS double)"
     marks = r"\p{M}"
-    parts = [
-        S.spans(text, f"[{T.ZERO_WIDTH}]+", "obfuscation", "0.95D"),
+    # A search for one plain class is many times faster than the patterns, and most texts hold none of its characters.
+    having = lambda chars, *rest: f"IF({text} RLIKE {S.quoted(chars)}, {S.spans(text, rest[0], 'obfuscation', *rest[1:])}, {S.NONE})"
+    wide = [
+        having(r"[\x{200B}-\x{206F}\x{FEFF}]", f"[{T.ZERO_WIDTH}]+", "0.95D"),
         # Case matters for homoglyphs, unlike elsewhere.
-        S.spans(text, rf"(?-i:[{glyphs}](?:[{glyphs}]|[\p{{L}}\p{{N}}._\-@])*)", "obfuscation", "0.85D"),
-        S.spans(text, r"(?-iu:[a-zA-Z]+[Ѐ-ӿ]+[a-zA-Z]*|[Ѐ-ӿ]+[a-zA-Z]+)", "obfuscation", "0.90D"),
-        S.spans(text, r"(?-iu:[a-zA-Z]+[Ͱ-Ͽ]+[a-zA-Z]*|[Ͱ-Ͽ]+[a-zA-Z]+)", "obfuscation", "0.90D"),
-        S.spans(text, r"[！-～]+", "obfuscation", "0.80D"),
-        S.spans(text, rf"(?:(?s:.)|^){marks}{{2,}}", "obfuscation", "0.75D"),
-        S.spans(text, r"\b\w*[0-9@$!|()\[\]<>]{2,}\w*\b", "obfuscation", f"least(0.9D, 0.5D + {ratio} * 0.5D)", f"{ratio} > 0.2D"),
-        S.spans(text, r"\b(?:\w\s){3,}\w\b", "obfuscation", "0.70D", "length(replace(m.v, ' ', '')) >= 4"),
+        having(GLYPH_BLOCKS, rf"(?-i:[{glyphs}](?:[{glyphs}]|[\p{{L}}\p{{N}}._\-@])*)", "0.85D"),
+        having("[Ѐ-ӿ]", r"(?-iu:[a-zA-Z]+[Ѐ-ӿ]+[a-zA-Z]*|[Ѐ-ӿ]+[a-zA-Z]+)", "0.90D"),
+        having("[Ͱ-Ͽ]", r"(?-iu:[a-zA-Z]+[Ͱ-Ͽ]+[a-zA-Z]*|[Ͱ-Ͽ]+[a-zA-Z]+)", "0.90D"),
+        having("[！-～]", r"[！-～]+", "0.80D"),
+        having(rf"{marks}{{2}}", rf"(?:(?s:.)|^){marks}{{2,}}", "0.75D"),
+    ]
+    any_sign = r"\x{80}-\x{10FFFF}"
+    parts = [
+        f"IF({text} RLIKE {S.quoted(r'[^\x00-\xFF]')}, {S.joined(wide)}, {S.NONE})",
+        having(r"[0-9@$!|()\[\]<>]{2}", r"\b\w*[0-9@$!|()\[\]<>]{2,}\w*\b", f"least(0.9D, 0.5D + {ratio} * 0.5D)", f"{ratio} > 0.2D"),
+        having(rf"(?:[\w{any_sign}][\s{any_sign}]){{3}}[\w{any_sign}]", r"\b(?:\w\s){3,}\w\b", "0.70D", "length(replace(m.v, ' ', '')) >= 4"),
     ]
     return S.greedy(S.joined(parts))
 
@@ -183,11 +192,12 @@ DETECTORS = {"phone": phone, "url": url, "social": social, "intent": intent, "ob
 
 def with_spans(messages: DataFrame, kind: str, content: str = "content") -> DataFrame:
     """Adds ``<kind>_spans`` found in one column."""
-    low = L.folded(F.col(content))
-    form = F.struct(F.col(content).alias("t"), T.email_folded(F.col(content)).alias("f") if kind == "email" else F.lit(None).cast("string").alias("f"), low.alias("l"), L.words_of(low).alias("w"))
-    m = spread(messages).withColumn("_d_form", F.array(form))
-    # The forms are the variable of a lambda, so they are made once for all patterns.
     body = email("x.t", "x.f") if kind == "email" else DETECTORS[kind]("x.t")
+    text, none = F.col(content), F.lit(None).cast("string")
+    forms = {"f": lambda: T.email_folded(text), "l": lambda: L.folded(text), "w": lambda: L.words_of(L.folded(text))}
+    # The forms are the variable of a lambda, so they are made once for all patterns, and only those that the detector looks at.
+    form = F.struct(text.alias("t"), *[(make() if f"x.{k}" in body else none).alias(k) for k, make in forms.items()])
+    m = spread(messages).withColumn("_d_form", F.array(form))
     return m.withColumn(f"{kind}_spans", F.expr(f"element_at(transform(_d_form, x -> {body}), 1)")).drop("_d_form")
 
 

@@ -67,27 +67,27 @@ def with_gaps(p: str) -> str:
 
 
 def table(patterns: list[str], **fields: list) -> str:
-    """Patterns as data: an array with the literals, the test and the search of each, and further fields given as SQL."""
-    part = lambda lits: f"named_struct('kind', {_kind(lits)}, 'lits', array({', '.join(map(quoted, lits))}))"
+    """Patterns as data: an array with the literals, the test and further fields of each, given as SQL. Words stand without blanks."""
+    bare = lambda lits: [x.strip() if _kind(lits) == 2 else x for x in lits]
+    part = lambda lits: f"named_struct('kind', {_kind(lits)}, 'lits', array({', '.join(map(quoted, bare(lits)))}))"
     none = "CAST(array() AS array<struct<kind:int,lits:array<string>>>)"
-    need = lambda p: f"array({', '.join(map(part, needed(p)))})" if needed(p) else none
+    # Words first: they say most and are looked up among the few that the text holds.
+    need = lambda p: f"array({', '.join(map(part, sorted(needed(p), key=_kind, reverse=True)))})" if needed(p) else none
     rows = [f"named_struct('need', {need(p)}, 'test', {pattern(p)}, 'both', {with_gaps(p)}{''.join(f', {quoted(k)}, {v[i]}' for k, v in fields.items())})" for i, p in enumerate(patterns)]
     return f"array({', '.join(rows)})"
 
 
-def each(text: str, rows: str, body: str) -> str:
-    """The arrays that ``body`` makes of the rows (``y``) of a ``table`` whose literals the text holds, one behind the other."""
-    return f"flatten(transform(filter({rows}, y -> {holds(text)}), y -> {body}))"
+def candidates(text: str, rows: str, patterns: list[str]) -> str:
+    """The rows of the ``table`` of ``patterns`` whose literals the text holds. The words of the text are read once for all rows."""
+    listed = sorted({x.strip() for p in patterns for part in needed(p) if _kind(part) == 2 for x in part})
+    known = f"array_intersect(split({words(text)}, ' '), array({', '.join(map(quoted, listed))}))"
+    holds = f"forall(y.need, z -> IF(z.kind = 2, arrays_overlap(z.lits, k), exists(z.lits, l -> contains(IF(z.kind = 0, {text}, {low(text)}), l))))"
+    return f"element_at(transform(array({known}), k -> filter({rows}, y -> {holds})), 1)"
 
 
-def holds(text: str) -> str:
-    """Does the text hold the literals of row ``y``?"""
-    return f"forall(y.need, z -> exists(z.lits, l -> contains(CASE z.kind WHEN 0 THEN {text} WHEN 1 THEN {low(text)} ELSE {words(text)} END, l)))"
-
-
-def some(text: str, rows: str) -> str:
-    """Does the text match a row of a ``table``?"""
-    return f"exists({rows}, y -> {holds(text)} AND {text} RLIKE y.test)"
+def each(rows: str, body: str) -> str:
+    """The arrays that ``body`` makes of rows (``y``), one behind the other."""
+    return f"flatten(transform({rows}, y -> {body}))"
 
 
 def any_in(text: str, terms: str) -> str:
@@ -95,19 +95,30 @@ def any_in(text: str, terms: str) -> str:
     return f"exists({terms}, l -> contains({text}, l))"
 
 
+#: A sign that no text should hold: what stands for a border of matches. Texts that do are read in another way.
+BORDER = "\ufdd0"
+
+
 def found(text: str, p: str | None, literals: bool = False) -> str:
-    """array<struct<off, len, v>> of all matches of a pattern (None: of row ``y``) without capturing groups; most texts end at the first test.
+    """array<struct<off, len, v>> of all matches of a pattern (None: of row ``y``) without capturing groups.
 
-    ``literals``: the text's folded form and words stand beside it and are looked at first.
+    One search puts borders around every match, so that gaps and matches follow each other. ``literals``: the text's
+    folded form and words stand beside it and are looked at first.
     """
-    first = f"{may(text, p)} AND " if literals and p else ""
-    test, both = (f"{text} RLIKE y.test", "y.both") if p is None else (f"{first}{text} RLIKE {pattern(p)}", with_gaps(p))
-    return (
-        f"IF({test}, aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
-        "named_struct('p', 0, 'o', CAST(array() AS array<struct<off:int,len:int,v:string>>)), "
-        "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o), "
-        "CAST(array() AS array<struct<off:int,len:int,v:string>>))"
+    first = may(text, p) if literals and p else "true"
+    test, both = ("y.test", "y.both") if p is None else (pattern(p), with_gaps(p))
+    none = "CAST(array() AS array<struct<off:int,len:int,v:string>>)"
+    match = "array(named_struct('off', s.p, 'len', length(r), 'v', r))"
+    once = (
+        f"aggregate(split(regexp_replace({text}, {test}, '{BORDER}$0{BORDER}'), '{BORDER}'), named_struct('p', 0, 'm', false, 'o', {none}), "
+        f"(s, r) -> named_struct('p', s.p + length(r), 'm', NOT s.m, 'o', IF(s.m, concat(s.o, {match}), s.o)), s -> s.o)"
+    )
+    gaps = (
+        f"aggregate(zip_with(regexp_extract_all({text}, {both}, 1), regexp_extract_all({text}, {both}, 2), (g, v) -> named_struct('g', length(g), 'v', v)), "
+        f"named_struct('p', 0, 'o', {none}), "
+        "(s, r) -> named_struct('p', s.p + r.g + length(r.v), 'o', concat(s.o, array(named_struct('off', s.p + r.g, 'len', length(r.v), 'v', r.v)))), s -> s.o)"
     )
+    return f"IF({first}, IF(contains({text}, '{BORDER}'), {gaps}, {once}), {none})"
 
 
 def spans(text: str, p: str | None, kind: str, confidence: str, keep: str = "true", cut: float | str | None = None, **named: str) -> str:
