@@ -151,9 +151,10 @@ def intent(text: str) -> str:
     table = S.table(patterns, base=[f"{0.5 + base}D" for base, group in P.INTENT.values() for _ in group])
     conf = f"y.base + least(0.3D, {boost}) + {_if(f'{S.around(text, chr(109) + ".off - 20", "m.off")} RLIKE {S.pattern(P.NEGATION)}', -0.3)} + {_if(f'({count}) >= 2', 0.1)} + {_if(S.any_of(near, P.EVASION_TERMS), 0.15)}"
     listed = S.each("rows", S.spans(text, None, "intent", conf, cut=0.4, w=window, c=S.around(text, "m.off - 50", "m.off + 50")))
-    kinds = f"array({', '.join(f"named_struct('name', '{name}', 'test', {S.pattern('|'.join(group))})" for name, (_, group) in P.INTENT.items())})"
+    # Written out, because a pattern that is no literal is compiled for every sentence.
+    kinds = ", ".join(f"IF(q RLIKE {S.pattern('|'.join(group))}, '{name}', NULL)" for name, (_, group) in P.INTENT.items())
     compound = (
-        f"filter(aggregate(split({text}, '(?U)[.!?]\\\\s+'), named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, transform(array(filter({kinds}, y -> q RLIKE y.test).name), "
+        f"filter(aggregate(split({text}, '(?U)[.!?]\\\\s+'), named_struct('p', 0, 'o', {S.NONE}), (s, q) -> named_struct('p', s.p + length(q) + 1, 'o', concat(s.o, transform(array(array_compact(array({kinds}))), "
         "k -> named_struct('off', s.p, 'len', length(q), 'type', 'intent', 'conf', IF(size(k) >= 2, least(0.95D, 0.6D + size(k) * 0.15D), 0D), 'v', concat('compound:', array_join(sort_array(k), ',')))))), s -> s.o), m -> m.conf > 0)"
     )
     # No sentence matches two groups where the text matches no pattern.

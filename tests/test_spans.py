@@ -51,3 +51,11 @@ def test_texts_that_hold_the_border_sign(spark):
     for kind, scan in SCANS.items():
         got = {r.i: [(s["off"], s["len"], round(s["conf"], 6), s["v"]) for s in r.s] for r in detect.with_spans(df, kind).select("i", F.col(f"{kind}_spans").alias("s")).collect()}
         assert got == {i: [(o, n, round(c, 6), v) for o, n, c, v in disjoint(scan(t))] for i, t in enumerate(texts)}, kind
+
+
+def test_plain_texts_meet_few_literals_of_intent(spark):
+    """Every literal of 60 patterns was searched for in the whole text, so that a text was read some 150 times."""
+    df = prose(spark, "große über was that you not share contact phone message the rent of thing, and.".split()).withColumn("l", F.lower("content")).cache()
+    df.count()
+    thrice = seconds(df.select(F.expr(" OR ".join(f"contains(l, 'no{i} such term')" for i in range(60)))))
+    assert (took := seconds(detect.with_spans(df, "intent").select("intent_spans"))) < 3 * thrice, (took, thrice)
